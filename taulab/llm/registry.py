@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontaminate, minhash
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHashParams(width=3, percent=85))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("items", "near_items")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    return {"op1_minhash_dedup": op1_minhash_dedup, "op4_decontaminate": op4_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL}
