@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash
+from . import decontaminate, minhash, mixing, sharding
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("items", "near_items")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_minhash_dedup": op1_minhash_dedup, "op4_decontaminate": op4_decontaminate}
+    return {
+        "op1_minhash_dedup": op1_minhash_dedup,
+        "op4_decontaminate": op4_decontaminate,
+        "op7_sharding": op7_sharding,
+        "op8_mix_sources": op8_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
