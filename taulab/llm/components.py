@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     when no edge joins two different components.  Self loops and repeated edges are
     allowed; null ends are dropped; without edges the result is empty.
     """
-    e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    e = work.save(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"), "links")  # made once, read twice
     cut = work.save(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = work.save(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     while not cut.isEmpty():

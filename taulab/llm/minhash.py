@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in range(4)] + [sets], ["doc_id", "comp", "parts", "part", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    fetched = placed.join(texts, "doc_id").select("doc_id", "comp", "parts", "part", "text")
+    # a sort-merge join at every size: the candidates grow with the table
+    fetched = placed.join(texts.hint("merge"), "doc_id").select("doc_id", "comp", "parts", "part", "text")
     sets = fetched.mapInArrow(to_sets, "doc_id long, comp long, parts int, part int, shingles binary")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "shingles"
