@@ -175,18 +175,29 @@ def _by_row(row: np.ndarray, window: np.ndarray, start: np.ndarray, block: TestB
     return out
 
 
+def _blocks(tests: DataFrame, p: DecontaminationParams) -> int:
+    """How many blocks hold the items; a word takes two bytes with its separator, or more."""
+    words = tests.agg(F.sum((F.octet_length("text") / 2).cast("long") + 1)).first()[0] or 0
+    return -(-words // p.block_words) or 1
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
+
+
+def _block(tests: DataFrame, k: int, blocks: int, p: DecontaminationParams) -> TestBlock:
+    rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+    return TestBlock([r[0] for r in rows], pa.array([r[1] for r in rows], pa.string()), p.window)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, near_items: one row per document."""
     work, p = Workspace(docs.sparkSession, "decontaminate"), params
-    tests = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    # a word takes two bytes with its separator, or more
-    words = tests.agg(F.sum((F.octet_length("text") / 2).cast("long") + 1)).first()[0] or 0
-    blocks = -(-words // p.block_words) or 1
+    tests = _items(benchmark)
+    blocks = _blocks(tests, p)
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for k in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        block = TestBlock([r[0] for r in rows], pa.array([r[1] for r in rows], pa.string()), p.window)
-        df = _scan(df, block, p, last=k == blocks - 1, first=k == 0)
+        df = _scan(df, _block(tests, k, blocks, p), p, last=k == blocks - 1, first=k == 0)
         if k < blocks - 1:
             df = work.save(df, "pass")
     named = F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>")))
@@ -195,6 +206,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Decontamination
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
+    """The documents without a word in any occurrence of a window, with all their columns."""
+    tests, names = _items(benchmark), docs.columns
+    blocks = _blocks(tests, params)
+    if blocks > 1:
+        wide = Workspace(docs.sparkSession, "decontaminate").save(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+        found = decontaminate(wide.select(F.col("_row").alias("doc_id"), "text"), benchmark, params)
+        return wide.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*names)
+    sent, where = docs.sparkSession.sparkContext.broadcast(_block(tests, 0, 1, params)), names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i, j, buf, offs in chunks(batch.column(where)):
+                starts, ends, before = word_bounds(buf, offs, ALNUM)
+                row = np.repeat(np.arange(j - i), np.diff(before))
+                _, start, _, _ = search(word_hashes(buf, starts, ends), before[row + 1], sent.value, 0)
+                kept.append(i + np.setdiff1d(np.arange(j - i), row[start]))
+            yield batch.take(pa.array(np.concatenate(kept))) if kept else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: The digest columns in DuckDB's SQL.
 ORACLE_SQL = r"""
 WITH w AS (

@@ -225,3 +225,15 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def one_of_each(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
+    """The first document (smallest id) of each group, with all its columns; rows with a null id stay."""
+    work = Workspace(docs.sparkSession, "one-of-each")
+    found = work.save(near_duplicates(docs, params).select("doc_id", "kept").where("doc_id IS NOT NULL"), "found")
+    firsts = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return firsts
+    once = firsts.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return firsts.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

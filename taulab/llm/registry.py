@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, sharding
+from . import decontaminate, minhash, mixing, quality, sharding
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("items", "near_items")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -33,10 +37,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op4_decontaminate": op4_decontaminate,
+        "op5_quality_rules": op5_quality_rules,
         "op7_sharding": op7_sharding,
         "op8_mix_sources": op8_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op5_quality_rules": quality.ORACLE_SQL}
