@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, minhash, mixing, quality, sharding, toxicity
+from . import decontaminate, language, licenses, minhash, mixing, quality, sharding, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_decontaminate": op4_decontaminate,
         "op5_quality_rules": op5_quality_rules,
+        "op6_license_scan": op6_license_scan,
         "op7_sharding": op7_sharding,
         "op8_mix_sources": op8_mix_sources,
         "op10_language_id": op10_language_id,
@@ -54,4 +59,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op5_quality_rules": quality.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op5_quality_rules": quality.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL}
