@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, minhash, mixing, quality, sharding, toxicity
+from . import decontaminate, html, language, licenses, minhash, mixing, quality, sharding, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op6_license_scan": op6_license_scan,
         "op7_sharding": op7_sharding,
         "op8_mix_sources": op8_mix_sources,
+        "op9_html_text": op9_html_text,
         "op10_language_id": op10_language_id,
     }
 
