@@ -112,32 +112,41 @@ def _plan(rows: DataFrame, p: MixParams, work: Workspace) -> tuple[DataFrame, Da
     return planned, _rounded(split, most_chunks * (1 + most_parts), p, work)
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _key() -> dict[str, F.Column]:
+    """Rows with equal ids, sources and texts have equal keys and are interchangeable."""
     text = F.col("text").cast("string")
-    size = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
-    return docs.withColumns({"_mix_size": size, "_mix_hash": F.xxhash64(F.col("doc_id"), F.crc32(F.encode(text, "UTF-8"))), "_mix_row": F.monotonically_increasing_id()})
+    id_, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    return {"doc_id": id_, "source": source, "h": F.xxhash64(id_, source, F.crc32(F.encode(text, "UTF-8")), F.octet_length(text))}
 
 
-def _narrow(wide: DataFrame) -> DataFrame:
-    return wide.select(
-        F.col("_mix_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_hash").alias("h")
-    )
+def _rows(docs: DataFrame, work: Workspace) -> DataFrame:
+    text = F.col("text").cast("string")
+    size = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
+    named = [c.alias(k) for k, c in _key().items()]
+    return work.save(docs.select(*named, size.alias("size")).withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row per document."""
     work = Workspace(docs.sparkSession, "mixing")
-    rows = work.save(_narrow(_sized(docs)), "rows")
-    planned, decided = _plan(rows, params, work)
+    planned, decided = _plan(_rows(docs, work), params, work)
     copies = F.col("base") + F.coalesce("extra", F.lit(0))
     return planned.join(decided, "row", "left").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """The documents of the mix, with all their columns; one taken n times appears n times."""
+    """The documents of the mix, with all their columns; one taken n times appears n times.
+
+    Rows with equal ids, sources and texts are one document here, which appears as often as they all would.
+    """
     work = Workspace(docs.sparkSession, "mixing")
-    wide = work.save(_sized(docs), "documents")
-    planned, decided = _plan(_narrow(wide), params, work)
-    copies = planned.join(decided, "row", "left").select(F.col("row").alias("_mix_row"), (F.col("base") + F.coalesce("extra", F.lit(0))).alias("_mix_copies")).where("_mix_copies > 0")
-    repeated = wide.join(copies, "_mix_row").withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return repeated.select(*docs.columns)
+    planned, decided = _plan(_rows(docs, work), params, work)
+    copies = planned.join(decided, "row", "left").groupBy("h", "doc_id", "source").agg(F.sum(F.col("base") + F.coalesce("extra", F.lit(0))).alias("_copies"), F.count("*").alias("_rows"))
+    copies = work.save(copies.select(F.col("h").alias("_h"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies", "_rows"), "copies")
+    same = (F.col("_mix_h") == F.col("_h")) & F.col("_mix_doc_id").eqNullSafe(F.col("_id")) & F.col("_mix_source").eqNullSafe(F.col("_source"))
+    keyed = docs.withColumns({f"_mix_{k}": c for k, c in _key().items()})
+    taken = keyed.join(copies.where("_copies > 0"), same)
+    if not copies.where("_rows > 1").isEmpty():
+        again = taken.where("_rows > 1").dropDuplicates(["_mix_h", "_mix_doc_id", "_mix_source"])
+        taken = taken.where("_rows = 1").unionByName(again)
+    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
