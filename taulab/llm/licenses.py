@@ -51,6 +51,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
+#: What stands between words, but for line ends.
+SIGNS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,19 +79,21 @@ def _places(parts: list[str], label: str) -> F.Column:
 def _facts(docs: DataFrame, p: LicenseParams) -> DataFrame:
     """One pass over the texts: counts, phrase places, and for each line its words that templates use."""
     vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, t in p.templates for w in t.split()})))
-    low = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("low"))
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(low, SIGNS, " ").alias("plain"))
     least = min(_needed(len(set(t.split())), p) for _, t in p.templates)
-    every = low.withColumns({
-        "words": F.when(F.contains("low", F.lit("license")), F.regexp_extract_all("low", F.lit(WORD), F.lit(0))),
-        "lines": F.filter(F.transform(F.split("low", "\n"), lambda x: F.array_intersect(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), vocabulary)), lambda x: F.size(x) >= least),
+    every = plain.withColumns({
+        "every_word": F.array_remove(F.split(F.translate("plain", "\n", " "), " "), ""),
+        "lines": F.filter(F.transform(F.split("plain", "\n"), lambda x: F.array_intersect(F.split(x, " "), vocabulary)), lambda x: F.size(x) >= least),
     })
+    every = every.withColumn("words", F.when(F.contains("plain", F.lit("license")), F.col("every_word")))
     places = [_places(phrase.split(), label) for phrase, label in PHRASES]
     every = every.withColumn("places", F.concat(*places))
     starts = F.transform("places", lambda x: x["at"])
     return every.select(
         "row",
         "doc_id",
-        F.when(F.col("words").isNull(), F.regexp_count("low", F.lit(WORD))).otherwise(F.size("words")).cast("long").alias("n_words"),
+        F.size("every_word").cast("long").alias("n_words"),
         F.size("places").cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
