@@ -92,7 +92,7 @@ def cell_taus(s: Sweep, labels: DataFrame | None = None) -> DataFrame:
     every = s.shifts.select(*CELL, "victim_tau_clean", "victim_tau_poisoned").join(F.broadcast(clean), "seed")
     own = F.when(F.col("client_id") == F.col("victim"), F.col("victim_tau_poisoned")).otherwise(F.col("tau"))
     cell = Window.partitionBy(*CELL)
-    every = every.withColumn("own_poisoned", own).withColumn("global_poisoned", F.avg("own_poisoned").over(cell))
+    every = every.withColumn("own_poisoned", own).withColumn("global_poisoned", F.when(F.col("fraction") == 0, F.col("tau_global")).otherwise(F.avg("own_poisoned").over(cell)))
     kinds = [(GLOBAL, "tau_global", "global_poisoned", None, None), (LOCAL, "tau", "own_poisoned", None, None)]
     if labels is not None:
         mean = lambda x, label: F.avg(x).over(Window.partitionBy(*CELL, label))
