@@ -33,4 +33,4 @@ def with_positions(df: DataFrame, keys: list[str], order: str, buckets: int = 1,
     out = cut.join(offsets, [*keys, "_bucket"]).withColumn(position, F.col("_before") + F.row_number().over(inner) - 1)
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_bucket", "_before", "_total")
+    return out.select(*df.columns, position, *([total] if total else []))

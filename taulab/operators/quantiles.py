@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +21,8 @@ def percentile(df: DataFrame, keys: list[str], value: str, q: float, name: str,
         large = (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > LARGE
     if not large:
         return rows.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name))
+    if q in (0.0, 1.0):
+        return rows.groupBy(*keys).agg((F.min if q == 0 else F.max)(value).alias(name))
     slack = 0.002
     bracket = rows.groupBy(*keys).agg(
         F.percentile_approx(value, max(0.0, q - slack), 10_000).alias("_lo"), F.percentile_approx(value, min(1.0, q + slack), 10_000).alias("_hi"), F.count("*").alias("_n")
@@ -38,11 +38,12 @@ def percentile(df: DataFrame, keys: list[str], value: str, q: float, name: str,
         step = lambda acc, x: F.struct(
             (acc["seen"] + x["_c"]).alias("seen"), F.when(acc["v"].isNull() & (acc["seen"] + x["_c"] > rank), x["_v"]).otherwise(acc["v"]).alias("v")
         )
-        return F.aggregate("_values", F.struct(F.col("_below").alias("seen"), F.lit(None).cast("double").alias("v")), step)["v"]
+        return F.when(rank >= F.col("_below"), F.aggregate("_values", F.struct(F.col("_below").alias("seen"), F.lit(None).cast("double").alias("v")), step)["v"])
 
     first, second = at(low_rank), at(F.least(low_rank + 1, F.col("_n") - 1))
     weight = F.lit(q) * (F.col("_n") - 1) - low_rank
-    out = found.select(*keys, (first + weight * (second - first)).alias(name), ((first.isNull()) | (second.isNull())).alias("_missed"))
-    if math.isclose(q, 0.0) or math.isclose(q, 1.0):
-        return rows.groupBy(*keys).agg((F.min if q < 0.5 else F.max)(value).alias(name))
-    return out.select(*keys, F.when(F.col("_missed"), F.raise_error(F.lit("percentile outside its bracket"))).otherwise(F.col(name)).alias(name))
+    out = found.select(*keys, (first + weight * (second - first)).alias(name))
+    # a group of few rows can have its order statistics outside the bracket: it takes the aggregate
+    few = out.where(F.col(name).isNull()).select(*keys)
+    again = rows.join(few, keys, "left_semi").groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name))
+    return out.where(F.col(name).isNotNull()).unionByName(again)

@@ -11,7 +11,7 @@ def alert_counts(events: DataFrame, threshold: float, width: str = "1 hour", lat
 
     On a stream the watermark bounds the state: a window is final once events are ``lateness`` past its end.
     """
-    rows = events.where("value IS NOT NULL")
+    rows = events.where("value IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         rows = rows.withWatermark("ts", lateness)
     client = F.concat(F.lit("c"), F.col("user_id") % 9)
