@@ -34,3 +34,18 @@ def with_positions(df: DataFrame, keys: list[str], order: str, buckets: int = 1,
     if total:
         out = out.withColumn(total, F.col("_total"))
     return out.select(*df.columns, position, *([total] if total else []))
+
+
+def dense_ids(df: DataFrame, column: str, name: str, partitions: int, store) -> DataFrame:
+    """df plus the 0-based rank of ``column`` among its distinct values, without sorting all of them in one task.
+
+    Distinct values are range-partitioned and stored with the number of their part, so that both passes see the same parts.
+    """
+    parts = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(max(1, partitions), column)
+    stored = store.save(parts.withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = stored.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    inner = Window.partitionBy("_part").orderBy(column)
+    ranked = stored.join(F.broadcast(offsets), "_part").select(column, (F.col("_before") + F.row_number().over(inner) - 1).cast("long").alias(name))
+    return df.join(ranked, column, "left")

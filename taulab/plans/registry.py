@@ -11,10 +11,12 @@ from taulab.constants import CLUSTER, DISJOINT, INTERPOLATED, LOWER, PAIRS, RAIS
 from taulab.functions.columns import cv, duplicate_rate, iqr
 from taulab.functions.inference import binomial_upper_tail, holm, sign_flip_column, with_resampling
 from taulab.operators import evaluate, inject, sensitivity, sweep
+from taulab.operators.positions import dense_ids
 from taulab.operators.scaling import row_errors, scale_splits
 from taulab.operators.thresholds import eligibility, global_taus, local_taus, thresholds, trimmed
 from taulab.sources import events
 from taulab.sources.events import labelled, scores, staged, table
+from taulab.sources.store import Store
 from taulab.streaming.alerts import alert_counts
 
 from . import reports, sql
@@ -124,14 +126,10 @@ def balance_test(spark, sf_dir):
 
 @query("SELECT vec_id, dense_rank() OVER (ORDER BY embedding) AS row_id FROM embeddings")
 def global_row_ids(spark, sf_dir):
-    return inject_row_ids(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-
-
-def inject_row_ids(rows: DataFrame) -> DataFrame:
-    """Equal feature rows share an id: the distinct rows are ranked by sorted ranges, then joined back."""
-    distinct = rows.select("embedding").distinct()
-    ranked = distinct.select("embedding", F.dense_rank().over(Window.orderBy("embedding")).cast("long").alias("row_id"))
-    return rows.join(ranked, "embedding").select("vec_id", "row_id")
+    """Equal feature rows share an id."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ids = dense_ids(rows, "embedding", "row_id", int(spark.conf.get("spark.sql.shuffle.partitions")), Store(spark, "ids"))
+    return ids.select("vec_id", (F.col("row_id") + 1).alias("row_id"))
 
 
 # ---- thresholds and evaluation
