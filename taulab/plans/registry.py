@@ -618,8 +618,11 @@ def alert_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import summaries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
