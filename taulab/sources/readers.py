@@ -83,6 +83,13 @@ def hash_mismatches(found: DataFrame, recorded: DataFrame) -> DataFrame:
     return recorded.join(found.select("path", F.col("sha256").alias("now")), "path", "left").where("now IS NULL OR now <> sha256")
 
 
+def schema_audit(spark: SparkSession, path: str, features: int) -> None:
+    """The number of columns of a table, read from the files' footers only."""
+    got = len(spark.read.parquet(path).schema)
+    if got != features:
+        raise ValueError(f"{path} has {got} columns, not {features}")
+
+
 def score_records(scores: DataFrame) -> DataFrame:
     """(client_id, stage, rows, min_score, max_score, n_nan): finite extremes of each score set."""
     x = F.col("score")

@@ -18,7 +18,8 @@ from taulab.operators.quantiles import percentile
 from taulab.operators.range_count import count_above
 from taulab.operators.training import Monitor, Network, errors, gradients, score, train
 from taulab.plans import registry
-from taulab.sources import readers, sinks
+from taulab.operators import guards
+from taulab.sources import readers, sinks, state
 from taulab.streaming.alerts import alert_counts
 
 SF = "/root/testdata/sf0.001"
@@ -270,3 +271,35 @@ def test_queries_match_their_sql(spark, name):
     keys = [c for c in sorted(got.columns) if got[c].dtype.kind != "f" or c == "fraction"]
     a, b = (x.sort_values(keys).reset_index(drop=True) for x in (got, want[got.columns]))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9, atol=1e-8)
+
+
+def test_guards(spark):
+    cells = spark.createDataFrame([("random_benign", "threshold_raise", 0.1), ("low_score_benign", "threshold_raise", 0.2), ("random_benign", "threshold_lower", 0.3)], "source string, objective string, fraction double")
+    assert sorted(r.rule for r in guards.invalid_cells(cells).collect()) == ["fraction", "pair"]
+    with pytest.raises(ValueError, match="cells"):
+        guards.require_empty(guards.invalid_cells(cells), "cells")
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0]), ("b", [math.inf]), ("c", [0.0])], "k string, x array<double>")
+    got = {r.k: (r.min_width, r.max_width, r.all_finite) for r in guards.feature_validity(rows, ["k"], "x").collect()}
+    assert got == {"a": (1, 2, True), "b": (1, 1, False), "c": (1, 1, True)}
+    marks = spark.createDataFrame([(1, "done"), (2, "done"), (2, "aborted")], "run_id int, marker string")
+    assert {r.run_id: r.state for r in guards.run_states(marks).collect()} == {1: "done", 2: "corrupt"}
+
+
+def test_runs_and_weights(spark, tmp_path):
+    folder = str(tmp_path / "run")
+    assert state.run_state(spark, folder) == "missing"
+    with state.Run(spark, folder):
+        assert state.run_state(spark, folder) == "in_progress"
+    assert state.run_state(spark, folder) == "done"
+    with pytest.raises(KeyError), state.Run(spark, folder):
+        raise KeyError("x")
+    assert state.run_state(spark, folder) == "aborted"
+    w = Network(3, (2,)).start(1)
+    digest = state.save_weights(spark, w, str(tmp_path / "w"))
+    back = state.load_weights(spark, str(tmp_path / "w"))
+    assert digest == state.weights_hash(back) and all((a == b).all() for a, b in zip(w, back))
+    grid = spark.createDataFrame([(1, "a"), (2, "a")], "seed int, policy string")
+    assert state.pending_runs(grid, grid.where("seed = 1"), ["seed", "policy"]).first().seed == 2
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError):
+        readers.schema_audit(spark, str(tmp_path / "p"), 2)
