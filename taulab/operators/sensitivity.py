@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taulab.constants import CONVERGENCE, QUANTILE, RAISE, TRIM_APPENDIX, TRIM_PRIMARY
+from taulab.constants import CONVERGENCE, GLOBAL, LOCAL, QUANTILE, RAISE, TRIM_APPENDIX, TRIM_PRIMARY
 from taulab.functions.columns import cv
 
 from .cluster import grid_params
@@ -30,20 +30,26 @@ def scale_normalization(s: Sweep) -> DataFrame:
 
 
 def trust_boundary(s: Sweep) -> DataFrame:
-    """The victim's local shift undefended and with both states trimmed; what is left against the clean threshold."""
+    """The victim's shift undefended and with both states trimmed, and what is left against the clean threshold, per policy.
+
+    The global threshold is the mean of the local ones, so its figures follow from the victim's and the fleet's means.
+    """
     q = lambda rows, keys, name: rows.groupBy(*keys).agg(F.percentile("score", F.lit(QUANTILE)).alias(name))
     cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"]).withColumnRenamed("client_id", "victim")
-    out = s.shifts.where("fraction > 0")
+    fleet = s.clients.groupBy("seed").agg(F.avg("tau").alias("global_clean"), F.count("*").alias("n"))
+    out = s.shifts.where("fraction > 0").join(F.broadcast(fleet), "seed")
     for name, t in (("primary", TRIM_PRIMARY), ("appendix", TRIM_APPENDIX)):
-        out = out.join(q(trimmed(s.poisoned, CELL, t), CELL, f"new_{name}"), CELL).join(q(trimmed(cal, ["seed", "victim"], t), ["seed", "victim"], f"old_{name}"), ["seed", "victim"])
-    c, p = F.col("victim_tau_clean"), F.col("victim_tau_poisoned")
-    return out.select(
-        *CELL,
-        (p - c).alias("undefended"),
-        *((F.col(f"new_{k}") - F.col(f"old_{k}")).alias(f"trim_{k}") for k in ("primary", "appendix")),
-        *((F.col(f"new_{k}") - c).alias(f"residual_{k}") for k in ("primary", "appendix")),
-        (F.when(F.col("objective") == RAISE, F.col("cal_max")).otherwise(F.col("cal_min")) - c).alias("overwrite_reference"),
-    )
+        old = q(trimmed(cal, ["seed", "victim"], t), ["seed", "victim"], f"old_{name}").withColumn(f"mean_{name}", F.avg(f"old_{name}").over(Window.partitionBy("seed")))
+        out = out.join(q(trimmed(s.poisoned, CELL, t), CELL, f"new_{name}"), CELL).join(old, ["seed", "victim"])
+    c, p, g, n = F.col("victim_tau_clean"), F.col("victim_tau_poisoned"), F.col("global_clean"), F.col("n")
+    extreme = F.when(F.col("objective") == RAISE, F.col("cal_max")).otherwise(F.col("cal_min"))
+    moved = {k: F.col(f"new_{k}") - F.col(f"old_{k}") for k in ("primary", "appendix")}
+    policies = {
+        LOCAL: {"undefended": p - c, **{f"trim_{k}": m for k, m in moved.items()}, **{f"residual_{k}": F.col(f"new_{k}") - c for k in moved}, "overwrite_reference": extreme - c},
+        GLOBAL: {"undefended": (p - c) / n, **{f"trim_{k}": m / n for k, m in moved.items()}, **{f"residual_{k}": F.col(f"mean_{k}") + m / n - g for k, m in moved.items()}, "overwrite_reference": extreme - g},
+    }
+    each = F.array(*(F.struct(F.lit(name).alias("policy"), *(v.alias(k) for k, v in figures.items())) for name, figures in policies.items()))
+    return out.select(*CELL, F.explode(each).alias("x")).select(*CELL, "x.*")
 
 
 def cluster_stability(s: Sweep, ks=(2, 3, 4), inits=(1, 10), states=(0, 1, 7, 42, 123)) -> DataFrame:

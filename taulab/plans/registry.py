@@ -529,11 +529,21 @@ def scale_normalization(spark, sf_dir):
     return rounded(sensitivity.scale_normalization(the_sweep(spark, sf_dir)))
 
 
-@query(sql.cells("""SELECT seed, victim, source, objective, fraction, round(tau_p - tau_c, 9) + 0 AS undefended, round(d5 - c5, 9) + 0 AS trim_primary, round(d10 - c10, 9) + 0 AS trim_appendix, round(d5 - tau_c, 9) + 0 AS residual_primary, round(d10 - tau_c, 9) + 0 AS residual_appendix,
-  round(CASE objective WHEN 'threshold_raise' THEN cal_max ELSE cal_min END - tau_c, 9) + 0 AS overwrite_reference FROM shifts JOIN (
+_TRIMS = """trim_new AS (
   SELECT seed, victim, source, objective, fraction, quantile_cont(score, 0.95) FILTER (k > floor(n * 0.05::DOUBLE) AND k <= n - floor(n * 0.05::DOUBLE)) AS d5, quantile_cont(score, 0.95) FILTER (k > floor(n * 0.1::DOUBLE) AND k <= n - floor(n * 0.1::DOUBLE)) AS d10
-  FROM (SELECT *, row_number() OVER (PARTITION BY seed, victim, source, objective, fraction ORDER BY score, pos) AS k, count(*) OVER (PARTITION BY seed, victim, source, objective, fraction) AS n FROM poisoned) GROUP BY ALL) USING (seed, victim, source, objective, fraction)
-  JOIN (SELECT seed, client_id AS victim, quantile_cont(score, 0.95) FILTER (r >= floor(n * 0.05::DOUBLE) AND r < n - floor(n * 0.05::DOUBLE)) AS c5, quantile_cont(score, 0.95) FILTER (r >= floor(n * 0.1::DOUBLE) AND r < n - floor(n * 0.1::DOUBLE)) AS c10 FROM ranked GROUP BY ALL) USING (seed, victim)"""))
+  FROM (SELECT *, row_number() OVER (PARTITION BY seed, victim, source, objective, fraction ORDER BY score, pos) AS k, count(*) OVER (PARTITION BY seed, victim, source, objective, fraction) AS n FROM poisoned) GROUP BY ALL
+), trim_old AS (
+  SELECT *, avg(c5) OVER (PARTITION BY seed) AS m5, avg(c10) OVER (PARTITION BY seed) AS m10, count(*) OVER (PARTITION BY seed) AS nf FROM (
+    SELECT seed, client_id AS victim, quantile_cont(score, 0.95) FILTER (r >= floor(n * 0.05::DOUBLE) AND r < n - floor(n * 0.05::DOUBLE)) AS c5, quantile_cont(score, 0.95) FILTER (r >= floor(n * 0.1::DOUBLE) AND r < n - floor(n * 0.1::DOUBLE)) AS c10 FROM ranked GROUP BY ALL)
+), tb AS (
+  SELECT *, CASE objective WHEN 'threshold_raise' THEN cal_max ELSE cal_min END AS extreme FROM shifts JOIN trim_new USING (seed, victim, source, objective, fraction) JOIN trim_old USING (seed, victim) JOIN tau_global USING (seed)
+)"""
+_TRUST_TWO = f"""WITH {sql.BASE}, {sql.CELLS}, {_TRIMS}
+SELECT seed, victim, source, objective, fraction, 'local_threshold' AS policy, {r('tau_p - tau_c=undefended', 'd5 - c5=trim_primary', 'd10 - c10=trim_appendix', 'd5 - tau_c=residual_primary', 'd10 - tau_c=residual_appendix', 'extreme - tau_c=overwrite_reference')} FROM tb
+UNION ALL SELECT seed, victim, source, objective, fraction, 'global_threshold', {r('(tau_p - tau_c) / nf=undefended', '(d5 - c5) / nf=trim_primary', '(d10 - c10) / nf=trim_appendix', 'm5 + (d5 - c5) / nf - tau_global=residual_primary', 'm10 + (d10 - c10) / nf - tau_global=residual_appendix', 'extreme - tau_global=overwrite_reference')} FROM tb"""
+
+
+@query(_TRUST_TWO)
 def trust_boundary(spark, sf_dir):
     return rounded(sensitivity.trust_boundary(the_sweep(spark, sf_dir)))
 

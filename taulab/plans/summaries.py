@@ -46,10 +46,10 @@ def scale_normalization_summary(spark, sf_dir):
 _TRUST = registry._SQL["trust_boundary"]
 
 
-@query(f"SELECT {_BY}, {r('avg(undefended)=undefended', 'avg(trim_primary)=trim_primary', 'avg(trim_appendix)=trim_appendix')}, round(1 - avg(trim_primary) / nullif(avg(undefended), 0), 6) + 0 AS reduction_primary FROM ({_TRUST}) GROUP BY {_BY}")
+@query(f"SELECT policy, {_BY}, {r('avg(undefended)=undefended', 'avg(trim_primary)=trim_primary', 'avg(trim_appendix)=trim_appendix')}, round(1 - avg(trim_primary) / nullif(avg(undefended), 0), 6) + 0 AS reduction_primary FROM ({_TRUST}) GROUP BY policy, {_BY}")
 def trust_boundary_summary(spark, sf_dir):
     rows = rounded(sensitivity.trust_boundary(the_sweep(spark, sf_dir)))
-    out = rows.groupBy("source", "objective", "fraction").agg(*(F.avg(c).alias(c) for c in ("undefended", "trim_primary", "trim_appendix")))
+    out = rows.groupBy("policy", "source", "objective", "fraction").agg(*(F.avg(c).alias(c) for c in ("undefended", "trim_primary", "trim_appendix")))
     return rounded(out).withColumn("reduction_primary", F.round(1 - ratio("trim_primary", "undefended"), 6))
 
 
