@@ -1,10 +1,10 @@
 """Mixing sources to target weights by pivotal dependent rounding, with DataFrame operations only.
 
 A source's target over its size is the number of copies expected of each of its documents.
-The integral part is certain; the fractional parts are rounded together: two undecided documents
+The integral part is certain; the fractional parts are rounded together: two undecided sides
 exchange expected words until one of them is decided, at random so that each keeps its expectation, and
-the other goes on.  Documents meet in chunks of bounded size; the one undecided
-document that a chunk may leave meets those of other chunks in the next level of a
+the other goes on.  In chunks of bounded size a side is the largest undecided document or all smaller ones
+together; the one document that a chunk leaves, mostly its smallest, meets those of other chunks in the next level of a
 reduction tree, until one is left for each source.  The words taken from a source so
 differ from its target by no more than that last document's.
 
@@ -72,6 +72,28 @@ _MEET = f"""aggregate(units, struct(cast(null AS struct<row: bigint, w: double,
   END)""".replace("R +", _RAISE.replace("c.", "acc.c.") + " +").replace("+ L)", "+ " + _LOWER.replace("c.", "acc.c.") + ")").replace("< L", "< " + _LOWER.replace("c.", "acc.c."))
 
 
+def _pooled() -> str:
+    """In a chunk all chances are equal at first.  The largest document meets all smaller ones as one pool, whose common chance q
+    moves the other way; then the next largest does.  What is left over is so the smallest, unless the pool is decided first."""
+    q, w, rest = "acc.q", "x.w", "(acc.rest - x.w)"
+    up = f"x.u * (least(1 - {q}, {q} * {rest} / {w}) + least({q}, (1 - {q}) * {rest} / {w})) < least({q}, (1 - {q}) * {rest} / {w})"
+
+    def state(new_q: str, closed: str, c: str, extra: str | None) -> str:
+        done = f"array_append(acc.done, named_struct('row', x.row, 'extra', {extra}))" if extra else "acc.done"
+        return f"struct({new_q} AS q, {rest} AS rest, {closed} AS closed, {c} AS c, {done} AS done)"
+
+    left = lambda p: f"named_struct('row', x.row, 'w', x.w, 'p', {p}, 'u', x.u)"
+    return f"""aggregate(units, struct(units[0].p AS q, aggregate(units, 0D, (a, x) -> a + x.w) AS rest, -1 AS closed, cast(null AS struct<row: bigint, w: double, p: double, u: double>) AS c, cast(array() AS array<struct<row: bigint, extra: int>>) AS done),
+  (acc, x) -> CASE
+    WHEN acc.closed >= 0 THEN {state(q, "acc.closed", "acc.c", "acc.closed")}
+    WHEN {rest} <= 0 THEN {state(q, "acc.closed", left(q), None)}
+    WHEN {up} AND 1 - {q} <= {q} * {rest} / {w} THEN {state(f"greatest(0D, {q} - (1 - {q}) * {w} / {rest})", "-1", "acc.c", "1")}
+    WHEN {up} THEN {state(q, "0", left(f"least(1D, {q} + {q} * {rest} / {w})"), None)}
+    WHEN {q} <= (1 - {q}) * {rest} / {w} THEN {state(f"least(1D, {q} + {q} * {w} / {rest})", "-1", "acc.c", "0")}
+    ELSE {state(q, "1", left(f"greatest(0D, {q} - (1 - {q}) * {rest} / {w})"), None)}
+  END)"""
+
+
 def _rounded(units: DataFrame, most_chunks: int, p: MixParams, work: Workspace) -> DataFrame:
     """units (source, chunk, row, w, p, h) -> (row, extra): p rounded to 0 or 1."""
     decided, level = None, 0
@@ -81,7 +103,7 @@ def _rounded(units: DataFrame, most_chunks: int, p: MixParams, work: Workspace)
         unit = F.struct(F.col("w").alias("w"), F.col("h"), "row", "p", u.alias("u"))
         met = units.groupBy("source", "chunk").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
         met = met.withColumn("units", F.expr("transform(units, x -> named_struct('row', x.row, 'w', x.w, 'p', x.p, 'u', x.u))"))
-        met = work.save(met.withColumn("met", F.expr(_MEET)).select("source", "chunk", "met.c", "met.done"), "met")
+        met = work.save(met.withColumn("met", F.expr(_MEET if level else _pooled())).select("source", "chunk", "met.c", "met.done"), "met")
         done = met.select(F.explode("done").alias("d")).select("d.row", "d.extra")
         decided = done if decided is None else decided.unionByName(done)
         if most_chunks <= 1:
