@@ -5,7 +5,7 @@ Words are lower-cased (A-Z), marked at both ends and cut into character n-grams
 n-grams times the inverse document frequency.  Document frequencies are counted over all documents
 that may be learned from; the weights are fitted by follow-the-regularised-leader steps
 with L1 and L2 penalties on a bounded sample of them (about ``most_per_language`` for each of
-the ``most_languages`` most frequent languages, drawn by a hash of the id); a temperature, fitted on a fifth of the
+the ``most_languages`` most frequent languages and ``most_rows`` in all, drawn by a hash of the id); a temperature, fitted on a fifth of the
 sample that the weights did not see, calibrates the probabilities.  Weights and frequencies have a fixed size, so
 every text is scored whole, in one pass without a shuffle.
 
@@ -41,6 +41,7 @@ class LanguageParams:
     bits: int = 16
     most_per_language: int = 2500
     most_languages: int = 256
+    most_rows: int = 20_000
     epochs: int = 4
     batch: int = 32
     alpha: float = 0.5
@@ -175,6 +176,7 @@ def _ftrl(rows: list[np.ndarray], idf: np.ndarray, target: np.ndarray, classes:
             doc = np.repeat(np.arange(len(part)), [len(rows[r]) for r in part])
             slot = np.concatenate([rows[r] for r in part])
             used, at = np.unique(slot, return_inverse=True)
+            used = used.astype(np.int64)
             x = np.bincount(doc * (len(used) + 1) + at, minlength=len(part) * (len(used) + 1)).reshape(len(part), -1).astype(np.float32)
             x /= np.maximum(1, x.sum(axis=1, keepdims=True))
             x[:, :-1] *= value[used]
@@ -199,7 +201,8 @@ def fit(ids: np.ndarray, texts: pa.Array, langs: np.ndarray, idf: np.ndarray, p:
     target = np.searchsorted(np.array(names), langs)
     out = np.arange(len(langs)) % 5 == 4 if len(langs) >= 20 else np.ones(len(langs), bool)
     inside = np.flatnonzero(~out) if len(langs) >= 20 else np.arange(len(langs))
-    w, b = _ftrl(list(_by_text(texts.take(pa.array(inside)), p)), idf, target[inside], len(names), p)
+    small = np.uint16 if p.bits <= 16 else np.int32
+    w, b = _ftrl([s.astype(small) for s in _by_text(texts.take(pa.array(inside)), p)], idf, target[inside], len(names), p)
     model = LanguageModel(names, w.astype(np.float64) * (idf * p.scale)[:, None], b.astype(np.float64), p)
     z, y = model.logits(texts.filter(pa.array(out))), target[out]
     low, high = np.log(0.02), np.log(20.0)
@@ -246,7 +249,8 @@ def train(docs: DataFrame, p: LanguageParams) -> LanguageModel:
         return empty
     df, rows = _document_frequency(usable, p)
     idf = np.log((1 + rows) / (1 + df)) + 1
-    chance = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, p.most_per_language / r["count"])))))
+    quota = min(p.most_per_language, p.most_rows / len(counts))
+    chance = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["count"])))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(draw < F.element_at(chance, F.col("lang")))
 
