@@ -8,7 +8,8 @@ ranges before it give each record its exact place in the whole order, and the sh
 the place in bytes times the number of shards over the total.
 
 The law is ``bytes``: shards differ from each other by at most about the size of one
-record at either end.  Only 15 groups of equal texts can be cut, those at a boundary.
+record at either end, or of a group of equal texts that is kept whole: those of at most
+``whole_group_percent`` of a shard's size are; of the larger ones only those at a boundary are cut.
 
 Defined cases: a null text has size 1 and a null CRC; a null id is a record like others;
 repeated rows are separate records; an empty table gives an empty result; columns of the input other
@@ -31,6 +32,7 @@ class ShardParams:
     range_rows: int = 20_000
     most_ranges: int = 4096
     samples_per_range: int = 16
+    whole_group_percent: float = 1.0
 
 
 def _splitters(keyed: DataFrame, total: int, ranges: int, samples: int) -> list[int]:
@@ -88,14 +90,16 @@ def assign_shards(docs: DataFrame, params: ShardParams = ShardParams()) -> DataF
     )
     inside = Window.partitionBy("range", "part").orderBy("key", "doc_id", "size", "row")
     place = F.col("bytes_before") + F.sum("size").over(inside) - F.col("size") / 2
-    placed = parted.join(offsets, ["range", "part"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.least(F.lit(p.shards - 1), F.floor(place * p.shards / F.lit(max(total, 1)))).cast("int").alias("shard"),
-        (F.col("rows_before") + F.row_number().over(inside) - 1).alias("place"),
-    )
-    placed = work.save(placed, "placed")
+    ordered = parted.join(offsets, ["range", "part"]).select("doc_id", "size", "text_crc32", place.alias("middle"), (F.col("rows_before") + F.row_number().over(inside) - 1).alias("place"))
+    ordered = work.save(ordered, "ordered")
+    # a group of equal texts that is small beside a shard goes where its first record goes; shards stay
+    # runs of the order, as its records are next to each other
+    few = p.whole_group_percent * total / (100 * p.shards)
+    groups = ordered.groupBy("text_crc32", "size").agg(F.min("middle").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("copies"), (F.max("place") - F.min("place") + 1).alias("span"))
+    groups = groups.where((F.col("copies") > 1) & (F.col("span") == F.col("copies")) & (F.col("bytes") <= few)).select(F.col("text_crc32").alias("crc"), F.col("size").alias("each"), "first")
+    held = ordered.join(groups, F.col("text_crc32").eqNullSafe(F.col("crc")) & (F.col("size") == F.col("each")), "left")
+    shard = F.least(F.lit(p.shards - 1), F.floor(F.coalesce("first", "middle") * p.shards / F.lit(max(total, 1)))).cast("int")
+    placed = work.save(held.select("doc_id", "size", "text_crc32", shard.alias("shard"), "place"), "placed")
     starts = placed.groupBy("shard").agg(F.min("place").alias("start"))
     return placed.join(F.broadcast(starts), "shard").select(
         "doc_id",

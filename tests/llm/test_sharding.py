@@ -16,7 +16,7 @@ def check(rows, out, shards=16):
         slots[r.shard].append(r.slot)
         sizes[r.shard] += r.size
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    most = max((r.size for r in out), default=0)
+    most = max((r.size for r in out), default=0) + sum(sizes.values()) / shards / 100
     assert max(sizes.values()) - min(sizes[s] for s in range(shards)) <= 2 * most
 
 
@@ -37,11 +37,11 @@ def test_repeated_rows_are_subdivided(spark):
 
 
 def test_equal_texts_lie_together(spark):
-    rows = [(i, f"group {i % 100}") for i in range(1000)]
+    rows = [(i, f"group {i % 2000}") for i in range(6000)] + [(9000 + i, "a large one") for i in range(2000)]
     where = defaultdict(set)
     for r in assign_shards(frame(spark, rows)).collect():
         where[r.text_crc32].add(r.shard)
-    assert sum(len(s) > 1 for s in where.values()) <= 15
+    assert [len(s) > 1 for s in where.values()].count(True) == 1
 
 
 def test_the_table_and_an_empty_one(spark):
