@@ -148,12 +148,15 @@ def _rows(docs: DataFrame, work: Workspace) -> DataFrame:
     return work.save(docs.select(*named, size.alias("size")).withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
+# The decisions grow with the table and look small to the planner, as they are exploded from packed rows: their joins say merge.
+
+
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row per document."""
     work = Workspace(docs.sparkSession, "mixing")
     planned, decided = _plan(_rows(docs, work), params, work)
     copies = F.col("base") + F.coalesce("extra", F.lit(0))
-    return planned.join(decided, "row", "left").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return planned.join(decided.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -163,7 +166,7 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     """
     work = Workspace(docs.sparkSession, "mixing")
     planned, decided = _plan(_rows(docs, work), params, work)
-    copies = planned.join(decided, "row", "left").groupBy("h", "doc_id", "source").agg(F.sum(F.col("base") + F.coalesce("extra", F.lit(0))).alias("_copies"), F.count("*").alias("_rows"))
+    copies = planned.join(decided.hint("merge"), "row", "left").groupBy("h", "doc_id", "source").agg(F.sum(F.col("base") + F.coalesce("extra", F.lit(0))).alias("_copies"), F.count("*").alias("_rows"))
     copies = work.save(copies.select(F.col("h").alias("_h"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies", "_rows"), "copies")
     same = (F.col("_mix_h") == F.col("_h")) & F.col("_mix_doc_id").eqNullSafe(F.col("_id")) & F.col("_mix_source").eqNullSafe(F.col("_source"))
     keyed = docs.withColumns({f"_mix_{k}": c for k, c in _key().items()})
