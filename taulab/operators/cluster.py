@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import product
 
@@ -46,15 +47,25 @@ def _canonical(labels: np.ndarray) -> np.ndarray:
 
 def group_points(points: np.ndarray, k: int, n_init: int = 10, max_iter: int = 300, seed: int = 42) -> np.ndarray:
     """Labels of least within-group squared distance: by enumeration for few points, else the best of n_init Lloyd runs."""
+    if len(points) <= EXACT_CLIENTS and k <= EXACT_K:
+        return enumerated(points, k)
+    return restarted(points, k, n_init, max_iter, seed)
+
+
+def enumerated(points: np.ndarray, k: int) -> np.ndarray:
+    """The optimal labels of a few points, over all partitions."""
+    labels = _partitions(len(points), k)
+    gain = np.zeros(len(labels))
+    for g in range(k):
+        member = labels == g
+        gain += ((member @ points) ** 2).sum(axis=1) / member.sum(axis=1)
+    best = gain.max()
+    return labels[np.flatnonzero(gain >= best - 1e-9 * max(1.0, abs(best)))[0]].astype(int)
+
+
+def restarted(points: np.ndarray, k: int, n_init: int = 10, max_iter: int = 300, seed: int = 42) -> np.ndarray:
+    """Labels of the best of n_init Lloyd runs from k-means++ starts drawn by seed, whatever the number of points."""
     n = len(points)
-    if n <= EXACT_CLIENTS and k <= EXACT_K:
-        labels = _partitions(n, k)
-        gain = np.zeros(len(labels))
-        for g in range(k):
-            member = labels == g
-            gain += ((member @ points) ** 2).sum(axis=1) / member.sum(axis=1)
-        best = gain.max()
-        return labels[np.flatnonzero(gain >= best - 1e-9 * max(1.0, abs(best)))[0]].astype(int)
     rng, best = np.random.default_rng(seed), (np.inf, None)
     for _ in range(n_init):
         centers = points[[int(rng.integers(n))]]
@@ -92,11 +103,11 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     return float(value.mean())
 
 
-def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int, int]] = ((CLUSTER_K, 10, 42),)) -> DataFrame:
+def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int, int]] = ((CLUSTER_K, 10, 42),), group: Callable[..., np.ndarray] = group_points) -> DataFrame:
     """rows (keys, client_id, clean fingerprint, poisoned fingerprint as arrays) -> labels of each client and silhouettes.
 
     For every (k, n_init, random_state): labels of the clean and of the perturbed fleet, each scaled by itself, and of the perturbed
-    fleet scaled by the clean one.  One Arrow row per key; keys with no more than k clients have none.
+    fleet scaled by the clean one; group gives the labels.  One Arrow row per key; keys with no more than k clients have none.
     """
     packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("client_id", "clean", "poisoned"))).alias("fleet"))
     fleet = packed.select(*keys, F.col("fleet.client_id").alias("clients"), F.col("fleet.clean").alias("clean"), F.col("fleet.poisoned").alias("poisoned"))
@@ -104,6 +115,14 @@ def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int,
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", k long, n_init long, random_state long, client_id string, label_clean int, label_poisoned int, label_frozen int, silhouette_clean double, silhouette_poisoned double"
 
     def run(batches):
+        known: dict[tuple, np.ndarray] = {}  # the clean fleet of a seed comes again in every cell
+
+        def clean_labels(x, *how):
+            key = (x.tobytes(), *how)
+            if key not in known:
+                known[key] = group(x, *how)
+            return known[key]
+
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
@@ -113,7 +132,7 @@ def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int,
                     if len(clean) <= k:
                         continue
                     a, b, c = scale(clean, clean), scale(poisoned, poisoned), scale(poisoned, clean)
-                    la, lb, lc = (group_points(x, k, n_init, 300, state) for x in (a, b, c))
+                    la, lb, lc = (how(x, k, n_init, 300, state) for how, x in ((clean_labels, a), (group, b), (group, c)))
                     sa, sb = silhouette(a, la), silhouette(b, lb)
                     out += [(*head, k, n_init, state, client, x, y, z, sa, sb) for client, x, y, z in zip(r.clients, la, lb, lc, strict=True)]
             yield pd.DataFrame(out, columns=[*keys, "k", "n_init", "random_state", "client_id", "label_clean", "label_poisoned", "label_frozen", "silhouette_clean", "silhouette_poisoned"])

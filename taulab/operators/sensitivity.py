@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taulab.constants import CONVERGENCE, GLOBAL, LOCAL, QUANTILE, RAISE, TRIM_APPENDIX, TRIM_PRIMARY
 from taulab.functions.columns import cv
 
-from .cluster import grid_params
+from .cluster import grid_params, restarted
 from .inject import CELL
 from .sweep import Sweep, cluster_labels, cluster_shape
 from .thresholds import trimmed
@@ -53,8 +53,8 @@ def trust_boundary(s: Sweep) -> DataFrame:
 
 
 def cluster_stability(s: Sweep, ks=(2, 3, 4), inits=(1, 10), states=(0, 1, 7, 42, 123)) -> DataFrame:
-    """Cluster shapes of every perturbed cell for each (k, n_init, random_state) that the fleet allows."""
-    labels = cluster_labels(s, grid_params(ks, inits, states), only_perturbed=True)
+    """Cluster shapes of every perturbed cell for each (k, n_init, random_state) that the fleet allows, always by seeded restarts."""
+    labels = cluster_labels(s, grid_params(ks, inits, states), only_perturbed=True, group=restarted)
     return cluster_shape(labels, [*CELL, "k", "n_init", "random_state"])
 
 

@@ -15,7 +15,7 @@ from taulab.constants import CLUSTER, EPS, GLOBAL, IQR_FLOOR_FACTOR, LOCAL, MATE
 from taulab.functions.columns import cv, duplicate_rate, iqr, rates
 from taulab.sources.store import Store
 
-from .cluster import FINGERPRINT, fingerprints, label_states
+from .cluster import FINGERPRINT, fingerprints, group_points, label_states
 from .evaluate import auroc, scale_bases
 from .inject import CELL, budget, grid, injected
 from .range_count import count_above
@@ -74,7 +74,7 @@ def prepare(scores: DataFrame, n_min: int = N_MIN) -> Sweep:
     return Sweep(scores, clients, cells, poisoned, store.save(shifts, "shifts"), n_min, store)
 
 
-def cluster_labels(s: Sweep, params=None, only_perturbed: bool = False) -> DataFrame:
+def cluster_labels(s: Sweep, params=None, only_perturbed: bool = False, group=group_points) -> DataFrame:
     """Labels of all eligible clients for each cell (see ``label_states``)."""
     cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
     pack = F.array(*FINGERPRINT)
@@ -83,7 +83,7 @@ def cluster_labels(s: Sweep, params=None, only_perturbed: bool = False) -> DataF
     cells = s.cells.where("fraction > 0") if only_perturbed else s.cells
     rows = cells.select(*CELL).join(new, CELL, "left").join(F.broadcast(clean), "seed")
     rows = rows.withColumn("poisoned", F.when((F.col("client_id") == F.col("victim")) & F.col("changed").isNotNull(), F.col("changed")).otherwise(F.col("clean")))
-    return s.store.save(label_states(rows, CELL, params) if params else label_states(rows, CELL), "labels")
+    return s.store.save(label_states(rows, CELL, params, group) if params else label_states(rows, CELL, group=group), "labels")
 
 
 def cell_taus(s: Sweep, labels: DataFrame | None = None) -> DataFrame:
