@@ -263,13 +263,22 @@ def delta_tau(spark, sf_dir):
     return rounded(s.select(*inject.CELL, F.col("victim_tau_clean").alias("tau_clean"), F.col("victim_tau_poisoned").alias("tau_poisoned"), F.col("cal_duplicate_rate_clean").alias("duplicate_rate_clean"), F.col("cal_duplicate_rate_poisoned").alias("duplicate_rate_poisoned"), F.col("n_replaced").cast("long").alias("n_replaced")))
 
 
-@query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, {r('score')} FROM gifts WHERE draw <= 50"))
-def cross_device_donors(spark, sf_dir):
-    """The first donors in draw order (a top-k report)."""
+def _donors(spark, sf_dir):
     s = the_sweep(spark, sf_dir)
     train = s.scores.where("stage = 'train'").select("seed", "client_id", F.col("event_id").alias("row_id"), "pos", "score")
-    d = inject.donors(train, s.clients.select("seed", "client_id"))
-    return rounded(d.where("draw <= 50").select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "score"))
+    return inject.donors(train, s.clients.select("seed", "client_id"))
+
+
+@query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, {r('score')} FROM gifts WHERE draw <= 50"))
+def cross_device_donors(spark, sf_dir):
+    """The first 50 donors in draw order; ``cross_device_donors_all`` has all."""
+    return rounded(_donors(spark, sf_dir).where("draw <= 50").select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "score"))
+
+
+@query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, {r('score')} FROM gifts"))
+def cross_device_donors_all(spark, sf_dir):
+    """All donors in draw order."""
+    return rounded(_donors(spark, sf_dir).select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "score"))
 
 
 @query(sql.base(f"""SELECT user_id % 9 AS device, event_id, {r('value')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 9, user_id ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL) WHERE k = 1"""))
