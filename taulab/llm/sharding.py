@@ -3,7 +3,7 @@
 Records are ordered by (CRC-32 of the text, a hash of the id), so equal texts are neighbours
 and a large group of copies still has distinct keys.  Keys are sampled with chances in proportion
 to size; their quantiles are the splitters of many ranges, which are counted exactly, and a
-range with more rows than planned is subdivided.  Running sums inside a range and the totals of the
+range with more rows than planned is subdivided by splitters from its own keys, by row only if it has one key.  Running sums inside a range and the totals of the
 ranges before it give each record its exact place in the whole order, and the shard is
 the place in bytes times the number of shards over the total.
 
@@ -64,6 +64,33 @@ def _range_of(splitters: list[int]) -> F.Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.element_at(array, at + s) <= F.col("key"), at + s).otherwise(at))
 
 
+def _subdivided(keyed: DataFrame, splitters: list[int], planned: int, samples: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Splitters that leave at most ``planned`` rows in a range of more than one key, and (range, parts) of single keys with more.
+
+    An overfull range gets splitters from its own keys, drawn evenly; a key that spans several of their quantiles
+    gets a range of its own.  Every round adds a splitter inside each such range.
+    """
+    while True:
+        ranged = keyed.withColumn("range", _range_of(splitters))
+        full = ranged.groupBy("range").agg(F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("rows") > planned).collect()
+        wide = [r for r in full if r["low"] < r["high"]]
+        if not wide:
+            return splitters, [(r["range"], -(-r["rows"] // planned)) for r in full]
+        parts = {r["range"]: 2 * -(-r["rows"] // planned) for r in wide}
+        chances = F.create_map(*(F.lit(x) for r in wide for x in (r["range"], min(1.0, parts[r["range"]] * samples / r["rows"]))))
+        # another draw for each round
+        draw = F.pmod(F.xxhash64("key", "row", F.lit(len(splitters))), F.lit(1 << 30))
+        drawn: dict[int, list[int]] = {r["range"]: [] for r in wide}
+        for at, key in ranged.where(draw < F.element_at(chances, F.col("range")) * F.lit(float(1 << 30))).select("range", "key").collect():
+            drawn[at].append(key)
+        more = set(splitters)
+        for r in wide:
+            keys, k = sorted(drawn[r["range"]]) or [(r["low"] + r["high"] + 1) // 2], parts[r["range"]]
+            cuts = [keys[len(keys) * i // k] for i in range(1, k)]
+            more |= {x + d for x in cuts for d in range(1 + (cuts.count(x) > 1)) if r["low"] < x + d <= r["high"]}
+        splitters = sorted(more)
+
+
 def assign_shards(docs: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per record."""
     work, p = Workspace(docs.sparkSession, "sharding"), params
@@ -76,12 +103,15 @@ def assign_shards(docs: DataFrame, params: ShardParams = ShardParams()) -> DataF
     ranges = max(p.shards, min(p.most_ranges, -(-n // p.range_rows)))
     splitters = _splitters(keyed, total, ranges, ranges * p.samples_per_range) if n else []
 
-    ranged = keyed.withColumn("range", _range_of(splitters))
     planned = max(p.range_rows, 2 * n // ranges)
-    full = ranged.groupBy("range").agg(F.count("*").alias("rows")).select("range", F.ceil(F.col("rows") / planned).cast("int").alias("parts"))
-    parted = work.save(
-        ranged.join(full, "range").withColumn("part", F.when(F.col("parts") > 1, F.expr("cast(pmod(xxhash64(row), parts) AS int)")).otherwise(0)).drop("parts"), "ranged"
-    )
+    splitters, repeated = _subdivided(keyed, splitters, planned, p.samples_per_range)
+    ranged = keyed.withColumn("range", _range_of(splitters))
+    if repeated:
+        parts = docs.sparkSession.createDataFrame(repeated, "range int, parts int")
+        ranged = ranged.join(F.broadcast(parts), "range", "left").withColumn("part", F.coalesce(F.expr("cast(pmod(xxhash64(row), parts) AS int)"), F.lit(0))).drop("parts")
+    else:
+        ranged = ranged.withColumn("part", F.lit(0))
+    parted = work.save(ranged, "ranged")
     before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         parted.groupBy("range", "part")
