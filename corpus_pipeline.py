@@ -23,7 +23,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents holding a window of a benchmark item go."""
+    """Documents holding a window of a benchmark item go, exactly or with words put in or left out."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

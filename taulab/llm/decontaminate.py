@@ -206,14 +206,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Decontamination
     )
 
 
+def near_matches(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
+    """doc_id, n_items, n_near_items, near_items_sha256, near: proximity matches, exact ones included, one row per document."""
+    named = F.concat_ws(",", F.array_sort(F.col("near_items").cast("array<string>")))
+    near = F.size("near_items").cast("long")
+    return decontaminate(docs, benchmark, params).select("doc_id", "n_items", near.alias("n_near_items"), F.sha2(named, 256).alias("near_items_sha256"), (near > 0).alias("near"))
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """The documents without a word in any occurrence of a window, with all their columns."""
+    """The documents without an exact or proximity match of a window, with all their columns."""
     tests, names = _items(benchmark), docs.columns
     blocks = _blocks(tests, params)
     if blocks > 1:
         wide = Workspace(docs.sparkSession, "decontaminate").save(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
         found = decontaminate(wide.select(F.col("_row").alias("doc_id"), "text"), benchmark, params)
-        return wide.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*names)
+        return wide.join(found.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*names)
     sent, where = docs.sparkSession.sparkContext.broadcast(_block(tests, 0, 1, params)), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +229,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, params: Decontaminati
             for i, j, buf, offs in chunks(batch.column(where)):
                 starts, ends, before = word_bounds(buf, offs, ALNUM)
                 row = np.repeat(np.arange(j - i), np.diff(before))
-                _, start, _, _ = search(word_hashes(buf, starts, ends), before[row + 1], sent.value, 0)
-                kept.append(i + np.setdiff1d(np.arange(j - i), row[start]))
+                _, start, _, near = search(word_hashes(buf, starts, ends), before[row + 1], sent.value, params.slop)
+                kept.append(i + np.setdiff1d(np.arange(j - i), row[np.concatenate([start, near])]))
             yield batch.take(pa.array(np.concatenate(kept))) if kept else batch
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,6 +29,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("items", "near_items")
 
 
+def op4_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.near_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op2_line_dedup": op2_line_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_decontaminate": op4_decontaminate,
+        "op4_near_matches": op4_near_matches,
         "op5_quality_rules": op5_quality_rules,
         "op6_license_scan": op6_license_scan,
         "op7_sharding": op7_sharding,
