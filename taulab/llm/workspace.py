@@ -15,6 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK = "file:///tmp/checkpoints"
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Workspace:
     """A private folder; ``save`` cuts lineage by writing and rereading a table."""
 
