@@ -1,6 +1,6 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes and hierarchical decoding.
 
-A tolerant parser makes a tree of each page (void and raw elements, implied end tags, stray end tags).  Every
+A tolerant parser makes a tree of each page (void and raw elements, implied end tags, stray end tags), in time linear in its length.  Every
 block element, and every other element with a class, id or role, has features: text and link density of its subtree,
 tags in it, depth, place among its siblings and share of their text, attribute and tag tokens of its own and of its
 ancestors.  Boosted trees give each the log-odds of belonging to the article.  The decoder keeps the set
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the HTML standard: elements by how they nest and break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe select button svg math object audio video canvas noembed noframes xmp".split())
+#: Elements whose content is text up to their end tag, and elements that are never part of an article if they have an end tag.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+DROPPED = frozenset("noscript template select button svg audio video canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -50,10 +52,9 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*)[^>]*+>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*+)>",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_STOP = re.compile("[>\"']")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: What attribute tokens say, as groups of tokens.
@@ -76,8 +77,16 @@ KIND_OF = {t: k for k, s in enumerate(TAG_KINDS) for t in s.split()}
 TAG_GROUP = {"article": 0, "main": 0, "nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 9, "dialog": 6}
 
 
-@lru_cache(maxsize=1 << 14)
 def _attributes(tag: str, raw: str) -> tuple[int, int, bool, int]:
+    return _read_attributes(tag, raw) if len(raw) > 500 else _known_attributes(tag, raw)
+
+
+@lru_cache(maxsize=1 << 14)
+def _known_attributes(tag: str, raw: str) -> tuple[int, int, bool, int]:
+    return _read_attributes(tag, raw)
+
+
+def _read_attributes(tag: str, raw: str) -> tuple[int, int, bool, int]:
     """(bits of token groups, number of tokens, decides for itself, training label or -1) of a start tag."""
     bits, tokens, label, named = 1 << TAG_GROUP[tag] if tag in TAG_GROUP else 0, 0, -1, False
     for name, a, b, c in ATTRIBUTE.findall(raw):
@@ -114,48 +123,82 @@ class Pages:
     count: int = 0
 
     def add(self, html: str) -> None:
+        """Every character is looked at a bounded number of times, whatever the markup."""
         number, self.count = self.count, self.count + 1
         root = len(self.tag)
         self._open(number, "", "", -1)
         self.decides[root], self.depth[root] = True, 0
-        stack, block, at = [root], 0, 0
-        tags = self.tag
-        for m in TOKEN.finditer(html):
-            if m.start() < at:
-                continue  # inside a raw element
-            if m.start() > at:
-                self.runs.append((number, block, stack[-1], html[at : m.start()]))
-            at = m.end()
-            name, raw = m[2] or m[4], m[3] if m[2] else m[5]
-            if name:
-                name = name.lower()
-                if name in BLOCK:
-                    block += 1
-                    if name in CLOSES_P:
-                        self._close(stack, {"p"}, {"table", "td", "th", "button"})
-                    if name in IMPLIED:
-                        self._close(stack, *IMPLIED[name])
-                if name in RAW:
-                    close = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-                    at = close.end()
-                elif name == "br":
-                    self.runs.append((number, block, stack[-1], " "))
-                elif name not in VOID and not raw.endswith("/"):
-                    stack.append(self._open(number, name, raw, stack[-1]))
-            elif m[1]:
-                name = m[1].lower()
-                if name in BLOCK:
-                    block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        self._pop(stack, k)
-                        break
-                    if name not in BLOCK and tags[stack[k]] in BLOCK:
-                        break
-        if at < len(html):
-            self.runs.append((number, block, stack[-1], html[at:]))
+        stack = OpenElements(root)
+        block = at = seek = 0  # at: where the text begins that is not read yet
+        last, quotes = html.rfind(">"), True
+
+        def text(end: int) -> None:
+            if end > at:
+                self.runs.append((number, block, stack.top(), html[at:end]))
+
+        while (lt := html.find("<", seek)) >= 0:
+            seek = lt + 1
+            after = html[seek : seek + 1]
+            if after in ("!", "?"):
+                if html.startswith("<!--", lt):
+                    end = html.find("-->", lt + 2)
+                    end = end + 3 if end >= 0 else len(html)
+                else:
+                    end = html.find(">", seek) + 1 if seek <= last else len(html)
+                text(lt)
+                at = seek = end
+                continue
+            closing = after == "/"
+            m = NAME.match(html, seek + closing)
+            if not m:
+                if closing and seek < last and html[seek + 1 : seek + 2] != "<":
+                    text(lt)
+                    at = seek = html.find(">", seek) + 1
+                continue
+            if seek > last:  # the page ends inside a tag: an end tag is dropped, all else is text
+                text(lt if closing else len(html))
+                at = len(html)
+                break
+            end = html.find(">", m.end()) if closing or not quotes else _tag_end(html, m.end())
+            if end < 0:
+                quotes, end = False, html.find(">", m.end())
+            name, raw = m[0].lower(), html[m.end() : end]
+            text(lt)
+            at = seek = end + 1
+            if closing:
+                block += name in BLOCK
+                k = stack.matching(name)
+                if k >= 0:
+                    mark = stack.marks.get(stack.nodes[k])
+                    self._pop(stack, k)
+                    if mark:  # as if it had never been opened
+                        block = self._forget(*mark)
+                continue
+            if name in BLOCK:
+                block += 1
+                if name in CLOSES_P:
+                    self._close(stack, {"p"}, P_SCOPE)
+                if name in IMPLIED:
+                    self._close(stack, *IMPLIED[name])
+            if name in RAW and not stack.inside("svg"):
+                at = seek = RAW_END[name].search(html, at).end()
+            elif name == "br":
+                self.runs.append((number, block, stack.top(), " "))
+            elif name not in VOID and not raw.endswith("/"):
+                x = self._open(number, name, raw, stack.top())
+                stack.push(x, name)
+                if name in DROPPED:
+                    stack.marks[x] = (x, len(self.runs), block)
+        text(len(html))
         self._pop(stack, 0)
 
+    def _forget(self, first: int, runs: int, block: int) -> int:
+        """Remove the elements and text runs from these numbers on."""
+        for column in (self.page, self.tag, self.parent, self.end, self.depth, self.bits, self.above, self.tokens, self.decides, self.label, self.in_link):
+            del column[first:]
+        del self.runs[runs:]
+        return block
+
     def _open(self, number: int, tag: str, raw: str, parent: int) -> int:
         bits, tokens, decides, label = _attributes(tag, raw)
         self.page.append(number)
@@ -171,21 +214,78 @@ class Pages:
         self.in_link.append(tag == "a" or parent >= 0 and self.in_link[parent])
         return len(self.tag) - 1
 
-    def _close(self, stack: list[int], which: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in until:
-                return
-            if self.tag[stack[k]] in which:
-                lowest = k
-                while lowest > 1 and self.tag[stack[lowest - 1]] in which:
-                    lowest -= 1
-                self._pop(stack, lowest)
-                return
-
-    def _pop(self, stack: list[int], k: int) -> None:
-        for x in stack[k:]:
+    def _close(self, stack: OpenElements, which: set[str], until: set[str]) -> None:
+        lowest = stack.highest(which)
+        if lowest > stack.highest(until):
+            while lowest > 1 and stack.names[lowest - 1] in which:
+                lowest -= 1
+            self._pop(stack, lowest)
+
+    def _pop(self, stack: OpenElements, k: int) -> None:
+        for x in stack.cut(k):
             self.end[x] = len(self.tag)
-        del stack[k:]
+
+
+#: What a p element is not looked for beyond.
+P_SCOPE = {"table", "td", "th", "object"} | DROPPED
+
+
+class OpenElements:
+    """The stack of open elements, with the places of each name."""
+
+    def __init__(self, root: int) -> None:
+        self.nodes, self.names = [root], [""]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.marks: dict[int, tuple[int, int, int]] = {}
+
+    def top(self) -> int:
+        return self.nodes[-1]
+
+    def push(self, node: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.nodes))
+        if name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def cut(self, k: int) -> list[int]:
+        out = self.nodes[k:]
+        for name, node in zip(self.names[k:], out, strict=True):
+            if self.places.get(name):
+                self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            self.marks.pop(node, None)
+        del self.nodes[k:], self.names[k:]
+        return out
+
+    def highest(self, names: set[str]) -> int:
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def inside(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def matching(self, name: str) -> int:
+        """The place that an end tag closes, or -1: one of an inline element does not reach out of a block."""
+        places = self.places.get(name)
+        return places[-1] if places and (name in BLOCK or not self.blocks or self.blocks[-1] < places[-1]) else -1
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``, or -1: a quote counts only after an equals sign."""
+    while m := TAG_STOP.search(html, at):
+        at = m.end()
+        if m[0] == ">":
+            return m.start()
+        k = m.start() - 1
+        while html[k].isspace():
+            k -= 1
+        if html[k] == "=":
+            at = html.find(m[0], at) + 1
+            if not at:
+                return -1
+    return -1
 
 
 def features(p: Pages) -> np.ndarray:
@@ -436,16 +536,23 @@ def extract(pages: list[str | None], trees: BoostedTrees) -> list[str]:
     asked = np.flatnonzero(np.array(p.decides) & (run[np.array(p.end)] > run[:-1]))
     margin[asked] = trees.margin(x[asked])
     kept = decode(p, margin)
-    blocks: list[list[str]] = [[] for _ in pages]
+    blocks: list[list[list[str]]] = [[] for _ in pages]
     last = None
     for number, block, node, text in p.runs:
         if kept[node]:
-            if last == (number, block):
-                blocks[number][-1] += text
-            else:
-                blocks[number].append(text)
+            if last != (number, block):
+                blocks[number].append([])
                 last = (number, block)
-    return ["\n".join(t for b in parts if (t := SPACE.sub(" ", unescape(b)).strip())) for parts in blocks]
+            blocks[number][-1].append(text)
+    return ["\n".join(t for b in parts if (t := SPACE.sub(" ", _decoded("".join(b))).strip())) for parts in blocks]
+
+
+ZEROS, LONG_NUMBER = re.compile(r"&#0{2,}(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded; numbers beyond any character are the replacement character, however many digits they have."""
+    return unescape(LONG_NUMBER.sub("\uFFFD", ZEROS.sub("&#", text)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import html
+import itertools
 import re
+import time
 
 import numpy as np
 
@@ -34,6 +36,59 @@ def test_odd_markup():
     assert text_of("<div>" * 5000 + "x" + "</div>" * 5000) in ("", "x")
 
 
+ARTICLE = "<article><h1>Heading here</h1><p>A first paragraph of plain words, long enough to be read.{} It goes on here, in more words.</p><p>The last one ends here, in plain words.</p></article>"
+
+
+def test_elements_that_an_article_may_hold():
+    plain = text_of(ARTICLE.format(""))
+    assert plain.count("\n") == 2
+    gone = ("<svg/>", '<svg a="/>"/>', "<svg><title>No</title><path d=x></svg>", "<button>No</button>", "<select><option>No</select>", "<noscript><div>No</div></noscript>", "<script>a <!-- b</script>", "<video src=x/>", "<!-- <p> -->")
+    for inside in gone:
+        assert text_of(ARTICLE.format(inside)) == plain
+    # without an end tag they drop nothing; a formula and what stands for an object are text
+    for inside in ("<button>word", "<video src=x>word", "<math><mi>word</mi></math>", "<object data=x>word</object>", "<a title=it's>word</a>"):
+        assert text_of(ARTICLE.format(inside)) == plain.replace("read.", "read.word")
+    assert text_of(ARTICLE.format("&#0000000065;&#99999999999;&#" + "9" * 9000 + ";&#" + "0" * 9000 + "66;")) == plain.replace("read.", "read.A\uFFFD\uFFFDB")
+
+
+def test_time_is_linear_in_the_length_of_a_page():
+    parts = ("<a ", "<b>x</i>", '<a ">" ', "<p>x ", "<!-- ", "<button>x", "a<b>", "&#9", "<a b='", "</", "<li>x", "<td>x<div>", "<svg>x</svg>", "<i><div><b></i>")
+    trained()
+    for part in parts:
+        page = part * (1_000_000 // len(part))
+        start = time.perf_counter()
+        extract([page], trained())
+        assert time.perf_counter() - start < 40, part
+
+
+def best_set(parent, decides, value):
+    """By trying all sets of deciding nodes in which no kept node has a dropped ancestor; others follow their parents."""
+    free = [x for x in range(1, len(parent)) if decides[x]]
+    best = None
+    for chosen in itertools.product((False, True), repeat=len(free)):
+        kept, ok = [True] * len(parent), True
+        for x in range(1, len(parent)):
+            up = kept[parent[x]]
+            kept[x] = up and (chosen[free.index(x)] if decides[x] else True)
+            ok = ok and not (decides[x] and chosen[free.index(x)] and not up)
+        total = sum(value[x] for x in range(len(parent)) if decides[x] and kept[x])
+        if ok and (best is None or total > best):
+            best = total
+    return best
+
+
+def test_decoder_finds_the_best_set():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(2, 10))
+        p = Pages()
+        p.tag, p.parent, p.decides = ["div"] * n, [-1, *(int(rng.integers(0, x)) for x in range(1, n))], [True, *(bool(b) for b in rng.random(n - 1) < 0.8)]
+        value = np.where(p.decides, rng.normal(size=n), 0.0)
+        kept = decode(p, value)
+        assert all(kept[x] <= kept[p.parent[x]] for x in range(1, n))
+        assert abs(sum(value[x] for x in range(n) if kept[x] and p.decides[x]) - best_set(p.parent, p.decides, value)) < 1e-9
+
+
 def test_pages_that_were_not_trained_on():
     p = Pages()
     for page in training_pages(120, seed=77):
