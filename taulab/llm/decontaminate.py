@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import ALNUM, chunks, word_bounds, word_hashes
-from .workspace import Workspace
+from .workspace import Workspace, fresh
 
 
 @dataclass(frozen=True)
@@ -218,9 +218,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, params: Decontaminati
     tests, names = _items(benchmark), docs.columns
     blocks = _blocks(tests, params)
     if blocks > 1:
-        wide = Workspace(docs.sparkSession, "decontaminate").save(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-        found = decontaminate(wide.select(F.col("_row").alias("doc_id"), "text"), benchmark, params)
-        return wide.join(found.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*names)
+        row = fresh(docs, "row")
+        wide = Workspace(docs.sparkSession, "decontaminate").save(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+        found = decontaminate(wide.select(F.col(row).alias("doc_id"), "text"), benchmark, params)
+        return wide.join(found.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias(row)), row, "left_anti").select(*names)
     sent, where = docs.sparkSession.sparkContext.broadcast(_block(tests, 0, 1, params)), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

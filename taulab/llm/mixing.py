@@ -1,11 +1,13 @@
 """Mixing sources to target weights by pivotal dependent rounding, with DataFrame operations only.
 
 A source's target over its size is the number of copies expected of each of its documents.
-The integral part is certain; the fractional parts are rounded together: two undecided sides
-exchange expected words until one of them is decided, at random so that each keeps its expectation, and
-the other goes on.  In chunks of bounded size a side is the largest undecided document or all smaller ones
-together; the one document that a chunk leaves, mostly its smallest, meets those of other chunks in the next level of a
-reduction tree, until one is left for each source.  The words taken from a source so
+The integral part is certain; the fractional parts are rounded together.  Two undecided documents exchange expected words
+until one of them is decided, at random so that each keeps its expectation, and the other goes on.
+
+In chunks of bounded size documents meet in order of size, the largest first, and only within a factor of two; what
+such a class leaves undecided is decided against all smaller documents of the chunk, whose common chance takes up what is left
+over, if it can without any of them being decided by that.  What it can't take up, and the last one of a chunk, meet
+those of other chunks in the next levels of a reduction tree, until one is left for each source.  The words taken from a source so
 differ from its target by no more than that last document's.
 
 Chances come from hashes of the document, so reruns agree.
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, fresh
 
 
 @dataclass(frozen=True)
@@ -57,59 +59,79 @@ def source_targets(sized: DataFrame, p: MixParams) -> DataFrame:
     )
 
 
-#: One meeting: the carried document c and the next one x move expected words between them.
-_RAISE, _LOWER = "least(1 - c.p, x.p * x.w / c.w)", "least(c.p, (1 - x.p) * x.w / c.w)"
-_MEET = f"""aggregate(units, struct(cast(null AS struct<row: bigint, w: double, p: double, u: double>) AS c, cast(array() AS array<struct<row: bigint, extra: int>>) AS done),
-  (acc, x) -> CASE
-    WHEN acc.c IS NULL THEN struct(x AS c, acc.done AS done)
-    WHEN x.u * (R + L) < L AND 1 - acc.c.p <= x.p * x.w / acc.c.w
-      THEN struct(named_struct('row', x.row, 'w', x.w, 'p', greatest(0D, x.p - (1 - acc.c.p) * acc.c.w / x.w), 'u', x.u) AS c, array_append(acc.done, named_struct('row', acc.c.row, 'extra', 1)) AS done)
-    WHEN x.u * (R + L) < L
-      THEN struct(named_struct('row', acc.c.row, 'w', acc.c.w, 'p', least(1D, acc.c.p + x.p * x.w / acc.c.w), 'u', acc.c.u) AS c, array_append(acc.done, named_struct('row', x.row, 'extra', 0)) AS done)
-    WHEN acc.c.p <= (1 - x.p) * x.w / acc.c.w
-      THEN struct(named_struct('row', x.row, 'w', x.w, 'p', least(1D, x.p + acc.c.p * acc.c.w / x.w), 'u', x.u) AS c, array_append(acc.done, named_struct('row', acc.c.row, 'extra', 0)) AS done)
-    ELSE struct(named_struct('row', acc.c.row, 'w', acc.c.w, 'p', greatest(0D, acc.c.p - (1 - x.p) * x.w / acc.c.w), 'u', acc.c.u) AS c, array_append(acc.done, named_struct('row', x.row, 'extra', 1)) AS done)
-  END)""".replace("R +", _RAISE.replace("c.", "acc.c.") + " +").replace("+ L)", "+ " + _LOWER.replace("c.", "acc.c.") + ")").replace("< L", "< " + _LOWER.replace("c.", "acc.c."))
-
-
-def _pooled() -> str:
-    """In a chunk all chances are equal at first.  The largest document meets all smaller ones as one pool, whose common chance q
-    moves the other way; then the next largest does.  What is left over is so the smallest, unless the pool is decided first."""
-    q, w, rest = "acc.q", "x.w", "(acc.rest - x.w)"
-    up = f"x.u * (least(1 - {q}, {q} * {rest} / {w}) + least({q}, (1 - {q}) * {rest} / {w})) < least({q}, (1 - {q}) * {rest} / {w})"
-
-    def state(new_q: str, closed: str, c: str, extra: str | None) -> str:
-        done = f"array_append(acc.done, named_struct('row', x.row, 'extra', {extra}))" if extra else "acc.done"
-        return f"struct({new_q} AS q, {rest} AS rest, {closed} AS closed, {c} AS c, {done} AS done)"
-
-    left = lambda p: f"named_struct('row', x.row, 'w', x.w, 'p', {p}, 'u', x.u)"
-    return f"""aggregate(units, struct(units[0].p AS q, aggregate(units, 0D, (a, x) -> a + x.w) AS rest, -1 AS closed, cast(null AS struct<row: bigint, w: double, p: double, u: double>) AS c, cast(array() AS array<struct<row: bigint, extra: int>>) AS done),
-  (acc, x) -> CASE
-    WHEN acc.closed >= 0 THEN {state(q, "acc.closed", "acc.c", "acc.closed")}
-    WHEN {rest} <= 0 THEN {state(q, "acc.closed", left(q), None)}
-    WHEN {up} AND 1 - {q} <= {q} * {rest} / {w} THEN {state(f"greatest(0D, {q} - (1 - {q}) * {w} / {rest})", "-1", "acc.c", "1")}
-    WHEN {up} THEN {state(q, "0", left(f"least(1D, {q} + {q} * {rest} / {w})"), None)}
-    WHEN {q} <= (1 - {q}) * {rest} / {w} THEN {state(f"least(1D, {q} + {q} * {w} / {rest})", "-1", "acc.c", "0")}
-    ELSE {state(q, "1", left(f"greatest(0D, {q} - (1 - {q}) * {rest} / {w})"), None)}
-  END)"""
+_UNIT = "struct<row: bigint, w: double, p: double, u: double, v: double>"
+_DONE = "array<struct<row: bigint, extra: int>>"
+
+
+def _unit(x: str, p: str) -> str:
+    return f"named_struct('row', {x}.row, 'w', {x}.w, 'p', {p}, 'u', {x}.u, 'v', {x}.v)"
+
+
+def _state(q: str = "acc.q", rest: str = "acc.rest", c: str = "acc.c", left: str = "acc.left", row: str = "", extra: int = 0) -> str:
+    done = f"array_append(acc.done, named_struct('row', {row}, 'extra', {extra}))" if row else "acc.done"
+    return f"named_struct('q', {q}, 'rest', {rest}, 'c', {c}, 'left', {left}, 'done', {done})"
+
+
+def _class_ends() -> str:
+    """The carried document c is a class larger than the next one x: it is decided against all documents from x on, together of
+    acc.rest words and of the common chance acc.q, or put aside if they can't take that up."""
+    c, none = "acc.c", f"cast(null AS {_UNIT})"
+    taken = _state(q=f"acc.q - (1 - {c}.p) * {c}.w / acc.rest", c=none, row=f"{c}.row", extra=1)
+    refused = _state(q=f"acc.q + {c}.p * {c}.w / acc.rest", c=none, row=f"{c}.row", extra=0)
+    aside = _state(c=none, left=f"array_append(acc.left, {c})")
+    return f"""CASE WHEN {c} IS NULL OR floor(log2({c}.w)) = floor(log2(e.x.w)) THEN acc
+      WHEN (1 - {c}.p) * {c}.w >= acc.q * acc.rest OR {c}.p * {c}.w >= (1 - acc.q) * acc.rest THEN {aside}
+      WHEN {c}.v < {c}.p THEN {taken} ELSE {refused} END"""
+
+
+def _meeting(p: str) -> str:
+    """The carried document c and the next one x, of chance p, move expected words between them until one is decided."""
+    c, x, rest = "acc.c", "e.x", "acc.rest - e.x.w"
+    up, down = f"least(1 - {c}.p, {p} * {x}.w / {c}.w)", f"least({c}.p, (1 - {p}) * {x}.w / {c}.w)"
+    raised = f"{x}.u * ({up} + {down}) < {down}"
+    c_taken = _state(rest=rest, c=_unit(x, f"greatest(0D, {p} - (1 - {c}.p) * {c}.w / {x}.w)"), row=f"{c}.row", extra=1)
+    x_refused = _state(rest=rest, c=_unit(c, f"least(1D, {c}.p + {p} * {x}.w / {c}.w)"), row=f"{x}.row", extra=0)
+    c_refused = _state(rest=rest, c=_unit(x, f"least(1D, {p} + {c}.p * {c}.w / {x}.w)"), row=f"{c}.row", extra=0)
+    x_taken = _state(rest=rest, c=_unit(c, f"greatest(0D, {c}.p - (1 - {p}) * {x}.w / {c}.w)"), row=f"{x}.row", extra=1)
+    return f"""CASE WHEN {c} IS NULL THEN {_state(rest=rest, c=_unit(x, p))}
+      WHEN {raised} AND 1 - {c}.p <= {p} * {x}.w / {c}.w THEN {c_taken}
+      WHEN {raised} THEN {x_refused}
+      WHEN {c}.p <= (1 - {p}) * {x}.w / {c}.w THEN {c_refused} ELSE {x_taken} END"""
+
+
+def _met(level: int) -> str:
+    """What becomes of a chunk's units, the largest first: (q, rest, c, left, done)."""
+    start = f"named_struct('q', units[0].p, 'rest', aggregate(units, 0D, (a, x) -> a + x.w), 'c', cast(null AS {_UNIT}), 'left', cast(array() AS array<{_UNIT}>), 'done', cast(array() AS {_DONE}))"
+    if level:
+        return f"aggregate(transform(units, x -> named_struct('x', x)), {start}, (acc, e) -> {_meeting('e.x.p')})"
+    events = "flatten(transform(units, x -> array(named_struct('next', false, 'x', x), named_struct('next', true, 'x', x))))"
+    return f"aggregate({events}, {start}, (acc, e) -> CASE WHEN e.next THEN {_meeting('acc.q')} ELSE {_class_ends()} END)"
+
+
+def _draw(level: int, seed: int, salt: str) -> F.Column:
+    return F.pmod(F.xxhash64("h", F.lit(seed), F.lit(level), F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
+
+
+def _packed(units: DataFrame, level: int, seed: int) -> DataFrame:
+    """(source, chunk, units): of each chunk, the largest first, so that what is left over is small."""
+    unit = F.struct(F.col("w").alias("w"), F.col("h"), "row", "p", _draw(level, seed, "u").alias("u"), _draw(level, seed, "v").alias("v"))
+    met = units.groupBy("source", "chunk").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
+    return met.withColumn("units", F.expr(f"transform(units, x -> {_unit('x', 'x.p')})"))
 
 
 def _rounded(units: DataFrame, most_chunks: int, p: MixParams, work: Workspace) -> DataFrame:
     """units (source, chunk, row, w, p, h) -> (row, extra): p rounded to 0 or 1."""
     decided, level = None, 0
     while True:
-        u = F.pmod(F.xxhash64("h", F.lit(p.seed), F.lit(level)), F.lit(1 << 52)) / float(1 << 52)
-        # the largest first, so that what is left over is small
-        unit = F.struct(F.col("w").alias("w"), F.col("h"), "row", "p", u.alias("u"))
-        met = units.groupBy("source", "chunk").agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
-        met = met.withColumn("units", F.expr("transform(units, x -> named_struct('row', x.row, 'w', x.w, 'p', x.p, 'u', x.u))"))
-        met = work.save(met.withColumn("met", F.expr(_MEET if level else _pooled())).select("source", "chunk", "met.c", "met.done"), "met")
+        met = _packed(units, level, p.seed).withColumn("met", F.expr(_met(level)))
+        undecided = F.expr("if(met.c IS NULL, met.left, array_append(met.left, met.c))")
+        met = work.save(met.select("source", "chunk", undecided.alias("left"), "met.done"), "met")
         done = met.select(F.explode("done").alias("d")).select("d.row", "d.extra")
         decided = done if decided is None else decided.unionByName(done)
-        if most_chunks <= 1:
-            last = met.where("c IS NOT NULL").select(F.col("c.row").alias("row"), F.when(F.col("c.u") < F.col("c.p"), 1).otherwise(0).alias("extra"))
-            return decided.unionByName(last)
-        units = met.where("c IS NOT NULL").select("source", F.floor(F.col("chunk") / p.chunk).alias("chunk"), "c.row", "c.w", "c.p", F.xxhash64("source", "chunk", "c.w").alias("h"))
+        left = met.select("source", "chunk", F.explode("left").alias("c"))
+        if level and most_chunks <= 1:
+            return decided.unionByName(left.select("c.row", F.when(F.col("c.v") < F.col("c.p"), 1).otherwise(0).alias("extra")))
+        units = left.select("source", F.floor(F.col("chunk") / p.chunk).alias("chunk"), "c.row", "c.w", "c.p", F.xxhash64("source", "chunk", "c.w", "c.v").alias("h"))
         most_chunks, level = -(-most_chunks // p.chunk), level + 1
 
 
@@ -166,12 +188,13 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     """
     work = Workspace(docs.sparkSession, "mixing")
     planned, decided = _plan(_rows(docs, work), params, work)
-    copies = planned.join(decided.hint("merge"), "row", "left").groupBy("h", "doc_id", "source").agg(F.sum(F.col("base") + F.coalesce("extra", F.lit(0))).alias("_copies"), F.count("*").alias("_rows"))
-    copies = work.save(copies.select(F.col("h").alias("_h"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies", "_rows"), "copies")
-    same = (F.col("_mix_h") == F.col("_h")) & F.col("_mix_doc_id").eqNullSafe(F.col("_id")) & F.col("_mix_source").eqNullSafe(F.col("_source"))
-    keyed = docs.withColumns({f"_mix_{k}": c for k, c in _key().items()})
-    taken = keyed.join(copies.where("_copies > 0"), same)
-    if not copies.where("_rows > 1").isEmpty():
-        again = taken.where("_rows > 1").dropDuplicates(["_mix_h", "_mix_doc_id", "_mix_source"])
-        taken = taken.where("_rows = 1").unionByName(again)
-    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    copies = planned.join(decided.hint("merge"), "row", "left").groupBy("h", "doc_id", "source").agg(F.sum(F.col("base") + F.coalesce("extra", F.lit(0))).alias("copies"), F.count("*").alias("rows"))
+    n = {k: fresh(docs, f"mix_{k}") for k in ("h", "doc_id", "source", "of_h", "of_id", "of_source", "copies", "rows", "again")}
+    copies = work.save(copies.toDF(n["of_h"], n["of_id"], n["of_source"], n["copies"], n["rows"]), "copies")
+    same = (F.col(n["h"]) == F.col(n["of_h"])) & F.col(n["doc_id"]).eqNullSafe(F.col(n["of_id"])) & F.col(n["source"]).eqNullSafe(F.col(n["of_source"]))
+    keyed = docs.withColumns({n[k]: c for k, c in _key().items()})
+    taken = keyed.join(copies.where(F.col(n["copies"]) > 0), same)
+    if not copies.where(F.col(n["rows"]) > 1).isEmpty():
+        again = taken.where(F.col(n["rows"]) > 1).dropDuplicates([n["h"], n["doc_id"], n["source"]])
+        taken = taken.where(F.col(n["rows"]) == 1).unionByName(again)
+    return taken.withColumn(n["again"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(n["copies"])))).select(*docs.columns)
