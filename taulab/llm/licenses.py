@@ -1,12 +1,14 @@
-"""License scan: an exact set-similarity join of text lines with license templates, with DataFrame operations only.
-
-Lines and templates are sets of words.  A line meets a template if it holds at least ``percent`` of the
-template's words.  Words are ordered by their number of lines in the whole corpus, rarest first, and:
-  prefix filter     a line that meets a template of k words, needing a of them, holds one of its k - a + 1 rarest
-  length filter     the line has at least a words of the templates' vocabulary
+"""License scan: an exact set-similarity join of text blocks with license templates, with DataFrame operations only.
+
+A document meets a template of k words if some run of at most ``stretch_percent`` of k consecutive words, whatever its line
+ends, holds ``percent`` of the template's words or more.  Blocks are runs of ``2 * stride`` words that begin at every ``stride``-th
+word, so each such run lies in one of them.  Blocks and templates are sets of words.  Words are ordered by their number of blocks
+in the whole corpus, rarest first, and:
+  prefix filter     a block that meets a template of k words, needing a of them, holds one of its k - a + 1 rarest
+  length filter     the block has at least a words of the templates' vocabulary
   positional filter a words can still be common from the shared word on, on both sides
-Only lines that share a prefix word with a template meet it in the join; the overlap is then counted exactly, once
-for each pair (at its rarest common word).  Templates are a fixed list, so what is broadcast is bounded.
+Only blocks that share a prefix word with a template meet it in the join; the overlap is then counted exactly, once
+for each pair (at its rarest common word), and last the runs inside the block are.  Templates are a fixed list, so what is broadcast is bounded.
 
 Besides, the places of three phrases are counted over the words of the whole text, whatever its lines.
 
@@ -51,15 +53,19 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
-#: What stands between words, but for line ends.
-SIGNS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class LicenseParams:
+    """stretch_percent: the longest run of words that may hold a template, to its length; stride: at least the longest of these."""
+
     percent: int = 90
+    stretch_percent: int = 150
+    stride: int = 40
     templates: tuple[tuple[str, str], ...] = TEMPLATES
 
 
@@ -67,6 +73,10 @@ def _needed(size: int, p: LicenseParams) -> int:
     return -(-size * p.percent // 100)
 
 
+def _stretch(text: str, p: LicenseParams) -> int:
+    return len(text.split()) * p.stretch_percent // 100
+
+
 def _places(parts: list[str], label: str) -> F.Column:
     """The places in ``words`` where the parts stand one after another."""
     wanted = F.array(*map(F.lit, parts))
@@ -77,18 +87,25 @@ def _places(parts: list[str], label: str) -> F.Column:
 
 
 def _facts(docs: DataFrame, p: LicenseParams) -> DataFrame:
-    """One pass over the texts: counts, phrase places, and for each line its words that templates use."""
+    """One pass over the texts: counts, phrase places, and for each block its words that templates use, with their places."""
+    if max(_stretch(t, p) for _, t in p.templates) > p.stride + 1:
+        raise ValueError("stride is shorter than the run of a template")
     vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, t in p.templates for w in t.split()})))
     low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(low, SIGNS, " ").alias("plain"))
     least = min(_needed(len(set(t.split())), p) for _, t in p.templates)
-    every = plain.withColumns({
-        "every_word": F.array_remove(F.split(F.translate("plain", "\n", " "), " "), ""),
-        "lines": F.filter(F.transform(F.split("plain", "\n"), lambda x: F.array_intersect(F.split(x, " "), vocabulary)), lambda x: F.size(x) >= least),
-    })
+    every = plain.withColumn("every_word", F.array_remove(F.split("plain", " "), ""))
     every = every.withColumn("words", F.when(F.contains("plain", F.lit("license")), F.col("every_word")))
+    strides = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size("every_word") - 1) / p.stride).cast("int"))
+    every = every.withColumn("halves", F.transform(strides, lambda i: F.array_intersect(F.slice("every_word", i * p.stride + 1, F.lit(p.stride)), vocabulary)))
+    numbered = F.transform("halves", lambda x, i: F.struct(i.alias("i"), F.array_union(x, F.coalesce(F.get("halves", i + 1), F.array().cast("array<string>"))).alias("words")))
+
+    def marked(block: F.Column) -> F.Column:
+        run = F.slice("every_word", block["i"] * p.stride + 1, F.lit(2 * p.stride))
+        return F.struct(block["words"].alias("words"), F.filter(F.transform(run, lambda w, k: F.struct(w.alias("word"), k.alias("at"))), lambda x: F.array_contains(block["words"], x["word"])).alias("marks"))
+
     places = [_places(phrase.split(), label) for phrase, label in PHRASES]
-    every = every.withColumn("places", F.concat(*places))
+    every = every.withColumns({"places": F.concat(*places), "blocks": F.transform(F.filter(numbered, lambda x: F.size(x["words"]) >= least), marked)})
     starts = F.transform("places", lambda x: x["at"])
     return every.select(
         "row",
@@ -98,13 +115,13 @@ def _facts(docs: DataFrame, p: LicenseParams) -> DataFrame:
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"]))).alias("base"),
-        "lines",
+        "blocks",
     )
 
 
-def _matches(lines: DataFrame, p: LicenseParams) -> DataFrame:
-    """lines (row, words) -> (row, label, containment) of all lines that meet a template."""
-    counts = {r["word"]: r["n"] for r in lines.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # one row for each template word at most
+def _matches(blocks: DataFrame, p: LicenseParams) -> DataFrame:
+    """blocks (row, words, marks) -> (row, label, containment) of all blocks that hold a run that meets a template."""
+    counts = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # one row for each template word at most
     order = sorted({w for _, t in p.templates for w in t.split()}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     prefix, prefix_words = [], set()
@@ -112,25 +129,33 @@ def _matches(lines: DataFrame, p: LicenseParams) -> DataFrame:
         ranks = sorted({rank[w] for w in text.split()})
         need = _needed(len(ranks), p)
         for i, r in enumerate(ranks[: len(ranks) - need + 1]):
-            prefix.append((r, label, ranks, i, need))
+            prefix.append((r, label, ranks, sorted(set(text.split())), i, need, _stretch(text, p)))
             prefix_words.add(order[r])
-    templates = lines.sparkSession.createDataFrame(prefix, "rank int, label string, template array<int>, i int, need int")
+    templates = blocks.sparkSession.createDataFrame(prefix, "rank int, label string, template array<int>, template_words array<string>, i int, need int, stretch int")
     ranks_of = F.create_map(*(x for w in order for x in (F.lit(w), F.lit(rank[w]))))
-    near = lines.where(F.arrays_overlap("words", F.array(*(F.lit(w) for w in sorted(prefix_words)))))
-    near = near.select("row", F.array_sort(F.transform("words", lambda w: F.element_at(ranks_of, w))).alias("line"))
-    probes = near.select("row", "line", F.posexplode("line").alias("j", "rank"))
-    met = probes.join(F.broadcast(templates), "rank").where((F.size("line") - F.col("j") >= F.col("need")) & (F.size("template") - F.col("i") >= F.col("need")))
-    common = F.array_intersect("line", "template")
+    near = blocks.where(F.arrays_overlap("words", F.array(*(F.lit(w) for w in sorted(prefix_words)))))
+    near = near.select("row", "marks", F.array_sort(F.transform("words", lambda w: F.element_at(ranks_of, w))).alias("block"))
+    probes = near.select("row", "marks", "block", F.posexplode("block").alias("j", "rank"))
+    met = probes.join(F.broadcast(templates), "rank").where((F.size("block") - F.col("j") >= F.col("need")) & (F.size("template") - F.col("i") >= F.col("need")))
+    common = F.array_intersect("block", "template")
     met = met.withColumn("common", common).where((F.size("common") >= F.col("need")) & (F.array_min("common") == F.col("rank")))
-    return met.select("row", "label", (F.size("common") / F.size("template")).alias("containment"))
+    met = met.withColumn("marks", F.filter("marks", lambda x: F.array_contains("template_words", x["word"])))
+
+    def held(start: F.Column) -> F.Column:
+        """How many different words of the template stand in the run that begins with this one."""
+        run = F.filter("marks", lambda y: (y["at"] >= start["at"]) & (y["at"] < start["at"] + F.col("stretch")))
+        return F.size(F.array_distinct(F.transform(run, lambda y: y["word"])))
+
+    met = met.withColumn("held", F.array_max(F.transform("marks", held))).where(F.col("held") >= F.col("need"))
+    return met.select("row", "label", (F.col("held") / F.size("template")).alias("containment"))
 
 
 def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per document."""
     facts = Workspace(docs.sparkSession, "licenses").save(_facts(docs, params), "facts")
-    lines = facts.select("row", F.explode("lines").alias("words"))
-    found = _matches(lines, params).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    every = facts.drop("lines").join(found, "row", "left")
+    blocks = facts.select("row", F.explode("blocks").alias("block")).select("row", "block.*")
+    found = _matches(blocks, params).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    every = facts.drop("blocks").join(found, "row", "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return every.select(
         "doc_id",
@@ -149,7 +174,7 @@ _PHRASE_SQL = " UNION ALL ".join(
 )
 _TEMPLATE_SQL = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in TEMPLATES)
 
-#: The same in DuckDB's SQL, every line against every template.
+#: The same in DuckDB's SQL, every run that begins with a word of a template against it.
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 w AS (SELECT doc_id, low, regexp_extract_all(low, '{WORD}') AS ws FROM d),
@@ -157,11 +182,12 @@ at_word AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w WHERE c
 places AS ({_PHRASE_SQL}),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY doc_id
-), templates AS (SELECT label, list_distinct(t) AS t FROM (VALUES {_TEMPLATE_SQL}) AS v(label, t)),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS ws FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+), templates AS (SELECT label, list_distinct(t) AS t, len(t) AS k FROM (VALUES {_TEMPLATE_SQL}) AS v(label, t)),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
 met AS (
-  SELECT doc_id, label, len(list_intersect(ws, t)) / len(t) AS containment FROM lines CROSS JOIN templates
-  WHERE 100 * len(list_intersect(ws, t)) >= 90 * len(t)
+  SELECT doc_id, label, len(list_intersect(ws[p : p + k * 150 // 100 - 1], t)) / len(t) AS containment
+  FROM starts JOIN (SELECT label, t, k, unnest(t) AS head FROM templates) AS v ON ws[p] = head
+  WHERE 100 * len(list_intersect(ws[p : p + k * 150 // 100 - 1], t)) >= 90 * len(t)
 ), more AS (SELECT doc_id, list(DISTINCT label) AS more, max(containment) AS best FROM met GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -15,6 +15,11 @@ DOCS = [
     (9, "filler é words " * 20000 + "\nLicensed under CC BY-NC 4.0."),
     (9, "mit licenses and amit license"),
     (None, "All rights reserved. All rights reserved."),
+    (10, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+    (11, "x " * 61 + "Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that"),
+    (12, "x " * 79 + "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0." + " y" * 50),
+    (13, "all of it " + "z " * 9 + "rights " + "z " * 9 + "reserved"),
+    (14, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software)"),
 ]
 
 
@@ -27,13 +32,12 @@ def brute(i, text, p):
     places = [(k, label) for phrase, label in PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
     base = {label for _, label in places}
     got, best = set(base), 1.0 if places else 0.0
-    for line in (text or "").split("\n"):
-        for label, t in p.templates:
-            s = set(t.split())
-            n = len(s & set(words(line)))
-            if 100 * n >= p.percent * len(s):
-                got.add(label)
-                best = max(best, n / len(s))
+    for label, t in p.templates:
+        s, run = set(t.split()), len(t.split()) * 3 // 2
+        n = max((len(s & set(w[k : k + run])) for k in range(len(w)) if w[k] in s), default=0)
+        if 100 * n >= p.percent * len(s):
+            got.add(label)
+            best = max(best, n / len(s))
     at = [k for k, _ in places]
     return i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(got)), best
 
@@ -44,6 +48,12 @@ def test_matches_brute_force(spark):
         assert sorted(map(tuple, scan(docs, p).collect()), key=str) == sorted((brute(i, t, p) for i, t in DOCS), key=str)
 
 
+def test_notices_over_several_lines(spark):
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in DOCS], SCHEMA)
+    got = {r.doc_id: r.labels for r in scan(docs).collect()}
+    assert (got[10], got[11], got[12], got[13], got[14]) == ("bsd", "isc", "mpl", "", "mit")
+
+
 def test_an_empty_table_and_one_without_matches(spark):
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in DOCS], SCHEMA)
     assert scan(docs.limit(0)).collect() == []
