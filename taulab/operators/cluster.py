@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import lru_cache
 from itertools import product
 
@@ -15,7 +14,6 @@ from taulab.constants import CLUSTER_K, QUANTILE
 from taulab.functions.columns import moment_skewness
 
 FINGERPRINT = ("mean", "std", "skew", "tail")
-EXACT_CLIENTS, EXACT_K = 10, 4
 
 
 def fingerprints(cal: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -45,15 +43,8 @@ def _canonical(labels: np.ndarray) -> np.ndarray:
     return np.array([seen.setdefault(int(x), len(seen)) for x in labels])
 
 
-def group_points(points: np.ndarray, k: int, n_init: int = 10, max_iter: int = 300, seed: int = 42) -> np.ndarray:
-    """Labels of least within-group squared distance: by enumeration for few points, else the best of n_init Lloyd runs."""
-    if len(points) <= EXACT_CLIENTS and k <= EXACT_K:
-        return enumerated(points, k)
-    return restarted(points, k, n_init, max_iter, seed)
-
-
 def enumerated(points: np.ndarray, k: int) -> np.ndarray:
-    """The optimal labels of a few points, over all partitions."""
+    """The optimal labels of a few points, over all partitions: what restarts are tested against."""
     labels = _partitions(len(points), k)
     gain = np.zeros(len(labels))
     for g in range(k):
@@ -63,7 +54,7 @@ def enumerated(points: np.ndarray, k: int) -> np.ndarray:
     return labels[np.flatnonzero(gain >= best - 1e-9 * max(1.0, abs(best)))[0]].astype(int)
 
 
-def restarted(points: np.ndarray, k: int, n_init: int = 10, max_iter: int = 300, seed: int = 42) -> np.ndarray:
+def group_points(points: np.ndarray, k: int, n_init: int = 10, max_iter: int = 300, seed: int = 42) -> np.ndarray:
     """Labels of the best of n_init Lloyd runs from k-means++ starts drawn by seed, whatever the number of points."""
     n = len(points)
     rng, best = np.random.default_rng(seed), (np.inf, None)
@@ -103,11 +94,11 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     return float(value.mean())
 
 
-def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int, int]] = ((CLUSTER_K, 10, 42),), group: Callable[..., np.ndarray] = group_points) -> DataFrame:
+def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int, int]] = ((CLUSTER_K, 10, 42),)) -> DataFrame:
     """rows (keys, client_id, clean fingerprint, poisoned fingerprint as arrays) -> labels of each client and silhouettes.
 
     For every (k, n_init, random_state): labels of the clean and of the perturbed fleet, each scaled by itself, and of the perturbed
-    fleet scaled by the clean one; group gives the labels.  One Arrow row per key; keys with no more than k clients have none.
+    fleet scaled by the clean one.  One Arrow row per key; keys with no more than k clients have none.
     """
     packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("client_id", "clean", "poisoned"))).alias("fleet"))
     fleet = packed.select(*keys, F.col("fleet.client_id").alias("clients"), F.col("fleet.clean").alias("clean"), F.col("fleet.poisoned").alias("poisoned"))
@@ -120,7 +111,7 @@ def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int,
         def clean_labels(x, *how):
             key = (x.tobytes(), *how)
             if key not in known:
-                known[key] = group(x, *how)
+                known[key] = group_points(x, *how)
             return known[key]
 
         for pdf in batches:
@@ -132,7 +123,7 @@ def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int,
                     if len(clean) <= k:
                         continue
                     a, b, c = scale(clean, clean), scale(poisoned, poisoned), scale(poisoned, clean)
-                    la, lb, lc = (how(x, k, n_init, 300, state) for how, x in ((clean_labels, a), (group, b), (group, c)))
+                    la, lb, lc = (how(x, k, n_init, 300, state) for how, x in ((clean_labels, a), (group_points, b), (group_points, c)))
                     sa, sb = silhouette(a, la), silhouette(b, lb)
                     out += [(*head, k, n_init, state, client, x, y, z, sa, sb) for client, x, y, z in zip(r.clients, la, lb, lc, strict=True)]
             yield pd.DataFrame(out, columns=[*keys, "k", "n_init", "random_state", "client_id", "label_clean", "label_poisoned", "label_frozen", "silhouette_clean", "silhouette_poisoned"])
@@ -142,3 +133,42 @@ def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int,
 
 def grid_params(ks: tuple[int, ...], inits: tuple[int, ...], states: tuple[int, ...]) -> list[tuple[int, int, int]]:
     return list(product(ks, inits, states))
+
+
+def check_fingerprints(points: np.ndarray) -> None:
+    """Fingerprints must be finite and of two different clients at least."""
+    if not np.isfinite(points).all():
+        raise ValueError("fingerprints must be finite")
+    if len(np.unique(points, axis=0)) < 2:
+        raise ValueError("all fingerprints are equal")
+
+
+def silhouettes_by_k(clean: DataFrame, ks: tuple[int, ...], n_init: int = 10, random_state: int = 42) -> DataFrame:
+    """clean (seed, client_id, FINGERPRINT) -> (seed, n_clients, k, silhouette): the candidates that leave two groups and a group of two at least.
+
+    One Arrow row per seed, of a fleet's size.
+    """
+    fleet = clean.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("client_id", F.array(*FINGERPRINT).alias("x")))).alias("fleet")).select("seed", F.col("fleet.x").alias("points"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for seed, rows in zip(pdf["seed"], pdf["points"], strict=True):
+                points = np.array([np.asarray(x, float) for x in rows])
+                check_fingerprints(points)
+                scaled = scale(points, points)
+                for k in ks:
+                    if k >= len(points):
+                        continue
+                    labels = group_points(scaled, k, n_init, 300, random_state)
+                    if 2 <= len(np.unique(labels)) < len(points):
+                        out.append((seed, len(points), k, silhouette(scaled, labels)))
+            yield pd.DataFrame(out, columns=["seed", "n_clients", "k", "silhouette"])
+
+    return fleet.mapInPandas(run, "seed long, n_clients long, k long, silhouette double")
+
+
+def fixed_k(candidates: DataFrame, k: int = CLUSTER_K) -> DataFrame:
+    """(seed, n_clients, k, silhouette, valid): whether the fixed k is between 0 and the fleet's size and has a silhouette."""
+    own = candidates.groupBy("seed", "n_clients").agg(F.max(F.when(F.col("k") == k, F.col("silhouette"))).alias("silhouette"))
+    return own.select("seed", "n_clients", F.lit(k).cast("long").alias("k"), "silhouette", ((F.lit(k) > 0) & (F.lit(k) < F.col("n_clients")) & F.col("silhouette").isNotNull()).alias("valid"))

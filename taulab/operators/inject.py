@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taulab.constants import FEATURE_TAIL_MASS, FRACTIONS, OBJECTIVES, PAIRS, SOURCES, TAIL_MASS, TRAIN_FEATURE_SOURCES
+from taulab.constants import FEATURE_TAIL_MASS, FRACTIONS, INTERPOLATED, OBJECTIVES, PAIRS, SOURCES, TAIL_MASS, TRAIN_FEATURE_SOURCES, WITH_REPLACEMENT, WITHOUT_REPLACEMENT
 
 CELL = ["seed", "victim", "source", "objective", "fraction"]
 PRIME = 1_000_003
@@ -64,22 +64,23 @@ def reservoirs(cal: DataFrame) -> DataFrame:
 def donors(train: DataFrame, victims: DataFrame) -> DataFrame:
     """Feature-row donors of each victim from all other clients, in draw order.
 
-    train (seed, client_id, row_id, pos, score); a row id counts once.  (seed, victim, source, draw, score, donor_n)
+    train (seed, client_id, row_id, pos, score); a row id counts once among all of a victim's candidates.
+    (seed, victim, source, draw, row_id, score, donor_n)
     """
-    first = train.withColumn("k", F.row_number().over(Window.partitionBy("seed", "client_id", "row_id").orderBy("pos"))).where("k = 1").drop("k")
-    other = first.join(victims.select("seed", F.col("client_id").alias("victim")), "seed").where("client_id <> victim")
+    every = train.join(victims.select("seed", F.col("client_id").alias("victim")), "seed").where("client_id <> victim")
+    other = every.groupBy("seed", "victim", "row_id").agg(F.min_by("score", F.struct("client_id", "pos")).alias("score"))
     w = Window.partitionBy("seed", "victim")
     ranked = other.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "row_id"))).withColumn("n", F.count("*").over(w))
     pairs = pair_table(train.sparkSession).where(F.col("source").isin(*TRAIN_FEATURE_SOURCES))
     used = ranked.crossJoin(F.broadcast(pairs)).where((F.col("source") == TRAIN_FEATURE_SOURCES[0]) | (F.col("r") <= tail_size("n", FEATURE_TAIL_MASS)))
     v = Window.partitionBy("seed", "victim", "source")
-    return used.withColumn("draw", F.row_number().over(v.orderBy(_order("row_id", "stream"), "row_id"))).select("seed", "victim", "source", "draw", "score", F.count("*").over(v).alias("donor_n"))
+    return used.withColumn("draw", F.row_number().over(v.orderBy(_order("row_id", "stream"), "row_id"))).select("seed", "victim", "source", "draw", "row_id", "score", F.count("*").over(v).alias("donor_n"))
 
 
 def injected(cells: DataFrame, cal: DataFrame, train: DataFrame) -> DataFrame:
-    """The victims' calibration rows of all cells with fraction > 0: CELL, pos, score, clean_score, replaced.
+    """The victims' calibration rows of all cells with fraction > 0: CELL, pos, score, clean_score, replaced, donor_id.
 
-    Benign sources draw with replacement, train-feature sources without.
+    Benign sources draw with replacement, train-feature sources without; these have the row id of the donor.
     """
     sized = cal.withColumn("n", F.count("*").over(Window.partitionBy("seed", "client_id")))
     rows = cells.where("fraction > 0").join(sized.withColumnRenamed("client_id", "victim"), ["seed", "victim"])
@@ -89,12 +90,12 @@ def injected(cells: DataFrame, cal: DataFrame, train: DataFrame) -> DataFrame:
     pools = reservoirs(cal).withColumnRenamed("client_id", "victim").select("source", "seed", "victim", "pool_index", "pool_n", F.col("score").alias("drawn"))
     sizes = pools.select("source", "seed", "victim", "pool_n").distinct()
     benign = hit.join(F.broadcast(sizes), ["source", "seed", "victim"]).withColumn("pool_index", F.pmod(F.col("k") * 48271 + F.col("child") * 13 + F.col("seed") * 7, F.col("pool_n")))
-    benign = benign.join(pools.drop("pool_n"), ["source", "seed", "victim", "pool_index"]).select(*CELL, "pos", "drawn")
+    benign = benign.join(pools.drop("pool_n"), ["source", "seed", "victim", "pool_index"]).select(*CELL, "pos", "drawn", F.lit(None).cast("long").alias("donor_id"))
     gifts = donors(train, cells.select("seed", F.col("victim").alias("client_id")).distinct())
-    feature = hit.join(gifts.select("seed", "victim", "source", F.col("draw").alias("k"), F.col("score").alias("drawn")), ["seed", "victim", "source", "k"]).select(*CELL, "pos", "drawn")
+    feature = hit.join(gifts.select("seed", "victim", "source", F.col("draw").alias("k"), F.col("score").alias("drawn"), F.col("row_id").alias("donor_id")), ["seed", "victim", "source", "k"]).select(*CELL, "pos", "drawn", "donor_id")
     drawn = benign.unionByName(feature)
     out = rows.select(*CELL, "pos", F.col("score").alias("clean_score")).join(drawn, [*CELL, "pos"], "left")
-    return out.select(*CELL, "pos", F.coalesce("drawn", "clean_score").alias("score"), "clean_score", F.col("drawn").isNotNull().alias("replaced"))
+    return out.select(*CELL, "pos", F.coalesce("drawn", "clean_score").alias("score"), "clean_score", F.col("drawn").isNotNull().alias("replaced"), "donor_id")
 
 
 def disjoint_budget(n: Column, requested: Column, source: Column) -> Column:
@@ -104,21 +105,20 @@ def disjoint_budget(n: Column, requested: Column, source: Column) -> Column:
     return F.coalesce(F.array_max(fits), F.lit(0).cast("long"))
 
 
-def draw_values(pool: np.ndarray, m: int, rng: np.random.Generator, draw: str) -> np.ndarray:
-    """m values from a pool: with or without replacement, or between neighbours of the sorted pool."""
-    if draw == "with_replacement":
-        return rng.choice(pool, size=m, replace=True)
-    if draw == "without_replacement":
-        if m > len(pool):
-            raise ValueError("the pool is smaller than the budget")
-        return rng.choice(pool, size=m, replace=False)
-    if draw == "interpolated_tail":
-        s = np.sort(pool)
-        if len(s) < 2:
-            raise ValueError("interpolation needs two values")
-        at = rng.integers(0, len(s) - 1, size=m)
-        return s[at] + rng.random(m) * (s[at + 1] - s[at])
-    raise ValueError(draw)
+#: Of each draw mode: places drawn for m values out of n, and how far each value lies towards the next place.
+PLACES = {
+    WITH_REPLACEMENT: lambda n, m, rng: (rng.choice(n, size=m), 0.0),
+    WITHOUT_REPLACEMENT: lambda n, m, rng: (rng.choice(n, size=m, replace=False), 0.0),
+    INTERPOLATED: lambda n, m, rng: (rng.integers(n - 1, size=m), rng.random(m)),
+}
+
+
+def drawn(pool: np.ndarray, m: int, rng: np.random.Generator, draw: str) -> np.ndarray:
+    """m values at drawn places of a pool (of the sorted pool between places), numpy's generators taking n - 1 < 1 or m > n as errors."""
+    place, toward = PLACES[draw](len(pool), m, rng)
+    ladder = np.sort(pool) if draw == INTERPOLATED else pool
+    step = np.append(np.diff(ladder), 0.0)
+    return ladder[place] + toward * step[place]
 
 
 def pool_of(cal: np.ndarray, source: str) -> np.ndarray:
@@ -152,7 +152,7 @@ def inject_array(cal: np.ndarray, source: str, fraction: float, draw: str, entro
     if draw == "without_replacement":
         m = min(m, len(pool))
     at = rng.choice(n, size=m, replace=False)
-    out[at] = draw_values(pool, m, rng, draw)
+    out[at] = drawn(pool, m, rng, draw)
     return out, m, True
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taulab.constants import CONVERGENCE, GLOBAL, LOCAL, QUANTILE, RAISE, TRIM_APPENDIX, TRIM_PRIMARY
 from taulab.functions.columns import cv
 
-from .cluster import grid_params, restarted
+from .cluster import grid_params
 from .inject import CELL
 from .sweep import Sweep, cluster_labels, cluster_shape
 from .thresholds import trimmed
@@ -53,9 +53,18 @@ def trust_boundary(s: Sweep) -> DataFrame:
 
 
 def cluster_stability(s: Sweep, ks=(2, 3, 4), inits=(1, 10), states=(0, 1, 7, 42, 123)) -> DataFrame:
-    """Cluster shapes of every perturbed cell for each (k, n_init, random_state) that the fleet allows, always by seeded restarts."""
-    labels = cluster_labels(s, grid_params(ks, inits, states), only_perturbed=True, group=restarted)
-    return cluster_shape(labels, [*CELL, "k", "n_init", "random_state"])
+    """Cluster shapes and the victim's threshold shift, with clusters recomputed and fixed, of every perturbed cell for each
+    (k, n_init, random_state) that the fleet allows."""
+    keys = [*CELL, "k", "n_init", "random_state"]
+    labels = cluster_labels(s, grid_params(ks, inits, states), only_perturbed=True)
+    fleet = s.clients.select("seed", "client_id", "tau")
+    rows = labels.join(F.broadcast(fleet), ["seed", "client_id"]).join(s.shifts.select(*CELL, "victim_tau_poisoned"), CELL)
+    own, is_victim = F.col("client_id") == F.col("victim"), lambda label: F.max(F.when(F.col("client_id") == F.col("victim"), F.col(label))).over(Window.partitionBy(*keys))
+    rows = rows.withColumn("new", F.when(own, F.col("victim_tau_poisoned")).otherwise(F.col("tau"))).withColumns({"at_clean": is_victim("label_clean"), "at_poisoned": is_victim("label_poisoned")})
+    mates = {x: F.col(f"label_{x}") == F.col(f"at_{x}") for x in ("clean", "poisoned")}
+    mean = lambda value, state: F.avg(F.when(mates[state], F.col(value)))
+    shift = rows.groupBy(*keys).agg((mean("new", "poisoned") - mean("tau", "clean")).alias("victim_delta_tau"), (mean("new", "clean") - mean("tau", "clean")).alias("fixed_victim_delta_tau"))
+    return cluster_shape(labels, keys).join(shift, keys)
 
 
 def convergence(loss: DataFrame, window: int = CONVERGENCE["window"], relative: float = CONVERGENCE["relative_threshold"]) -> DataFrame:

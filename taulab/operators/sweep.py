@@ -15,9 +15,10 @@ from taulab.constants import CLUSTER, EPS, GLOBAL, IQR_FLOOR_FACTOR, LOCAL, MATE
 from taulab.functions.columns import cv, duplicate_rate, iqr, rates
 from taulab.sources.store import Store
 
-from .cluster import FINGERPRINT, fingerprints, group_points, label_states
+from .cluster import FINGERPRINT, fingerprints, label_states
 from .evaluate import auroc, scale_bases
 from .inject import CELL, budget, grid, injected
+from .quantiles import percentile
 from .range_count import count_above
 from .thresholds import eligibility
 
@@ -33,6 +34,7 @@ class Sweep:
     shifts: DataFrame  # CELL with the victim's clean and perturbed local threshold
     n_min: int
     store: Store
+    perturbed_tests: DataFrame  # test scores that the perturbed state is evaluated on
 
 
 def prepare(scores: DataFrame, n_min: int = N_MIN) -> Sweep:
@@ -41,9 +43,8 @@ def prepare(scores: DataFrame, n_min: int = N_MIN) -> Sweep:
     sizes = eligibility(scores, n_min)
     fleet = sizes.groupBy("seed").agg(F.count("*").alias("n_total"))
     cal = scores.where("stage = 'cal'").join(F.broadcast(sizes.where("status = 'eligible'").select("seed", "client_id")), ["seed", "client_id"])
-    facts = cal.groupBy("seed", "client_id").agg(
-        F.percentile("score", F.lit(QUANTILE)).alias("tau"), F.min("score").alias("cal_min"), F.max("score").alias("cal_max"), duplicate_rate("score").alias("duplicate_rate"), F.count("*").alias("n_cal")
-    )
+    facts = cal.groupBy("seed", "client_id").agg(F.min("score").alias("cal_min"), F.max("score").alias("cal_max"), duplicate_rate("score").alias("duplicate_rate"), F.count("*").alias("n_cal"))
+    facts = facts.join(percentile(cal, ["seed", "client_id"], "score", QUANTILE, "tau"), ["seed", "client_id"])
     tests = scores.groupBy("seed", "client_id").agg(F.count_if(F.col("stage") == "test_benign").alias("n_benign"), F.count_if(F.col("stage") == "test_attack").alias("n_attack"))
     by_seed = Window.partitionBy("seed")
     clients = (
@@ -58,7 +59,8 @@ def prepare(scores: DataFrame, n_min: int = N_MIN) -> Sweep:
     train = scores.where("stage = 'train'").select("seed", "client_id", F.col("event_id").alias("row_id"), "pos", "score")
     poisoned = injected(cells, cal.select("seed", "client_id", "pos", "score"), train)
     poisoned = store.save(poisoned, "poisoned")
-    new = poisoned.groupBy(*CELL).agg(F.percentile("score", F.lit(QUANTILE)).alias("tau_poisoned"), duplicate_rate("score").alias("duplicate_rate_poisoned"), F.count_if("replaced").alias("drawn"))
+    new = poisoned.groupBy(*CELL).agg(duplicate_rate("score").alias("duplicate_rate_poisoned"), (F.count_distinct("donor_id") / F.nullif(F.count("donor_id"), F.lit(0))).alias("donor_feature_unique_fraction"))
+    new = new.join(percentile(poisoned, CELL, "score", QUANTILE, "tau_poisoned"), CELL)
     victims = clients.select("seed", F.col("client_id").alias("victim"), "tau", "n_cal", "duplicate_rate", "cal_min", "cal_max", "client_idx")
     shifts = cells.join(F.broadcast(victims), ["seed", "victim"]).join(new, CELL, "left").select(
         *CELL,
@@ -67,14 +69,15 @@ def prepare(scores: DataFrame, n_min: int = N_MIN) -> Sweep:
         budget("fraction", "n_cal").alias("n_replaced"),
         F.col("duplicate_rate").alias("cal_duplicate_rate_clean"),
         F.coalesce("duplicate_rate_poisoned", "duplicate_rate").alias("cal_duplicate_rate_poisoned"),
+        "donor_feature_unique_fraction",
         "cal_min",
         "cal_max",
         "client_idx",
     )
-    return Sweep(scores, clients, cells, poisoned, store.save(shifts, "shifts"), n_min, store)
+    return Sweep(scores, clients, cells, poisoned, store.save(shifts, "shifts"), n_min, store, scores)
 
 
-def cluster_labels(s: Sweep, params=None, only_perturbed: bool = False, group=group_points) -> DataFrame:
+def cluster_labels(s: Sweep, params=None, only_perturbed: bool = False) -> DataFrame:
     """Labels of all eligible clients for each cell (see ``label_states``)."""
     cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
     pack = F.array(*FINGERPRINT)
@@ -83,7 +86,7 @@ def cluster_labels(s: Sweep, params=None, only_perturbed: bool = False, group=gr
     cells = s.cells.where("fraction > 0") if only_perturbed else s.cells
     rows = cells.select(*CELL).join(new, CELL, "left").join(F.broadcast(clean), "seed")
     rows = rows.withColumn("poisoned", F.when((F.col("client_id") == F.col("victim")) & F.col("changed").isNotNull(), F.col("changed")).otherwise(F.col("clean")))
-    return s.store.save(label_states(rows, CELL, params, group) if params else label_states(rows, CELL, group=group), "labels")
+    return s.store.save(label_states(rows, CELL, params) if params else label_states(rows, CELL), "labels")
 
 
 def cell_taus(s: Sweep, labels: DataFrame | None = None) -> DataFrame:
@@ -130,6 +133,13 @@ def client_effects(s: Sweep, taus: DataFrame) -> DataFrame:
     return s.store.save(out.join(F.broadcast(base), ["seed", "client_id"]), "effects")
 
 
+def auroc_invariance(s: Sweep) -> DataFrame:
+    """(seed, auroc_invariant): whether every eligible client's AUROC is the same in the clean and the perturbed state."""
+    states = [auroc(x.join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"]), ["seed", "client_id"]) for x in (s.scores, s.perturbed_tests)]
+    both = states[0].join(states[1].withColumnRenamed("auroc", "again"), ["seed", "client_id"], "full")
+    return both.groupBy("seed").agg(F.bool_and(F.col("auroc").eqNullSafe(F.col("again"))).alias("auroc_invariant"))
+
+
 def materiality(base: str, median: str, factor: float = MATERIALITY_FACTOR, floor: float = IQR_FLOOR_FACTOR):
     return F.when(F.col(base).isNotNull(), F.greatest(F.lit(factor) * F.col(base), F.lit(floor) * F.col(median)))
 
@@ -184,7 +194,7 @@ def facts(s: Sweep, labels: DataFrame | None = None) -> DataFrame:
     deltas |= {f"victim_delta_{c}": F.col(f"victim_{c}_poisoned") - F.col(f"victim_{c}_clean") for c in ("tpr", "fpr", "ba", "macro_f1")}
     out = out.withColumns(deltas).withColumns({f"nonvictim_delta_{c}_total": F.col(f"nonvictim_{c}_poisoned") - F.col(f"nonvictim_{c}_clean") for c in ("fp", "fn")})
     floor = out.groupBy("seed").agg(F.coalesce(F.min(F.when(F.col("mean_fpr_clean") > 0, F.col("mean_fpr_clean"))) / MU_FLAG_DIVISOR, F.lit(0.0)).alias("mu_floor"))
-    out = out.join(F.broadcast(floor), "seed").join(s.shifts, CELL)
+    out = out.join(F.broadcast(floor), "seed").join(s.shifts, CELL).join(F.broadcast(auroc_invariance(s)), "seed", "left")
     reach = F.when(F.col("objective") == RAISE, F.col("cal_max") - F.col("tau_clean")).otherwise(F.col("tau_clean") - F.col("cal_min"))
     moved = F.when(F.col("objective") == RAISE, F.col("delta_tau")).otherwise(-F.col("delta_tau"))
     feature = F.col("source").isin(*TRAIN_FEATURE_SOURCES)
@@ -192,10 +202,10 @@ def facts(s: Sweep, labels: DataFrame | None = None) -> DataFrame:
         "training_seed": F.col("seed"), "poisoning_seed": F.col("seed") + 100, "victim_id": F.col("victim"), "target_scope": F.lit("single_client"),
         "seed_record": F.struct(F.col("seed").alias("training_seed"), (F.col("seed") + 100).alias("poisoning_seed"), F.col("client_idx").cast("long").alias("client_idx"), F.lit(0).cast("long").alias("scope_idx")),
         "delta_tau_rel": F.col("delta_tau") / F.greatest(F.abs("tau_clean"), F.lit(EPS)), "coverage_ratio": F.col("n_eligible") / F.col("n_total"),
-        "mu_flag_triggered": F.coalesce(F.col("mean_fpr_poisoned") < F.col("mu_floor"), F.lit(False)), "auroc_invariant": F.lit(True),
+        "mu_flag_triggered": F.coalesce(F.col("mean_fpr_poisoned") < F.col("mu_floor"), F.lit(False)), 
         "blast_fraction": F.when(F.col("n_non_victims") > 0, F.col("n_blast_significant") / F.col("n_non_victims")).otherwise(0.0),
         "delta_tau_bound_utilization": F.when(reach > 0, moved / reach),
-        "reservoir_draw": F.when(feature, WITHOUT_REPLACEMENT).otherwise(WITH_REPLACEMENT), "donor_feature_unique_fraction": F.when(feature & (F.col("fraction") > 0), 1.0),
+        "reservoir_draw": F.when(feature, WITHOUT_REPLACEMENT).otherwise(WITH_REPLACEMENT),
     })
     if labels is not None:
         out = out.withColumns({"fixed_cluster_delta_cv_fpr": F.col("cv_fpr_fixed") - F.col("cv_fpr_clean"), "fixed_cluster_delta_mean_fpr": F.col("mean_fpr_fixed") - F.col("mean_fpr_clean"), "cluster_victim_effect": F.when(F.col("policy") == CLUSTER, F.col("delta_tau"))})

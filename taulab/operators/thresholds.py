@@ -19,7 +19,7 @@ def local_taus(scores: DataFrame, n_min: int = N_MIN, q: float = QUANTILE) -> Da
     """(seed, client_id, tau) of eligible clients."""
     cal = scores.where("stage = 'cal'")
     eligible = eligibility(scores, n_min).where("status = 'eligible'")
-    return percentile(cal, ["seed", "client_id"], "score", q, "tau", large=False).join(eligible.select("seed", "client_id"), ["seed", "client_id"], "left_semi")
+    return percentile(cal, ["seed", "client_id"], "score", q, "tau").join(eligible.select("seed", "client_id"), ["seed", "client_id"], "left_semi")
 
 
 def global_taus(local: DataFrame) -> DataFrame:

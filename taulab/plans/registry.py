@@ -24,7 +24,8 @@ from .sql import CONTROLS, RANDOM, K
 
 Query = Callable[[SparkSession, str], DataFrame]
 GATE = reports.Gate(sign=4, majority=3)
-GRID = reports.gate_grid(sign=(3, 4, 5), majority=(2, 3, 4))
+#: All 225 points; sign and majority gates in steps of one seed and one victim, for the five of either here.
+GRID = reports.gate_grid(sign=(1, 2, 3, 4, 5), majority=(1, 2, 3, 4, 5))
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -52,20 +53,33 @@ def r(*names: str) -> str:
     return ", ".join(f"round({a}, 9) + 0 AS {b or a}" for a, _, b in (n.partition("=") for n in names))
 
 
-_SWEEPS: dict[tuple[str, str, int], sweep.Sweep] = {}
-_FACTS: dict[tuple[str, str, bool], DataFrame] = {}
+_SWEEPS: dict[tuple, sweep.Sweep] = {}
+_FACTS: dict[tuple, DataFrame] = {}
+
+
+def forget() -> None:
+    """The next query makes the sweep's stages anew."""
+    _SWEEPS.clear()
+    _FACTS.clear()
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple[str, str, int, int]:
+    """The application and the event table as it is now: a rewritten table has other stages."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.sparkContext.applicationId, sf_dir, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
 
 
 def the_sweep(spark: SparkSession, sf_dir: str, n_min: int = sql.N_MIN) -> sweep.Sweep:
     """The stages of the sweep, stored once per application and directory."""
-    key = (spark.sparkContext.applicationId, sf_dir, n_min)
+    key = (*_state(spark, sf_dir), n_min)
     if key not in _SWEEPS:
         _SWEEPS[key] = sweep.prepare(scores(spark, sf_dir), n_min)
     return _SWEEPS[key]
 
 
 def the_facts(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, clusters)
+    key = (*_state(spark, sf_dir), clusters)
     if key not in _FACTS:
         s = the_sweep(spark, sf_dir)
         _FACTS[key] = s.store.save(sweep.facts(s, sweep.cluster_labels(s) if clusters else None), "facts")
@@ -254,7 +268,7 @@ def sweep_grid(spark, sf_dir):
 
 @query(sql.cells(f"SELECT seed, victim, source, objective, fraction, pos, {r('score', 'clean_score')}, replaced FROM poisoned"))
 def inject_rows(spark, sf_dir):
-    return rounded(the_sweep(spark, sf_dir).poisoned)
+    return rounded(the_sweep(spark, sf_dir).poisoned.drop("donor_id"))
 
 
 @query(sql.cells(f"SELECT seed, victim, source, objective, fraction, {r('tau_c=tau_clean', 'tau_p=tau_poisoned', 'dup_c=duplicate_rate_clean', 'dup_p=duplicate_rate_poisoned')}, CAST(n_replaced AS BIGINT) AS n_replaced FROM shifts"))
@@ -269,16 +283,16 @@ def _donors(spark, sf_dir):
     return inject.donors(train, s.clients.select("seed", "client_id"))
 
 
-@query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, {r('score')} FROM gifts WHERE draw <= 50"))
+@query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, {r('score')} FROM gifts"))
 def cross_device_donors(spark, sf_dir):
-    """The first 50 donors in draw order; ``cross_device_donors_all`` has all."""
-    return rounded(_donors(spark, sf_dir).where("draw <= 50").select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "score"))
+    """All donors in draw order."""
+    return rounded(_donors(spark, sf_dir).select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "score"))
 
 
-@query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, {r('score')} FROM gifts"))
+@query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, CAST(event_id AS BIGINT) AS row_id, {r('score')} FROM gifts"))
 def cross_device_donors_all(spark, sf_dir):
-    """All donors in draw order."""
-    return rounded(_donors(spark, sf_dir).select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "score"))
+    """All donors in draw order, with their row ids."""
+    return rounded(_donors(spark, sf_dir).select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "row_id", "score"))
 
 
 @query(sql.base(f"""SELECT user_id % 9 AS device, event_id, {r('value')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 9, user_id ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL) WHERE k = 1"""))
@@ -342,6 +356,20 @@ def materiality(spark, sf_dir):
     return rounded(the_facts(spark, sf_dir).select(*inject.CELL, "policy", F.col("victim_delta_tau_scale_base").alias("scale_base"), F.col("iqr_median_clean").alias("iqr_median"), sweep.materiality("victim_delta_tau_scale_base", "iqr_median_clean").alias("scale")))
 
 
+@query(sql.facts("""SELECT seed, victim, policy, source, objective, fraction, auroc_invariant, round(donor_unique, 9) AS donor_feature_unique_fraction
+FROM f JOIN (SELECT a.seed, bool_and(a.auroc = b.auroc) AS auroc_invariant FROM auc a JOIN auc_again b ON a.seed = b.seed AND a.client_id = b.client_id GROUP BY a.seed) USING (seed)
+JOIN (SELECT seed, victim, source, objective, fraction, donor_unique FROM shifts) USING (seed, victim, source, objective, fraction)""", """auc AS (
+  SELECT a.seed, a.client_id, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) AS auroc FROM scores a JOIN scores b ON a.seed = b.seed AND a.client_id = b.client_id AND a.stage = 'test_attack' AND b.stage = 'test_benign' JOIN cl ON cl.seed = a.seed AND cl.client_id = a.client_id GROUP BY a.seed, a.client_id
+), auc_again AS (
+  SELECT seed, client_id, avg(below) AS auroc FROM (
+    SELECT a.seed, a.client_id, (SELECT avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) FROM scores b WHERE b.seed = a.seed AND b.client_id = a.client_id AND b.stage = 'test_benign') AS below
+    FROM scores a JOIN cl ON cl.seed = a.seed AND cl.client_id = a.client_id WHERE a.stage = 'test_attack') GROUP BY seed, client_id
+)""".replace("bool_and(a.auroc = b.auroc)", "bool_and(abs(a.auroc - b.auroc) < 1e-12)")).replace("bool_and(a.auroc = b.auroc)", "bool_and(abs(a.auroc - b.auroc) < 1e-12)"))
+def sweep_evidence(spark, sf_dir):
+    """What shows that an injection only moved thresholds: AUROC of both states, and donors that are used once."""
+    return rounded(the_facts(spark, sf_dir).select(*inject.CELL, "policy", "auroc_invariant", "donor_feature_unique_fraction"))
+
+
 @query()
 def sweep_rows_cluster(spark, sf_dir):
     """All fact columns with the cluster policy (labels come from a Python function)."""

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taulab.constants import CLUSTER, CONTROL_OF, GATE_GRID, IQR_FLOOR_FACTOR, LOWER, MATERIALITY_FACTOR, RAISE, RANDOM_CONTROLS, SIGN_CONSISTENCY, VICTIM_MAJORITY
 from taulab.functions.columns import defined, iqr
-from taulab.functions.inference import binomial_upper_tail
+from taulab.functions.inference import binomial_upper_tail, with_resampling
+from taulab.operators.evaluate import dispersion
 from taulab.operators.sweep import materiality
 
 KEY = ["policy", "objective", "source", "fraction"]
@@ -266,3 +268,45 @@ def results_table(fleet: DataFrame) -> DataFrame:
     for c in ("cv_fpr", "cv_tpr", "min_balanced_accuracy", "p10_macro_f1"):
         aggs += [F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std")]
     return fleet.groupBy("policy").agg(*aggs, F.count("*").alias("n_seeds"), F.max("n_eligible").alias("n_eligible"), F.max("n_clients").alias("n_clients"))
+
+
+def representative_picks(evals: DataFrame, policy: str) -> DataFrame:
+    """(seed, pick, client_id, fpr, cv_fpr): the seed whose dispersion is the lower median, and three of its eligible clients by false-positive rate.
+
+    Rates that agree to nine digits are ties; the smaller seed or id is first.
+    """
+    rows = evals.where(F.col("policy") == policy)
+    # one row for each seed
+    w = Window.orderBy(F.round("cv_fpr", 9), "seed")
+    fleet = dispersion(rows).select("seed", "cv_fpr", F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
+    seed = fleet.where(F.col("k") == F.floor((F.col("n") + 1) / 2)).select("seed", "cv_fpr")
+    own = Window.partitionBy("seed")
+    ranked = rows.where("status = 'eligible'").join(F.broadcast(seed), "seed").withColumns({"k": F.row_number().over(own.orderBy(F.round("fpr", 9), "client_id")), "n": F.count("*").over(own)})
+    picks = F.array(*(F.struct(F.lit(name).alias("pick"), at.cast("long").alias("at")) for name, at in (("lowest", F.lit(1)), ("median", F.floor(F.col("n") / 2) + 1), ("highest", F.col("n")))))
+    return ranked.withColumn("p", F.explode(picks)).where("k = p.at").select("seed", "p.pick", "client_id", "fpr", "cv_fpr")
+
+
+def paired_bootstrap(fleet: DataFrame, policies: tuple[str, ...], resamples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(left, right, n_seeds, mean, ci_low, ci_high, permutation_p, excludes_zero) of the dispersion differences of each two policies."""
+    pairs = reduce(DataFrame.unionByName, [paired_deltas(fleet, a, b).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "seed", "delta") for k, a in enumerate(policies) for b in policies[k + 1 :]])
+    packed = pairs.where("delta IS NOT NULL").groupBy("left", "right").agg(F.sort_array(F.collect_list(F.struct("seed", "delta")))["delta"].alias("deltas"))
+    out = with_resampling(packed, ["left", "right"], "deltas", resamples, level, seed)
+    return out.withColumns({"n_seeds": F.size("deltas").cast("long"), "excludes_zero": F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False))}).drop("deltas")
+
+
+def cluster_stability_summary(facts: DataFrame) -> DataFrame:
+    """Per KEY with fraction > 0, over victims and seeds: how often clients change clusters, sizes (the most frequent vectors) and the effects
+    with clusters recomputed beside those with clusters fixed."""
+    rows = facts.where((F.col("policy") == CLUSTER) & (F.col("fraction") > 0))
+    mean = lambda c: F.avg(defined(c))
+    rate = lambda c: F.avg(c.cast("double"))
+    both = {"victim_delta_tau": ("cluster_victim_effect", "fixed_cluster_victim_delta_tau"), "victim_delta_tpr": ("victim_delta_tpr", "fixed_cluster_victim_delta_tpr"), "victim_delta_fpr": ("victim_delta_fpr", "fixed_cluster_victim_delta_fpr"), "delta_cv_fpr": ("delta_cv_fpr", "fixed_cluster_delta_cv_fpr"), "nonvictim_delta_tpr": ("nonvictim_mean_delta_tpr", "fixed_cluster_nonvictim_mean_delta_tpr"), "nonvictim_delta_fpr": ("nonvictim_mean_delta_fpr", "fixed_cluster_nonvictim_mean_delta_fpr")}
+    out = rows.groupBy(*KEY).agg(
+        F.count("*").alias("n_rows"), mean("cluster_n_reassigned").alias("mean_n_reassigned"), F.max("cluster_n_reassigned").alias("max_n_reassigned"), rate(F.col("cluster_n_reassigned") > 0).alias("reassignment_rate"),
+        *(rate(F.col(f"cluster_victim_size_{s}") == 1).alias(f"victim_singleton_{s}_rate") for s in ("clean", "poisoned")), *(mean(f"cluster_victim_size_{s}").alias(f"mean_victim_size_{s}") for s in ("clean", "poisoned")),
+        *(mean(f"cluster_silhouette_{s}").alias(f"mean_silhouette_{s}") for s in ("clean", "poisoned")), *(mean(c).alias(f"{kind}_{name}") for name, pair in both.items() for kind, c in zip(("recomputed", "fixed"), pair, strict=True)),
+    )
+    for s in ("clean", "poisoned"):
+        sizes = rows.groupBy(*KEY, F.col(f"cluster_sizes_{s}").alias("sizes")).count()
+        out = out.join(sizes.groupBy(*KEY).agg(F.max(F.struct("count", "sizes"))["sizes"].alias(f"modal_sizes_{s}")), KEY)
+    return out

@@ -93,20 +93,20 @@ pools AS (
   SELECT v.seed, v.client_id AS victim, s.event_id, s.score, row_number() OVER (PARTITION BY v.seed, v.client_id ORDER BY s.score DESC, s.event_id) AS r, count(*) OVER (PARTITION BY v.seed, v.client_id) AS n
   FROM cl v JOIN scores s ON s.seed = v.seed AND s.client_id <> v.client_id AND s.stage = 'train'
 ), gifts AS (
-  SELECT seed, victim, source, score, row_number() OVER (PARTITION BY seed, victim, source ORDER BY {_ORDER.format('event_id', 'stream')}, event_id) AS draw
+  SELECT seed, victim, source, score, event_id, row_number() OVER (PARTITION BY seed, victim, source ORDER BY {_ORDER.format('event_id', 'stream')}, event_id) AS draw
   FROM donor_rank CROSS JOIN (VALUES {", ".join(f"('{s}', {SOURCES.index(s) * 2000 + 1000})" for s in ("random_train_feature_benign", "high_score_train_feature_benign"))}) AS p(source, stream)
   WHERE source = 'random_train_feature_benign' OR r <= greatest(1, floor(CAST(0.2 AS DOUBLE) * n))
 ), poisoned AS (
   SELECT h.seed, h.victim, h.source, h.objective, h.fraction, h.pos, h.clean_score, h.k <= h.m AS replaced,
-         CASE WHEN h.k > h.m THEN h.clean_score ELSE coalesce(g.score, p.score) END AS score
+         CASE WHEN h.k > h.m THEN h.clean_score ELSE coalesce(g.score, p.score) END AS score, g.event_id AS donor_id
   FROM hits h
   LEFT JOIN gifts g ON g.seed = h.seed AND g.victim = h.victim AND g.source = h.source AND g.draw = h.k AND h.k <= h.m
   LEFT JOIN (SELECT DISTINCT source, seed, client_id, pool_n FROM pools) z ON z.source = h.source AND z.seed = h.seed AND z.client_id = h.victim
   LEFT JOIN pools p ON p.source = h.source AND p.seed = h.seed AND p.client_id = h.victim AND p.pool_index = (h.k * 48271 + h.child * 13 + h.seed * 7) % z.pool_n AND h.k <= h.m
 ), moved AS (
-  SELECT seed, victim, source, objective, fraction, quantile_cont(score, 0.95) AS tau_p, 1 - count(DISTINCT score) / count(*) AS dup_p, count(*) FILTER (replaced) AS n_replaced FROM poisoned GROUP BY ALL
+  SELECT seed, victim, source, objective, fraction, quantile_cont(score, 0.95) AS tau_p, 1 - count(DISTINCT score) / count(*) AS dup_p, count(*) FILTER (replaced) AS n_replaced, count(DISTINCT donor_id) / nullif(count(donor_id), 0) AS donor_unique FROM poisoned GROUP BY ALL
 ), shifts AS (
-  SELECT c.seed, c.victim, c.source, c.objective, c.fraction, f.tau AS tau_c, coalesce(m.tau_p, f.tau) AS tau_p, coalesce(m.n_replaced, 0) AS n_replaced, f.dup AS dup_c, coalesce(m.dup_p, f.dup) AS dup_p, f.cal_min, f.cal_max
+  SELECT c.seed, c.victim, c.source, c.objective, c.fraction, f.tau AS tau_c, coalesce(m.tau_p, f.tau) AS tau_p, coalesce(m.n_replaced, 0) AS n_replaced, f.dup AS dup_c, coalesce(m.dup_p, f.dup) AS dup_p, f.cal_min, f.cal_max, m.donor_unique
   FROM cells c JOIN cf f ON c.seed = f.seed AND c.victim = f.client_id LEFT JOIN moved m ON m.seed = c.seed AND m.victim = c.victim AND m.source = c.source AND m.objective = c.objective AND m.fraction = c.fraction
 )"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taulab.constants import POLICIES, WITH_REPLACEMENT
 from taulab.functions.columns import ratio
-from taulab.operators import evaluate, guards, inject, sensitivity, sweep
+from taulab.operators import cluster, evaluate, guards, inject, sensitivity, sweep
 from taulab.operators.thresholds import eligibility
 from taulab.sources.events import scores, table
 
@@ -104,12 +104,42 @@ def figure_robustness(spark, sf_dir):
     return rounded(wide)
 
 
-@query(sql.base("SELECT client_id, event_id FROM (SELECT client_id, event_id, row_number() OVER (PARTITION BY client_id ORDER BY ((event_id + 1) * 48271 + 5 * 104729) % 1000003, event_id) AS k FROM staged WHERE stage = 'cal') WHERE k <= 50"))
+@query(sql.base("SELECT client_id, event_id FROM (SELECT client_id, event_id, row_number() OVER (PARTITION BY client_id ORDER BY ((event_id + 1) * 48271 + 5 * 104729) % 1000003, event_id) AS k FROM staged WHERE stage = 'cal') WHERE k <= 5000"))
 def figure_sample(spark, sf_dir):
-    """At most 50 calibration rows per client, for a plot (a sampling operator)."""
+    """At most 5,000 calibration rows per client, for a plot (a sampling operator)."""
     from taulab.sources.events import labelled, staged
 
-    return guards.exact_sample(staged(labelled(spark, sf_dir)).where("stage = 'cal'"), ["client_id"], "event_id", 50, 5).select("client_id", "event_id")
+    return guards.exact_sample(staged(labelled(spark, sf_dir)).where("stage = 'cal'"), ["client_id"], "event_id", 5000, 5).select("client_id", "event_id")
+
+
+@query(sql.base("""SELECT s.seed, p.pick, c.client_id, round(c.fpr, 9) AS fpr, round(s.cv_fpr, 9) AS cv_fpr FROM (SELECT seed, cv_fpr FROM (SELECT seed, cv_fpr, row_number() OVER (ORDER BY round(cv_fpr, 9), seed) AS k, count(*) OVER () AS n FROM fleet WHERE policy = 'global_threshold') WHERE k = (n + 1) // 2) s
+JOIN (SELECT seed, client_id, fpr, row_number() OVER (PARTITION BY seed ORDER BY round(fpr, 9), client_id) AS k, count(*) OVER (PARTITION BY seed) AS n FROM rates WHERE policy = 'global_threshold' AND status = 'eligible') c USING (seed)
+JOIN (VALUES ('lowest'), ('median'), ('highest')) AS p(pick) ON c.k = CASE p.pick WHEN 'lowest' THEN 1 WHEN 'median' THEN c.n // 2 + 1 ELSE c.n END"""))
+def representative_picks(spark, sf_dir):
+    """The seed of lower-median dispersion under the global threshold, and its clients of lowest, median and highest false-positive rate."""
+    return rounded(reports.representative_picks(registry._evals(spark, sf_dir), "global_threshold"))
+
+
+@query()
+def paired_bootstrap(spark, sf_dir):
+    """Resampled interval of the paired dispersion difference of each two policies (numpy's generator)."""
+    return rounded(reports.paired_bootstrap(evaluate.dispersion(registry._evals(spark, sf_dir)), ("global_threshold", "local_threshold")))
+
+
+@query()
+def cluster_k_candidates(spark, sf_dir):
+    """Silhouettes of the candidate numbers of clusters, and whether the fixed one is valid."""
+    s = the_sweep(spark, sf_dir)
+    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
+    found = cluster.silhouettes_by_k(cluster.fingerprints(cal, ["seed", "client_id"]), (2, 3, 4))
+    fixed = cluster.fixed_k(found).select("seed", F.col("k").alias("fixed"), F.col("valid").alias("fixed_valid"))
+    return rounded(found.join(fixed, "seed").withColumn("is_fixed", F.col("k") == F.col("fixed")).drop("fixed"))
+
+
+@query()
+def cluster_stability_summary(spark, sf_dir):
+    """Reassignment, sizes and effects of the cluster policy, with clusters recomputed and fixed, per pair and fraction."""
+    return rounded(reports.cluster_stability_summary(the_facts(spark, sf_dir, True)))
 
 
 @query(sql.base("SELECT round(avg(d), 9) + 0 AS mean_delta, count(*) FILTER (d > 0) AS n_positive, count(*) AS n_seeds, avg(d) > 0 AND count(*) FILTER (d > 0) = count(*) AS consistent FROM (SELECT a.cv_fpr - b.cv_fpr AS d FROM fleet a JOIN fleet b ON a.seed = b.seed AND a.policy = 'global_threshold' AND b.policy = 'local_threshold')"))
@@ -129,7 +159,7 @@ def client_index(spark, sf_dir):
     return rounded(e.select("seed", "client_id", (F.row_number().over(w.orderBy("client_id")) - 1).cast("long").alias("client_idx"), share.alias("coverage_ratio")))
 
 
-@query("SELECT label, count(*) AS n_rows, min(len(embedding)) AS min_width, max(len(embedding)) AS max_width, true AS all_finite FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n_rows, min(len(embedding)) AS min_width, max(len(embedding)) AS max_width, bool_and(isfinite(list_sum(embedding)) AND list_count(embedding) = len(embedding)) AS all_finite FROM embeddings GROUP BY label")
 def feature_validity(spark, sf_dir):
     return guards.feature_validity(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
 
