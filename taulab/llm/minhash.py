@@ -8,14 +8,17 @@ A shingle's values for all coordinates are so one contiguous slice of pi.
 Plan
   1. One pass over the texts gives set size, a 128-bit key of the whole set and the
      band keys.  Equal sets collapse to a class, named by its smallest id.
-  2. Classes sharing a band key are linked to the smallest one of the bucket: a star of
-     (members - 1) rows, never all pairs.  Its connected components are candidates.
-  3. Candidates are fetched once.  A component is cut into blocks of bounded
-     size; each pair of blocks is compared exactly, on full sets, in one task that returns a
-     spanning forest of the true links.  No group is gathered whole, and no link between two
-     candidates is skipped.
+  2. In each bucket of a band key the smallest class is the hub.  Classes are compared exactly, on full sets, with their
+     smallest hub, then with their other hubs where these are in another component by then: each set is
+     sent to the hub once for each comparison, and a hub's members are dealt to tasks of bounded size.
+  3. Buckets that still hold several components are compared in full: the classes outside of the main component
+     of such buckets, in blocks of bounded size, with one another and with the main component's, each
+     pair of blocks in one task that returns a spanning forest of the true links.  So no pair that shares a bucket and isn't in
+     one component already is skipped, no group is gathered whole, and the main component of m classes is not compared with itself.
   4. Components of the verified links give the result.
 
+Sets are of 64-bit hashes of shingles; two shingles of one hash are taken as equal.
+
 At a Jaccard similarity of 0.85 the chance that no band meets is (1 - 0.85**8)**40,
 about 3e-6; at 0.8 with the general defaults it is 5e-4 for one link.
 
@@ -186,6 +189,59 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _hub_links(spokes: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
+    """The true links among spokes (a, b): a hub's set meets its members' in tasks of at most about four blocks of these."""
+    hubs = spokes.groupBy("a").agg(F.ceil(F.count("*") / (4 * p.block)).cast("int").alias("parts"))
+    mine = sets.withColumnsRenamed({"doc_id": "end"})
+    members = spokes.join(hubs, "a").select("a", F.expr("cast(pmod(xxhash64(b), parts) AS int)").alias("part"), F.lit(1).alias("kind"), F.col("b").alias("end"))
+    heads = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("end"))
+    dealt = members.unionByName(heads).join(mine.hint("merge"), "end").select("a", "part", "kind", "end", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hubs = None, []  # an id of several texts has several sets
+        for batch in batches:
+            out, head, part, kind, end = [], *(batch.column(x).to_numpy(zero_copy_only=False) for x in range(4))
+            for r in range(batch.num_rows):
+                own = np.frombuffer(batch.column(4)[r].as_py(), np.uint64)
+                if at != (head[r], part[r]):
+                    at, hubs = (head[r], part[r]), []
+                if not kind[r]:
+                    hubs.append(own)
+                elif any(100 * (both := _common(hub, own)) >= p.percent * (len(hub) + len(own) - both) for hub in hubs):
+                    out.append((head[r], end[r]))
+            yield _links(out)
+
+    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(run, "a long, b long")
+
+
+def _block_links(mixed: DataFrame, sets: DataFrame, p: MinHashParams, work: Workspace) -> DataFrame:
+    """The true links between components among mixed (bucket, rep, component, n): members of buckets that hold several."""
+    star = mixed.groupBy("bucket").agg(F.min("rep").alias("hub"))
+    edges = mixed.join(star, "bucket").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    rough = connected_components(edges, work).withColumnRenamed("component", "comp").withColumnRenamed("node", "rep")
+    every = rough.join(mixed.select("rep", "component", "n").distinct(), "rep")
+    main = every.groupBy("comp", "component").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
+    sided = work.save(every.join(main, "comp").withColumn("other", (F.col("component") != F.col("main")).cast("int")), "sided")
+    count = lambda k: F.greatest(F.ceil(F.count_if(F.col("other") == k) / p.block), F.ceil(F.sum(F.when(F.col("other") == k, F.col("n"))) / p.block_shingles)).cast("int")
+    parts = sided.groupBy("comp").agg(count(0).alias("mains"), count(1).alias("others"))
+    part = F.when(F.col("other") == 0, F.expr("pmod(xxhash64(rep), mains)")).otherwise(F.expr("mains + pmod(xxhash64(rep), others)")).cast("int")
+    placed = sided.join(parts, "comp").withColumn("part", part)
+    # parts of the main component meet only parts of others; those meet all
+    partner = F.sequence(F.when(F.col("other") == 0, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    dealt = placed.withColumn("with", F.explode(partner)).select(F.col("rep").alias("doc_id"), "comp", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    dealt = dealt.join(sets.hint("merge"), "doc_id")
+    return _verified(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), p.percent)
+
+
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per input row."""
     work, p = Workspace(docs.sparkSession, "minhash"), params
@@ -194,30 +250,39 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     classes = work.save(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
 
     heads = filled.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "set_key"), ["rep", "set_key"], "left_semi")
-    member = heads.select("rep", F.explode("bands").alias("bucket"))
-    star = member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
-    spokes = member.join(star, "bucket").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    rough = connected_components(spokes, work).withColumnRenamed("component", "comp").withColumnRenamed("node", "rep")
+    member = heads.select("rep", F.explode("bands").alias("bucket")).repartition("bucket")
+    star = member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    crowded = work.save(member.join(star, "bucket"), "buckets")
+    spokes = work.save(crowded.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.lit(1)).select("a", "b"), "spokes")
 
-    sized = rough.join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
-    parts = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_shingles)).cast("int").alias("parts"))
-    placed = sized.join(parts, "comp").select(F.col("rep").alias("doc_id"), "comp", "parts", F.expr("cast(pmod(xxhash64(rep), parts) AS int)").alias("part"))
+    candidates = spokes.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(4), p.width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(x) for x in range(4)] + [sets], ["doc_id", "comp", "parts", "part", "shingles"])
+            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1), p.width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     # a sort-merge join at every size: the candidates grow with the table
-    fetched = placed.join(texts.hint("merge"), "doc_id").select("doc_id", "comp", "parts", "part", "text")
-    sets = fetched.mapInArrow(to_sets, "doc_id long, comp long, parts int, part int, shingles binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "shingles"
-    )
-    links = _verified(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), p.percent)
-    final = connected_components(links, work).select(F.col("node").alias("rep"), F.col("component"))
-
+    sets = work.save(candidates.join(texts.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")
+
+    first = spokes.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = work.save(_hub_links(first, sets, p), "verified")
+    found = connected_components(links, work)
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = spokes.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    links = links.unionByName(work.save(_hub_links(apart.select("a", "b"), sets, p), "verified"))
+    found = connected_components(links, work)
+
+    # hubs of buckets of two have met their only other member
+    placed = crowded.where("m > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("component"))
+    several = placed.where("rep <> hub").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    mixed = work.save(placed.join(several, "bucket").join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep").select("bucket", "rep", "component", "n"), "mixed")
+    if not mixed.isEmpty():
+        links = links.unionByName(work.save(_block_links(mixed, sets, p, work), "verified"))
+        found = connected_components(links, work)
+
+    final = found.select(F.col("node").alias("rep"), F.col("component"))
     named = classes.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return (
         sketch.select("doc_id", "n_shingles", "set_key")
