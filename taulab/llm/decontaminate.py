@@ -5,8 +5,9 @@ the postings (word positions) of the terms that the test items use, in the order
 terms.  A window of an item is looked up from its rarest term in that shard: the list of
 that term, shifted by the term's offset in the window, gives the possible starts, and the
 shifted lists of the next rarest terms are intersected with it one after the other.
-What survives all terms is an exact phrase match; the same walk that lets every term
-stand up to ``slop`` words away from its place gives proximity matches.
+What survives all terms is an exact phrase match; the same walk that lets every term, the rarest too,
+stand up to ``slop`` words away from its place gives proximity matches: what is found does not depend on which term is the rarest
+in a shard.  Words are known by 64-bit hashes.
 
 Test items travel to the shards in blocks of at most ``block_words`` words.  One block is the usual
 case; with more, each pass keeps a bitmap of the words that were hit so far and is written to the
@@ -76,9 +77,14 @@ def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, first[row] + step
 
 
+#: Possible starts that are looked at together.
+STARTS = 1 << 20
+
+
 def search(words: np.ndarray, row_ends: np.ndarray, block: TestBlock, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(window, start) of exact matches and (window, place of the rarest term) of proximity matches in one shard.
+    """(window, start) of exact matches and (window, a place in its row) of proximity matches in one shard.
 
+    A proximity match has a start from which every term stands at most ``slop`` words away from its place, in one row.
     row_ends: for each word, the number of words before the end of its row.
     """
     none = np.empty(0, np.int64)
@@ -98,31 +104,38 @@ def search(words: np.ndarray, row_ends: np.ndarray, block: TestBlock, slop: int)
     cost = np.where(block.windows >= 0, size[block.windows], len(words) + 1)
     rank = np.argsort(cost, axis=1, kind="stable")  # each window's offsets, rarest term first
     live = np.flatnonzero((cost > 0).all(axis=1))
-    anchor = rank[live, 0]
-    lists = block.windows[live, anchor]
-    row, at = _expand(first[lists], size[lists])
-    window, start = live[row], postings[at] - anchor[row]
+    lists = block.windows[live, rank[live, 0]]
 
-    def narrow(window: np.ndarray, start: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    def narrow(window: np.ndarray, start: np.ndarray, home: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is left of the possible starts, all in the row of the word at home."""
         for k in range(width):
             offset = rank[window, k]
             wanted = block.windows[window, offset]
             found = wanted < 0
             for d in sorted(range(-slack, slack + 1), key=abs):
                 place = start + offset + d
-                inside = (place >= 0) & (place < len(words))
-                same = np.zeros(len(window), bool)
-                same[inside] = number[place[inside]] == wanted[inside]
-                # within the row of the rarest term's own posting
-                home = start + rank[window, 0]
-                same[inside] &= (row_ends[place[inside]] == row_ends[home[inside]])
-                found |= same
-            window, start = window[found], start[found]
-        return window, start
-
-    exact = narrow(window, start, 0)
-    near, at = narrow(window, start, slop) if slop else exact
-    return *exact, near, at + rank[near, 0]
+                inside = np.flatnonzero((place >= 0) & (place < len(words)))
+                same = (number[place[inside]] == wanted[inside]) & (row_ends[place[inside]] == row_ends[home[inside]])
+                found[inside[same]] = True
+            window, start, home = window[found], start[found], home[found]
+        return window, start, home
+
+    out: list[list[np.ndarray]] = [[none], [none], [none], [none]]
+    load, i = np.cumsum(size[lists]), 0
+    while i < len(live):
+        j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + STARTS, "right")))
+        row, at = _expand(first[lists[i:j]], size[lists[i:j]])
+        window, home = live[i:j][row], postings[at]
+        start = home - rank[window, 0]
+        exact = narrow(window, start, home, 0)
+        out[0].append(exact[0])
+        out[1].append(exact[1])
+        for d in range(-slop, slop + 1):  # the rarest term may be off its place, too
+            near = narrow(window, start + d, home, slop)
+            out[2].append(near[0])
+            out[3].append(near[2])
+        i = j
+    return tuple(np.concatenate(x) for x in out)  # type: ignore[return-value]
 
 
 def _scan(df: DataFrame, block: TestBlock, p: DecontaminationParams, last: bool, first: bool) -> DataFrame:
@@ -191,7 +204,10 @@ def _block(tests: DataFrame, k: int, blocks: int, p: DecontaminationParams) -> T
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, near_items: one row per document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, near_items_sha256, items, near_items: one row per document.
+
+    Items have occurring windows; near items have proximity matches, exact ones included.
+    """
     work, p = Workspace(docs.sparkSession, "decontaminate"), params
     tests = _items(benchmark)
     blocks = _blocks(tests, p)
@@ -200,17 +216,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Decontamination
         df = _scan(df, _block(tests, k, blocks, p), p, last=k == blocks - 1, first=k == 0)
         if k < blocks - 1:
             df = work.save(df, "pass")
-    named = F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>")))
+    named = lambda c: F.sha2(F.concat_ws(",", F.array_sort(F.col(c).cast("array<string>"))), 256)
+    count = lambda c: F.size(c).cast("long")
     return df.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "near_items"
-    )
+        "doc_id", "n_words", "n_hit", count("items").alias("n_items"), named("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        count("near_items").alias("n_near_items"), named("near_items").alias("near_items_sha256"), "items", "near_items",
+    )
 
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """doc_id, n_items, n_near_items, near_items_sha256, near: proximity matches, exact ones included, one row per document."""
-    named = F.concat_ws(",", F.array_sort(F.col("near_items").cast("array<string>")))
-    near = F.size("near_items").cast("long")
-    return decontaminate(docs, benchmark, params).select("doc_id", "n_items", near.alias("n_near_items"), F.sha2(named, 256).alias("near_items_sha256"), (near > 0).alias("near"))
+    out = decontaminate(docs, benchmark, params)
+    return out.select("doc_id", "n_items", "n_near_items", "near_items_sha256", (F.col("n_near_items") > 0).alias("near"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
@@ -237,17 +254,24 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, params: Decontaminati
     return docs.mapInArrow(run, docs.schema)
 
 
-#: The digest columns in DuckDB's SQL.
-ORACLE_SQL = r"""
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
-  FROM documents
-), b AS (
-  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
-), bw AS (
-  SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[p : p + 9], ' ') AS win
+_WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_COMMON_SQL = f"""
+w AS (SELECT doc_id, {_WORDS_SQL.format("coalesce(text, '')")} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS k, ws[p : p + 9] AS words, array_to_string(ws[p : p + 9], ' ') AS win
   FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS p FROM b WHERE len(ws) > 0)
+), bt AS (SELECT win, k, words[q] AS word, q FROM (SELECT DISTINCT win, k, words, unnest(range(1, k + 1)) AS q FROM bw)),
+rarest AS (
+  SELECT win, k, word, q, row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), q) AS r
+  FROM bt LEFT JOIN (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM w) GROUP BY word) USING (word)
+), dt AS (SELECT doc_id, ws[p] AS word, p, ws FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w) WHERE ws[p] IN (SELECT word FROM rarest WHERE r = 1)),
+starts AS (SELECT DISTINCT doc_id, win, p - q + d AS s, ws FROM dt JOIN (SELECT * FROM rarest WHERE r = 1) USING (word) CROSS JOIN (SELECT unnest(range(-2, 3)) AS d)),
+near AS (
+  SELECT DISTINCT doc_id, win FROM starts JOIN (SELECT DISTINCT win, words, k FROM bw) USING (win)
+  WHERE {" AND ".join(f"(k < {q} OR list_contains(ws[greatest(1, s + {q - 2}) : greatest(0, s + {q + 2})], words[{q}]))" for q in range(1, 11))}
+), near_items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM near JOIN bw USING (win)) GROUP BY doc_id
 ), lengths AS (SELECT DISTINCT k FROM bw),
 dw AS (
   SELECT doc_id, k, p, array_to_string(ws[p : p + k - 1], ' ') AS win
@@ -258,8 +282,13 @@ dw AS (
   SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, p, k FROM m)) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
-)
+)"""
+
+#: The digest columns in DuckDB's SQL.
+ORACLE_SQL = f"""WITH {_COMMON_SQL}
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN hit ON w.doc_id = hit.doc_id LEFT JOIN items ON w.doc_id = items.doc_id
+       sha256(coalesce(items.names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(near_items.n, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near_items.names, '')) AS near_items_sha256
+FROM w LEFT JOIN hit ON w.doc_id = hit.doc_id LEFT JOIN items ON w.doc_id = items.doc_id LEFT JOIN near_items ON w.doc_id = near_items.doc_id
 """
+
+NEAR_SQL = f"SELECT doc_id, n_items, n_near_items, near_items_sha256, n_near_items > 0 AS near FROM ({ORACLE_SQL})"

@@ -4,8 +4,9 @@ Words are lower-cased (A-Z), marked at both ends and cut into character n-grams
 ``longest``, which are hashed to a fixed number of slots.  A text's value in a slot is the slot's share of all its
 n-grams times the inverse document frequency.  Document frequencies are counted over all documents
 that may be learned from; the weights are fitted by follow-the-regularised-leader steps
-with L1 and L2 penalties on a bounded sample of them (about ``most_per_language`` for each of
-the ``most_languages`` most frequent languages and ``most_rows`` in all, drawn by a hash of the id); a temperature, fitted on a fifth of the
+with L1 and L2 penalties on a bounded sample of them, drawn by a hash of the id: about ``most_rows`` rows and ``most_bytes`` bytes
+in all, shared evenly by the languages that occur (``most_per_language`` rows at most and about ``least_per_language`` at least for
+each; texts longer than ``longest_text`` bytes are not drawn); a temperature, fitted on a fifth of the
 sample that the weights did not see, calibrates the probabilities.  Weights and frequencies have a fixed size, so
 every text is scored whole, in one pass without a shuffle.
 
@@ -40,8 +41,10 @@ class LanguageParams:
     longest: int = 4
     bits: int = 16
     most_per_language: int = 2500
-    most_languages: int = 256
+    least_per_language: int = 16
     most_rows: int = 20_000
+    most_bytes: int = 256 << 20
+    longest_text: int = 1 << 20
     epochs: int = 4
     batch: int = 32
     alpha: float = 0.5
@@ -243,16 +246,19 @@ def _remainder(n: int) -> F.Column:
 def train(docs: DataFrame, p: LanguageParams) -> LanguageModel:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = usable.where("text IS NOT NULL AND lang IS NOT NULL").where(_remainder(p.folds) != p.held_out)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.most_languages).collect()
+    size = F.octet_length("text")
+    short = usable.where(size <= p.longest_text)
+    counts = short.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).collect()  # one row for each language
     empty = LanguageModel([], np.zeros((1 << p.bits, 0)), np.zeros(0), p)
     if not counts:
         return empty
     df, rows = _document_frequency(usable, p)
     idf = np.log((1 + rows) / (1 + df)) + 1
-    quota = min(p.most_per_language, p.most_rows / len(counts))
-    chance = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["count"])))))
+    rows_each, bytes_each = max(p.least_per_language, min(p.most_per_language, p.most_rows / len(counts))), p.most_bytes / len(counts)
+    share = lambda r: min(1.0, max(p.least_per_language / r["rows"], min(rows_each / r["rows"], bytes_each / max(1, r["bytes"]))))
+    chance = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(share(r)))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.where(draw < F.element_at(chance, F.col("lang")))
+    sample = short.where(draw < F.element_at(chance, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)

@@ -74,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op5_quality_rules": quality.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op4_near_matches": decontaminate.NEAR_SQL, "op5_quality_rules": quality.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL}

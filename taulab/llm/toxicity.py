@@ -13,7 +13,7 @@ evidence is the sum over its words divided by its length.  The margin (of a few)
 turns the root of the evidence into a score are fitted on rows that the models did not count.
 
 The models are fitted in one task on a bounded sample of labelled rows (``most_toxic`` and
-``most_ordinary``, drawn by a hash of the id), and have a size bounded by that sample; every row is scored,
+``most_ordinary``, drawn by a hash of the id, and of each class no more than ``most_bytes`` bytes in that order), and have a size bounded by that sample; every row is scored,
 over its whole text.  Labels, language, source and id are no inputs of a score.
 
 Defined cases: a text that is null or has no words has evidence 0; rows with a null id are held in
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbatch import ALNUM, FOLDED, chunks, mix, word_bounds, word_hashes
@@ -48,6 +48,7 @@ class ToxicityParams:
     margins: tuple[float, ...] = (1.0, 2.0, 3.0, 4.0)
     most_toxic: int = 4000
     most_ordinary: int = 8000
+    most_bytes: int = 128 << 20
 
 
 def _lay_out(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,10 +254,14 @@ def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> KneserNeyPai
     # what the bounds leave of each class, by a hash of the id; at most most_toxic + most_ordinary rows
     sample = None
     for c, most in ((1, p.most_toxic), (0, p.most_ordinary)):
-        part = one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(most)
+        part = one.where(F.col("toxic") == c).withColumn("h", F.xxhash64("doc_id", F.lit("sample"))).orderBy("h", "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    # a window over the bounded sample's sizes, without its texts
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.max("bytes").alias("bytes"))
+    so_far = F.sum("bytes").over(Window.partitionBy("toxic").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    used = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= p.most_bytes).select("doc_id", "toxic")
+    rows = texts.join(F.broadcast(used), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
