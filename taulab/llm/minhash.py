@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, extended
 from .textbatch import SPACED, chunks, whole_hash, window_hashes, word_bounds, word_hashes
 from .workspace import Workspace
 
@@ -226,7 +226,7 @@ def _hub_links(spokes: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFram
 def _block_links(mixed: DataFrame, sets: DataFrame, p: MinHashParams, work: Workspace) -> DataFrame:
     """The true links between components among mixed (bucket, rep, component, n): members of buckets that hold several."""
     star = mixed.groupBy("bucket").agg(F.min("rep").alias("hub"))
-    edges = mixed.join(star, "bucket").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    edges = work.save(mixed.join(star, "bucket").select(F.col("hub").alias("a"), F.col("rep").alias("b")), "rough")
     rough = connected_components(edges, work).withColumnRenamed("component", "comp").withColumnRenamed("node", "rep")
     every = rough.join(mixed.select("rep", "component", "n").distinct(), "rep")
     main = every.groupBy("comp", "component").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
@@ -271,16 +271,14 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     found = connected_components(links, work)
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     apart = spokes.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    links = links.unionByName(work.save(_hub_links(apart.select("a", "b"), sets, p), "verified"))
-    found = connected_components(links, work)
+    found = extended(found, work.save(_hub_links(apart.select("a", "b"), sets, p), "verified"), work)
 
     # hubs of buckets of two have met their only other member
     placed = crowded.where("m > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("component"))
     several = placed.where("rep <> hub").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     mixed = work.save(placed.join(several, "bucket").join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep").select("bucket", "rep", "component", "n"), "mixed")
     if not mixed.isEmpty():
-        links = links.unionByName(work.save(_block_links(mixed, sets, p, work), "verified"))
-        found = connected_components(links, work)
+        found = extended(found, work.save(_block_links(mixed, sets, p, work), "verified"), work)
 
     final = found.select(F.col("node").alias("rep"), F.col("component"))
     named = classes.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
