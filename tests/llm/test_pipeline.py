@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from taulab.llm import decontaminate, minhash
 from taulab.llm.quality import judge
 
 SF = "/root/testdata/sf0.001"
@@ -28,17 +29,13 @@ def test_run_has_every_record_of_the_mix(spark):
     assert len({(r.shard, r.slot) for r in rows}) == len(rows) > 50
 
 
-PROSE = "The committee met again on Monday and agreed that further work would be needed before any decision could be taken, number {}."
-
-
-def texts(k):
-    words = [f"{w}{k}" for w in PROSE.format(k).split()]
-    return ". ".join(" ".join(words[i:] + words[:i]).capitalize() for i in range(0, 15, 5)) + "."
-
-
 def small(spark):
-    rows = [(k, texts(k), "en", f"s{k % 3}", 1) for k in range(12)]
-    rows += [(12, None, "en", "s0", 0), (13, "", None, None, 0), (14, texts(99), None, None, None), (None, texts(77), "en", "s1", 1), (3, texts(3), "en", "s0", 1), (15, texts(4), "de", "s2", 1)]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kept = judge(table).where("kept").join(minhash.near_duplicates(table).where("kept").select("doc_id"), "doc_id", "left_semi").select("doc_id")
+    clean = decontaminate.clean_documents(table, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    texts = [r.text for r in clean.join(kept, "doc_id", "left_semi").orderBy("doc_id").limit(15).collect()]
+    rows = [(k, texts[k], "en", f"s{k % 3}", 1) for k in range(12)]
+    rows += [(12, None, "en", "s0", 0), (13, "", None, None, 0), (14, texts[12], None, None, None), (None, texts[13], "en", "s1", 1), (3, texts[3], "en", "s0", 1), (15, texts[4], "de", "s2", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     return docs.withColumns({x: F.lit(7) for x in ("_row", "_h", "_copies", "kept", "shard", "_id", "size", "component_id", "n_words")})
 
