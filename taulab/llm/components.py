@@ -42,11 +42,12 @@ def _followed(hook: DataFrame) -> DataFrame:
 def extended(components: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame:
     """The components (node, component) with further edges (a, b), a stored table, by contracting what is known already."""
     of = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    named = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
     contracted = work.save(named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), "links")
     if contracted.isEmpty():
         return components
     found = connected_components(contracted, work).withColumnsRenamed({"node": "old", "component": "new"})
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL").distinct()
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     every = components.join(ends, "node", "full").select("node", F.coalesce("component", "node").alias("old"))
     return work.save(every.join(found, "old", "left").select("node", F.coalesce("new", "old").alias("component")), "labels")
