@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, language, licenses, lines, minhash, mixing, quality, sharding, toxicity
+from . import decontaminate, html, language, licenses, lines, minhash, mixing, periodic, quality, sharding, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op8_mix_sources": op8_mix_sources,
         "op9_html_text": op9_html_text,
         "op10_language_id": op10_language_id,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
