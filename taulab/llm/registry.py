@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, language, licenses, lines, minhash, mixing, periodic, quality, sharding, toxicity
+from . import decontaminate, html, language, licenses, lines, minhash, mixing, periodic, quality, resampling, sharding, toxicity, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")).drop("n_words")
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("archive", "url", "intact")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -75,8 +83,17 @@ def queries() -> dict[str, Query]:
         "op9_html_text": op9_html_text,
         "op10_language_id": op10_language_id,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_warc_archives": op13_warc_archives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op4_near_matches": decontaminate.NEAR_SQL, "op5_quality_rules": quality.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL}
+    return {
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
+        "op4_near_matches": decontaminate.NEAR_SQL,
+        "op5_quality_rules": quality.ORACLE_SQL,
+        "op6_license_scan": licenses.ORACLE_SQL,
+        "op12_importance_resampling": resampling.ORACLE_SQL,
+        "op13_warc_archives": warc.ORACLE_SQL,
+    }
