@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taulab.functions.columns import cv, iqr, ratio, rates, sample_std
 
+from .quantiles import percentiles
 from .range_count import count_above
 
 
@@ -17,7 +18,7 @@ def client_eval(scores: DataFrame, taus: DataFrame) -> DataFrame:
     out = keyed
     for stage, name in (("test_benign", "fp"), ("test_attack", "tp")):
         out = count_above(scores.where(F.col("stage") == stage).select("seed", "client_id", "score"), out, ["seed", "client_id"], "score", "tau", name)
-    out = out.join(F.broadcast(sizes), ["seed", "client_id"]).withColumns({"tn": F.col("n_benign") - F.col("fp"), "fn": F.col("n_attack") - F.col("tp")})
+    out = out.join(sizes, ["seed", "client_id"]).withColumns({"tn": F.col("n_benign") - F.col("fp"), "fn": F.col("n_attack") - F.col("tp")})
     return out.withColumns(rates("tp", "fp", "tn", "fn")).withColumn("evaluation_incomplete", F.col("n_attack") == 0).drop("tau_id")
 
 
@@ -75,10 +76,15 @@ def average_precision(scores: DataFrame, keys: list[str]) -> DataFrame:
     return steps.groupBy(*keys).agg(F.when((F.sum("p") > 0) & (F.sum("c") > F.sum("p")), F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p")).alias("average_precision"))
 
 
-def scale_bases(cal: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, iqr, mad, gap, scale_base): the first positive of IQR, median deviation and smallest gap of distinct scores."""
-    stats = cal.groupBy(*keys).agg(iqr("score").alias("iqr"), F.percentile("score", F.lit(0.5)).alias("median"))
-    mad = cal.join(F.broadcast(stats), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("score") - F.col("median")), F.lit(0.5)).alias("mad"))
+def scale_bases(cal: DataFrame, keys: list[str], largest: int = 0) -> DataFrame:
+    """(keys, iqr, mad, gap, scale_base): the first positive of IQR, median deviation and smallest gap of distinct scores.
+
+    largest: rows of the largest group (see ``percentiles``).
+    """
+    picked = percentiles(cal, keys, "score", {"q25": 0.25, "median": 0.5, "q75": 0.75}, largest)
+    sizes = cal.groupBy(*keys).agg(F.count("score").alias("n"))
+    stats = sizes.join(picked, keys, "left").select(*keys, F.when(F.col("n") >= 2, F.col("q75") - F.col("q25")).alias("iqr"), "median")
+    mad = percentiles(cal.join(stats, keys).withColumn("off", F.abs(F.col("score") - F.col("median"))), keys, "off", {"mad": 0.5}, largest)
     step = F.col("score") - F.lag("score").over(Window.partitionBy(*keys).orderBy("score"))
     gap = cal.select(*keys, "score").distinct().withColumn("step", step).where("step > 0").groupBy(*keys).agg(F.min("step").alias("gap"))
     base = F.coalesce(*(F.when(F.col(c) > 0, F.col(c)) for c in ("iqr", "mad", "gap")))

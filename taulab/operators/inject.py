@@ -1,19 +1,20 @@
 """Replacement of part of a victim's calibration scores by draws from a reservoir.
 
-``injected`` draws by integer arithmetic on positions, so that any SQL engine gives the same rows; ``injected_rng`` draws with numpy's
-generators from the recorded seeds, in grouped Arrow batches.
+``replacements`` draws by integer arithmetic on positions, so that any SQL engine gives the same rows, and makes the replaced rows only;
+``injected_rng`` draws with numpy's generators from the recorded seeds, in grouped Arrow batches.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taulab.constants import FEATURE_TAIL_MASS, FRACTIONS, INTERPOLATED, OBJECTIVES, PAIRS, SOURCES, TAIL_MASS, TRAIN_FEATURE_SOURCES, WITH_REPLACEMENT, WITHOUT_REPLACEMENT
+from taulab.sources.store import Store
+
+from .ladder import merged, ranked
 
 CELL = ["seed", "victim", "source", "objective", "fraction"]
 PRIME = 1_000_003
@@ -48,17 +49,13 @@ def _order(of: str, child: str) -> Column:
     return F.pmod((F.col(of) + 1) * 7919 + (F.col(child) + 1) * 104729 + (F.col("seed") + 1) * 15485863, F.lit(PRIME))
 
 
-def reservoirs(cal: DataFrame) -> DataFrame:
-    """cal (seed, client_id, pos, score) -> the pool of each benign source with pool_index from 0, pool_n and feasible."""
-    w = Window.partitionBy("seed", "client_id")
-    ranked = cal.withColumn("r", F.row_number().over(w.orderBy("score", "pos")) - 1).withColumn("n", F.count("*").over(w))
-    tail = tail_size("n", TAIL_MASS)
-    pools = [
-        ranked.select(F.lit("random_benign").alias("source"), "seed", "client_id", "pos", "score", F.col("r").alias("pool_index"), F.col("n").alias("pool_n")),
-        ranked.where(F.col("r") >= F.col("n") - tail).select(F.lit("high_score_benign").alias("source"), "seed", "client_id", "pos", "score", (F.col("r") - F.col("n") + tail).alias("pool_index"), tail.alias("pool_n")),
-        ranked.where(F.col("r") < tail).select(F.lit("low_score_benign").alias("source"), "seed", "client_id", "pos", "score", F.col("r").alias("pool_index"), tail.alias("pool_n")),
-    ]
-    return reduce(DataFrame.unionByName, pools)
+def reservoirs(ladder: DataFrame) -> DataFrame:
+    """A client ladder -> the pool of each benign source with pool_index from 0 and pool_n: a range of its ranks."""
+    tail, top = tail_size("n", TAIL_MASS), F.col("n")
+    pools = (("random_benign", F.lit(0), top), ("high_score_benign", top - tail, tail), ("low_score_benign", F.lit(0), tail))
+    each = F.array(*(F.struct(F.lit(name).alias("source"), (F.col("rank") - first).cast("long").alias("pool_index"), size.cast("long").alias("pool_n")) for name, first, size in pools))
+    inside = ladder.withColumn("_p", F.explode(each)).where("_p.pool_index >= 0 AND _p.pool_index < _p.pool_n")
+    return inside.select("_p.source", "seed", "client_id", "pos", "score", "_p.pool_index", "_p.pool_n")
 
 
 def donors(train: DataFrame, victims: DataFrame) -> DataFrame:
@@ -77,24 +74,169 @@ def donors(train: DataFrame, victims: DataFrame) -> DataFrame:
     return used.withColumn("draw", F.row_number().over(v.orderBy(_order("row_id", "stream"), "row_id"))).select("seed", "victim", "source", "draw", "row_id", "score", F.count("*").over(v).alias("donor_n"))
 
 
-def injected(cells: DataFrame, cal: DataFrame, train: DataFrame) -> DataFrame:
-    """The victims' calibration rows of all cells with fraction > 0: CELL, pos, score, clean_score, replaced, donor_id.
+def _shift(child: str) -> Column:
+    return F.pmod((F.col(child) + 1) * 104729 + (F.col("seed") + 1) * 15485863, F.lit(PRIME))
+
+
+def _order_value(pos: str) -> Column:
+    """The part of a row's draw order that all cells of a client share."""
+    return F.pmod((F.col(pos) + 1) * 7919, F.lit(PRIME))
+
+
+def donor_rows(train: DataFrame, store: Store, largest: int | None = None) -> DataFrame:
+    """One row for each row id of a seed, in two global orders; stored.
+
+    (seed, row_id, owner, score, place, rank, score2, place2, at2, turn): owner and score are those of the first client that has the id, score2 that of the first
+    other one, if there is one: it stands in for the owner's own when the owner is the victim.  place counts both scores of all ids, highest
+    first; rank counts first scores only, and at2 those before score2.  turn is the place in the draw order that all sources share.
+    """
+    own = train.groupBy("seed", "row_id", "client_id").agg(F.min(F.struct("pos", "score")).alias("x")).select("seed", "row_id", F.struct("client_id", "x.pos", "x.score").alias("x"))
+    own = store.save(own, "owned")
+    first = own.groupBy("seed", "row_id").agg(F.min("x").alias("x"), F.count("*").alias("owners"))
+    other = own.join(first.where("owners > 1").select("seed", "row_id", F.col("x.client_id").alias("owner")), ["seed", "row_id"]).where("x.client_id <> owner")
+    second = other.groupBy("seed", "row_id", "owner").agg(F.min("x").alias("x")).select("seed", "row_id", "owner", "x.score", F.lit(1).alias("stand_in"))
+    both = first.select("seed", "row_id", F.col("x.client_id").alias("owner"), "x.score", F.lit(0).alias("stand_in")).unionByName(second)
+    placed = ranked(both, ["seed"], [-F.col("score"), "row_id", "stand_in"], store, "place", largest, rank=F.col("stand_in") == 0)
+    pick = lambda c, k: F.max(F.when(F.col("stand_in") == k, F.col(c)))
+    each = placed.groupBy("seed", "row_id", "owner").agg(*(pick(c, 0).alias(c) for c in ("score", "place", "rank")), *(pick(c, 1).alias(name) for c, name in (("score", "score2"), ("place", "place2"), ("rank", "at2"))))
+    return store.save(ranked(each, ["seed"], [_order_value("row_id"), "row_id"], store, "turn", largest), "donors")
+
+
+def first_donors(train: DataFrame, budgets: DataFrame, store: Store, largest: int | None = None) -> DataFrame:
+    """(seed, victim, source, draw, row_id, score): the first donors of each victim, as many as budgets (seed, victim, most) say.
+
+    Equal to the rows of ``donors`` with draw <= most, but no victim is joined with all rows: its pool is the global order without its
+    own rows.  The last place of its high tail is found from its own rows (see ``merged``), and how many turns of the
+    draw order hold enough of its pool from counts by ranges of turns and places; only the rows of these turns are looked at.
+    """
+    seed, cell = ["seed"], ["seed", "victim"]
+    rows = donor_rows(train, store, largest)
+    own = rows.select("seed", F.col("owner").alias("victim"), "rank", "place", "score2", "place2", "at2", "turn")
+    sizes = rows.groupBy("seed").agg(F.count("*").alias("n"), F.max(F.greatest("place", F.coalesce("place2", "place"))).alias("last"))
+    less = own.groupBy(*cell).agg((F.count("*") - F.count("place2")).alias("less"))
+    pools = budgets.join(sizes, "seed").join(less, cell, "left").withColumn("pool", F.col("n") - F.coalesce("less", F.lit(0))).where("pool > 0")
+    wanted = pools.select(*cell, "n", (tail_size("pool", FEATURE_TAIL_MASS) - 1).cast("long").alias("rank"))
+    gone = own.join(sizes.select("seed", "n"), "seed").join(budgets.select(*cell), cell, "left_semi")
+    moved = gone.select(*cell, "n", F.col("rank").alias("at"), F.lit(None).cast("double").alias("added"))
+    moved = moved.unionByName(gone.where("place2 IS NOT NULL").select(*cell, "n", F.col("at2").alias("at"), F.col("place2").cast("double").alias("added")))
+    tails = merged(rows.select("seed", "rank", F.col("place").cast("double").alias("score")), moved, wanted, seed, cell).select(*cell, F.col("value").cast("long").alias("tail_place"))
+    pairs = pair_table(train.sparkSession).where(F.col("source").isin(*TRAIN_FEATURE_SOURCES)).select("source", "stream")
+    asked = pools.join(tails, cell).crossJoin(F.broadcast(pairs))
+    asked = asked.withColumn("to", F.when(F.col("source") == TRAIN_FEATURE_SOURCES[0], F.col("last")).otherwise(F.col("tail_place")))
+    asked = asked.withColumn("turn_value", F.lit(PRIME) - _shift("stream"))
+    turns = places_in(rows.select("seed", _order_value("row_id").alias("turn_value")), asked.select("seed", "stream", "turn_value").distinct(), seed, "turn_value", store, "turn0", largest, after=False)
+    asked = asked.drop("turn_value").join(turns.select("seed", "stream", "turn0"), ["seed", "stream"])
+    asked = store.save(asked.withColumn("turn0", F.pmod(F.col("turn0"), F.col("n"))).drop("less"), "asked")
+    # ranges of turns about as long as the smallest budget; as many ranges of places
+    n, most = asked.agg(F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.min("most"), F.lit(1))).first()
+    ranges = max(16, min(TURN_RANGES, n // max(1, most)))
+    cut = lambda x, of: F.floor(x * F.lit(ranges) / of).cast("int")
+    near = rows.join(sizes, "seed").withColumns({"tb": cut(F.col("turn"), F.col("n")), "pb": cut(F.col("place"), F.col("last") + 1)})
+    up_to = Window.partitionBy("seed", "tb").orderBy("pb")
+    filled = near.groupBy("seed", "tb", "pb").agg(F.count("*").alias("c")).withColumn("c", F.sum("c").over(up_to)).groupBy("seed", "tb").agg(F.sort_array(F.collect_list(F.struct("pb", "c"))).alias("filled"))
+    mine = near.withColumnRenamed("owner", "victim").join(asked.select(*cell, "source", "to"), cell).where(F.col("place") <= F.col("to")).groupBy(*cell, "source", "tb").agg(F.count("*").alias("own"))
+    cap = cut(F.col("to") + 1, F.col("last") + 1)
+    least = asked.join(filled, "seed").join(mine, [*cell, "source", "tb"], "left")
+    whole = F.coalesce(F.try_element_at(F.filter("filled", lambda x: x["pb"] < F.col("cap")), F.lit(-1))["c"], F.lit(0))
+    first = cut(F.col("turn0"), F.col("n"))
+    least = least.withColumn("cap", cap).withColumn("sure", F.greatest(F.lit(0), whole - F.coalesce("own", F.lit(0))))
+    least = least.withColumn("turn_no", F.pmod(F.col("tb") - first, F.lit(ranges)))
+    # the first range counts for nothing, as its beginning comes last
+    so_far = F.sum(F.when(F.col("turn_no") > 0, F.col("sure")).otherwise(0)).over(Window.partitionBy(*cell, "source").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1))
+    taken = least.withColumn("so_far", F.coalesce(so_far, F.lit(0))).where("so_far < most OR turn_no = 0")
+    # where all ranges are taken, the first one's beginning is too
+    full = F.max("turn_no").over(Window.partitionBy(*cell, "source")) == ranges - 1
+    taken = taken.withColumn("full", full).select(*cell, "source", "most", "to", "turn0", "tb", "full")
+    met = near.select("seed", "tb", "turn", "row_id", "owner", "score", "place", "score2", "place2", "n").join(taken, ["seed", "tb"])
+    stands = F.col("owner") == F.col("victim")
+    met = met.withColumns({"used": F.when(stands, F.col("score2")).otherwise(F.col("score")), "at_place": F.when(stands, F.col("place2")).otherwise(F.col("place"))})
+    met = met.where((F.col("at_place") <= F.col("to")) & (F.col("full") | (F.col("tb") != first) | (F.col("turn") >= F.col("turn0"))))
+    draw = F.row_number().over(Window.partitionBy(*cell, "source").orderBy(F.pmod(F.col("turn") - F.col("turn0"), F.col("n"))))
+    return met.withColumn("draw", draw.cast("long")).where("draw <= most").select(*cell, "source", "draw", "row_id", F.col("used").alias("score"))
+
+
+#: At most so many ranges of turns in ``first_donors``.
+TURN_RANGES = 4096
+
+
+def client_ladder(cal: DataFrame, sizes: DataFrame, store: Store, largest: int | None = None) -> DataFrame:
+    """cal (seed, client_id, stage, pos, event_id, score) plus n (from sizes), rank by score and turn, the place in the shared draw order; stored.
+
+    The rows a cell replaces are consecutive turns from a start of its own, so no cell sorts the client's rows again.
+    """
+    keys = ["seed", "client_id"]
+    by_score = ranked(cal.join(sizes.select(*keys, "n"), keys), keys, ["score", "pos"], store, "rank", largest)
+    return store.save(ranked(by_score, keys, [_order_value("pos"), "pos"], store, "turn", largest), "ladder")
+
+
+def places_in(values: DataFrame, asked: DataFrame, keys: list[str], value: str, store: Store, name: str, largest: int | None = None, after: bool = True) -> DataFrame:
+    """asked (keys, value, ...) plus how many rows of values (keys, value) come before, equal ones included if after: from one order of both."""
+    both = values.select(*keys, value, F.lit(not after).cast("int").alias("_asked")).unionByName(asked.withColumn("_asked", F.lit(after).cast("int")), allowMissingColumns=True)
+    kind = int(after)
+    placed = ranked(both, keys, [value, "_asked"], store, "_place", largest, **{name: F.col("_asked") != kind})
+    return placed.where(F.col("_asked") == kind).drop("_asked", "_place")
+
 
+def exploded(df: DataFrame, m: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """Each row m times, with name from 1 to m; no array is longer than a block or m over it."""
+    blocks = df.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(m) - 1) / block))))
+    numbers = F.sequence(F.col("_b") * block + 1, F.least(F.col(m), (F.col("_b") + 1) * block))
+    return blocks.withColumn(name, F.explode(numbers)).drop("_b")
+
+
+def starts(cells: DataFrame, ladder: DataFrame, store: Store, largest: int | None = None) -> DataFrame:
+    """cells plus turn0: the turn of the first row that a cell replaces.
+
+    A cell's order is the shared one shifted by a number of its own and taken modulo PRIME: it begins with the values that the shift carries
+    past PRIME, so after as many turns as there are lower values.
+    """
+    values = ladder.select("seed", F.col("client_id").alias("victim"), _order_value("pos").alias("turn_value"))
+    placed = places_in(values, cells.withColumn("turn_value", F.lit(PRIME) - _shift("child")), ["seed", "victim"], "turn_value", store, "turn0", largest, after=False)
+    return placed.withColumn("turn0", F.pmod(F.col("turn0"), F.col("n"))).drop("turn_value")
+
+
+def replacements(cells: DataFrame, ladder: DataFrame, train: DataFrame, store: Store, largest: int | None = None, largest_seed: int | None = None) -> DataFrame:
+    """The replaced calibration rows of all cells with fraction > 0, and no others; stored.
+
+    CELL, n, stage, pos, rank and clean_score of the row, score that takes its place, at (the clean rank before which that stands), donor_id.
     Benign sources draw with replacement, train-feature sources without; these have the row id of the donor.
+    largest, largest_seed: rows of the largest ladder and of all donors of a seed, where known (see ``ranked``).
+    """
+    keys = ["seed", "victim"]
+    steps = ladder.withColumnRenamed("client_id", "victim")
+    sizes = steps.select(*keys, "n").distinct()
+    asked = cells.where("fraction > 0").join(sizes, keys).withColumn("m", budget("fraction", "n"))
+    hits = exploded(starts(asked, ladder, store, largest), "m", "k").withColumn("turn", F.pmod(F.col("turn0") + F.col("k") - 1, F.col("n")))
+    hits = hits.join(steps.select(*keys, "turn", "stage", "pos", "rank", F.col("score").alias("clean_score")), [*keys, "turn"])
+    kept = [*CELL, "n", "stage", "pos", "rank", "clean_score"]
+    tail = tail_size("n", TAIL_MASS)
+    pool = F.when(F.col("source") == "random_benign", F.col("n")).otherwise(tail)
+    place = F.pmod(F.col("k") * 48271 + F.col("child") * 13 + F.col("seed") * 7, pool)
+    drawn = F.when(F.col("source") == "high_score_benign", F.col("n") - tail + place).otherwise(place)
+    own = hits.where(~F.col("source").isin(*TRAIN_FEATURE_SOURCES)).withColumn("drawn", drawn)
+    benign = own.join(steps.select(*keys, F.col("rank").alias("drawn"), "score"), [*keys, "drawn"]).select(*kept, "score", (F.col("drawn") + 1).alias("at"), F.lit(None).cast("long").alias("donor_id"))
+    most = asked.where(F.col("source").isin(*TRAIN_FEATURE_SOURCES)).groupBy(*keys).agg(F.max("m").alias("most"))
+    gifts = store.save(first_donors(train, store.save(most, "budgets"), store, largest_seed).withColumnRenamed("draw", "k"), "gifts")
+    # a donor's place among the victim's rows: how many of them come before it in one order of both
+    placed = places_in(steps.select(*keys, "score"), gifts, keys, "score", store, "at", largest)
+    feature = hits.where(F.col("source").isin(*TRAIN_FEATURE_SOURCES)).join(placed.select(*keys, "source", "k", "score", "at", F.col("row_id").alias("donor_id")), [*keys, "source", "k"])
+    return store.save(benign.unionByName(feature.select(*kept, "score", "at", "donor_id")), "replaced")
+
+
+def changes(replaced: DataFrame) -> DataFrame:
+    """CELL, n, at, added: what the replacements take out of a victim's ladder and put into it (see ``merged``)."""
+    out = replaced.select(*CELL, "n", F.col("rank").alias("at"), F.lit(None).cast("double").alias("added"))
+    return out.unionByName(replaced.select(*CELL, "n", "at", F.col("score").alias("added")))
+
+
+def injected(cells: DataFrame, cal: DataFrame, replaced: DataFrame) -> DataFrame:
+    """All calibration rows of the victims of all cells with fraction > 0: CELL, pos, score, clean_score, replaced, donor_id.
+
+    As many rows as cells times rows: for looking at them; nothing else is computed from it.
     """
-    sized = cal.withColumn("n", F.count("*").over(Window.partitionBy("seed", "client_id")))
-    rows = cells.where("fraction > 0").join(sized.withColumnRenamed("client_id", "victim"), ["seed", "victim"])
-    w = Window.partitionBy(*CELL).orderBy(_order("pos", "child"), "pos")
-    ranked = rows.withColumn("k", F.row_number().over(w)).withColumn("m", budget("fraction", "n"))
-    hit = ranked.where(F.col("k") <= F.col("m")).select(*CELL, "child", "pos", "k")
-    pools = reservoirs(cal).withColumnRenamed("client_id", "victim").select("source", "seed", "victim", "pool_index", "pool_n", F.col("score").alias("drawn"))
-    sizes = pools.select("source", "seed", "victim", "pool_n").distinct()
-    benign = hit.join(F.broadcast(sizes), ["source", "seed", "victim"]).withColumn("pool_index", F.pmod(F.col("k") * 48271 + F.col("child") * 13 + F.col("seed") * 7, F.col("pool_n")))
-    benign = benign.join(pools.drop("pool_n"), ["source", "seed", "victim", "pool_index"]).select(*CELL, "pos", "drawn", F.lit(None).cast("long").alias("donor_id"))
-    gifts = donors(train, cells.select("seed", F.col("victim").alias("client_id")).distinct())
-    feature = hit.join(gifts.select("seed", "victim", "source", F.col("draw").alias("k"), F.col("score").alias("drawn"), F.col("row_id").alias("donor_id")), ["seed", "victim", "source", "k"]).select(*CELL, "pos", "drawn", "donor_id")
-    drawn = benign.unionByName(feature)
-    out = rows.select(*CELL, "pos", F.col("score").alias("clean_score")).join(drawn, [*CELL, "pos"], "left")
+    rows = cells.where("fraction > 0").join(cal.select("seed", F.col("client_id").alias("victim"), "pos", F.col("score").alias("clean_score")), ["seed", "victim"])
+    new = replaced.select(*CELL, "pos", F.col("score").alias("drawn"), "donor_id")
+    out = rows.select(*CELL, "pos", "clean_score").join(new, [*CELL, "pos"], "left")
     return out.select(*CELL, "pos", F.coalesce("drawn", "clean_score").alias("score"), "clean_score", F.col("drawn").isNotNull().alias("replaced"), "donor_id")
 
 

@@ -24,7 +24,7 @@ def count_above(values: DataFrame, taus: DataFrame, keys: list[str], value: str,
         at = F.when(width > 0, F.floor((F.col(x) - F.col("_lo")) / width)).otherwise(F.when(F.col(x) < F.col("_lo"), -1).otherwise(0))
         return F.least(F.lit(ranges), F.greatest(F.lit(-1), at)).cast("int")
 
-    cut = values.join(F.broadcast(bounds), keys).select(*keys, F.col(value).alias("_v"), bucket(value).alias("_b"))
+    cut = values.join(bounds, keys).select(*keys, F.col(value).alias("_v"), bucket(value).alias("_b"))
     counts = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)
     ladder = counts.withColumn("_from", F.sum("_n").over(above)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_from"))).alias("_ladder"))

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taulab.constants import CONVERGENCE, GLOBAL, LOCAL, QUANTILE, RAISE, TRIM_APPENDIX, TRIM_PRIMARY
+from taulab.constants import CONVERGENCE, GLOBAL, LOCAL, RAISE
 from taulab.functions.columns import cv
+from taulab.sources.store import Store
 
 from .cluster import grid_params
 from .inject import CELL
-from .sweep import Sweep, cluster_labels, cluster_shape
-from .thresholds import trimmed
+from .ladder import ranked
+from .quantiles import percentiles
+from .sweep import TRIMS, Sweep, cluster_labels, cluster_shape
 
 
 def scale_normalization(s: Sweep) -> DataFrame:
     """The victim's shift of the global threshold, raw and with every client's threshold divided by its median score."""
     fleet = s.clients.select("seed", "client_id", "tau", F.col("median").alias("scale"))
-    rows = s.shifts.where("fraction > 0").select(*CELL, "victim_tau_poisoned").join(F.broadcast(fleet), "seed")
+    rows = s.shifts.where("fraction > 0").select(*CELL, "victim_tau_poisoned").join(fleet, "seed")
     rows = rows.withColumn("new", F.when(F.col("client_id") == F.col("victim"), F.col("victim_tau_poisoned")).otherwise(F.col("tau")))
     own = F.max(F.when(F.col("client_id") == F.col("victim"), F.col("scale")))
     return rows.groupBy(*CELL).agg(
@@ -34,18 +36,13 @@ def trust_boundary(s: Sweep) -> DataFrame:
 
     The global threshold is the mean of the local ones, so its figures follow from the victim's and the fleet's means.
     """
-    q = lambda rows, keys, name: rows.groupBy(*keys).agg(F.percentile("score", F.lit(QUANTILE)).alias(name))
-    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"]).withColumnRenamed("client_id", "victim")
-    fleet = s.clients.groupBy("seed").agg(F.avg("tau").alias("global_clean"), F.count("*").alias("n"))
-    out = s.shifts.where("fraction > 0").join(F.broadcast(fleet), "seed")
-    for name, t in (("primary", TRIM_PRIMARY), ("appendix", TRIM_APPENDIX)):
-        old = q(trimmed(cal, ["seed", "victim"], t), ["seed", "victim"], f"old_{name}").withColumn(f"mean_{name}", F.avg(f"old_{name}").over(Window.partitionBy("seed")))
-        out = out.join(q(trimmed(s.poisoned, CELL, t), CELL, f"new_{name}"), CELL).join(old, ["seed", "victim"])
+    fleet = s.clients.groupBy("seed").agg(F.avg("tau").alias("global_clean"), F.count("*").alias("n"), *(F.avg(f"tau_{k}").alias(f"mean_{k}") for k in TRIMS))
+    out = s.shifts.where("fraction > 0").join(fleet, "seed")
     c, p, g, n = F.col("victim_tau_clean"), F.col("victim_tau_poisoned"), F.col("global_clean"), F.col("n")
     extreme = F.when(F.col("objective") == RAISE, F.col("cal_max")).otherwise(F.col("cal_min"))
-    moved = {k: F.col(f"new_{k}") - F.col(f"old_{k}") for k in ("primary", "appendix")}
+    moved = {k: F.col(f"trimmed_{k}_poisoned") - F.col(f"trimmed_{k}_clean") for k in TRIMS}
     policies = {
-        LOCAL: {"undefended": p - c, **{f"trim_{k}": m for k, m in moved.items()}, **{f"residual_{k}": F.col(f"new_{k}") - c for k in moved}, "overwrite_reference": extreme - c},
+        LOCAL: {"undefended": p - c, **{f"trim_{k}": m for k, m in moved.items()}, **{f"residual_{k}": F.col(f"trimmed_{k}_poisoned") - c for k in moved}, "overwrite_reference": extreme - c},
         GLOBAL: {"undefended": (p - c) / n, **{f"trim_{k}": m / n for k, m in moved.items()}, **{f"residual_{k}": F.col(f"mean_{k}") + m / n - g for k, m in moved.items()}, "overwrite_reference": extreme - g},
     }
     each = F.array(*(F.struct(F.lit(name).alias("policy"), *(v.alias(k) for k, v in figures.items())) for name, figures in policies.items()))
@@ -58,7 +55,7 @@ def cluster_stability(s: Sweep, ks=(2, 3, 4), inits=(1, 10), states=(0, 1, 7, 42
     keys = [*CELL, "k", "n_init", "random_state"]
     labels = cluster_labels(s, grid_params(ks, inits, states), only_perturbed=True)
     fleet = s.clients.select("seed", "client_id", "tau")
-    rows = labels.join(F.broadcast(fleet), ["seed", "client_id"]).join(s.shifts.select(*CELL, "victim_tau_poisoned"), CELL)
+    rows = labels.join(fleet, ["seed", "client_id"]).join(s.shifts.select(*CELL, "victim_tau_poisoned"), CELL)
     own, is_victim = F.col("client_id") == F.col("victim"), lambda label: F.max(F.when(F.col("client_id") == F.col("victim"), F.col(label))).over(Window.partitionBy(*keys))
     rows = rows.withColumn("new", F.when(own, F.col("victim_tau_poisoned")).otherwise(F.col("tau"))).withColumns({"at_clean": is_victim("label_clean"), "at_poisoned": is_victim("label_poisoned")})
     mates = {x: F.col(f"label_{x}") == F.col(f"at_{x}") for x in ("clean", "poisoned")}
@@ -79,9 +76,10 @@ def convergence(loss: DataFrame, window: int = CONVERGENCE["window"], relative:
     return out.withColumn("stop", (ready & F.coalesce(still, F.lit(False))) | (F.col("round_no") >= CONVERGENCE["rounds_max"])).drop("seen")
 
 
-def ecdf(cal: DataFrame) -> DataFrame:
-    """(client_id, event_id, score, ecdf): i / n per client, up to the pooled 99th percentile."""
-    w = Window.partitionBy("client_id")
-    top = cal.agg(F.percentile("score", F.lit(0.99)).alias("top"))
-    ranked = cal.withColumn("ecdf", F.row_number().over(w.orderBy("score", "event_id")) / F.count("*").over(w))
-    return ranked.crossJoin(F.broadcast(top)).where("score <= top").select("client_id", "event_id", "score", "ecdf")
+def ecdf(cal: DataFrame, store: Store, largest: int = 0) -> DataFrame:
+    """(client_id, event_id, score, ecdf): i / n per client, up to the pooled 99th percentile; largest: rows of all clients together."""
+    rows = cal.withColumn("pool", F.lit(0))
+    top = percentiles(rows, ["pool"], "score", {"top": 0.99}, largest)
+    sizes = rows.groupBy("client_id").agg(F.count("*").alias("n"))
+    placed = ranked(rows, ["client_id"], ["score", "event_id"], store, "place").join(sizes, "client_id").join(top, "pool").where("score <= top")
+    return placed.select("client_id", "event_id", "score", ((F.col("place") + 1) / F.col("n")).alias("ecdf"))

@@ -1,26 +1,27 @@
 """The fact table of the perturbation sweep: one row per (seed, victim, policy, source, objective, fraction).
 
-Only the victim's calibration scores change, so one percentile per injection is recomputed and joined to
-the clean thresholds of the others; an injection serves all policies; fraction 0 is the clean state.
+Only some of the victim's calibration scores change.  A cell is made of the rows that it replaces; percentiles, distinct values and moments of
+the perturbed group follow from these and from the victim's ladder, which is stored once, so that rows are never copied to cells.  An injection
+serves all policies; fraction 0 is the clean state.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taulab.constants import CLUSTER, EPS, GLOBAL, IQR_FLOOR_FACTOR, LOCAL, MATERIALITY_FACTOR, MU_FLAG_DIVISOR, N_MIN, QUANTILE, RAISE, TRAIN_FEATURE_SOURCES, WITH_REPLACEMENT, WITHOUT_REPLACEMENT
-from taulab.functions.columns import cv, duplicate_rate, iqr, rates
+from taulab.constants import CLUSTER, EPS, GLOBAL, IQR_FLOOR_FACTOR, LOCAL, MATERIALITY_FACTOR, MU_FLAG_DIVISOR, N_MIN, QUANTILE, RAISE, TRAIN_FEATURE_SOURCES, TRIM_APPENDIX, TRIM_PRIMARY, WITH_REPLACEMENT, WITHOUT_REPLACEMENT
+from taulab.functions.columns import cv, defined, duplicate_rate, iqr, rates
 from taulab.sources.store import Store
 
-from .cluster import FINGERPRINT, fingerprints, label_states
+from .cluster import label_states
 from .evaluate import auroc, scale_bases
-from .inject import CELL, budget, grid, injected
-from .quantiles import percentile
+from .inject import CELL, budget, changes, client_ladder, grid, replacements
+from .ladder import at_ranks, merged
+from .quantiles import interpolated, wanted_ranks
 from .range_count import count_above
-from .thresholds import eligibility
 
 
 @dataclass
@@ -30,39 +31,103 @@ class Sweep:
     scores: DataFrame
     clients: DataFrame  # eligible clients with their clean figures
     cells: DataFrame
-    poisoned: DataFrame  # calibration rows of the cells with fraction > 0
-    shifts: DataFrame  # CELL with the victim's clean and perturbed local threshold
+    ladder: DataFrame  # calibration rows of eligible clients with their ranks
+    replaced: DataFrame  # the calibration rows that the cells with fraction > 0 replace
+    shifts: DataFrame  # CELL with the victim's clean and perturbed figures
     n_min: int
     store: Store
-    perturbed_tests: DataFrame  # test scores that the perturbed state is evaluated on
+    perturbed_tests: DataFrame  # test scores of the perturbed state
+    largest: int  # calibration rows of the largest client
+
+    @property
+    def cal(self) -> DataFrame:
+        return self.ladder.select("seed", "client_id", "stage", "pos", "event_id", "score")
+
+
+def clean_figures(ladder: DataFrame, largest: int = 0) -> DataFrame:
+    """seed, client_id and the ladder's figures: extremes, distinct values, moments, IQR, scale bases, and thresholds of the whole and the trimmed group by rank."""
+    keys = ["seed", "client_id"]
+    moments = ladder.groupBy(*keys).agg(
+        F.count("*").alias("n_cal"), F.min("score").alias("cal_min"), F.max("score").alias("cal_max"), F.count_distinct("score").alias("n_distinct"), duplicate_rate("score").alias("duplicate_rate"),
+        F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("spread"), F.coalesce(defined(F.skewness("score")), F.lit(0.0)).alias("skew"),
+    )
+    places = {"tau": percentile_place("n_cal", QUANTILE)} | {f"tau_{name}": percentile_place("n_cal", QUANTILE, t) for name, t in TRIMS.items()}
+    sizes = ladder.select(*keys, F.col("n").alias("n_cal")).distinct()
+    picked = interpolated(at_ranks(ladder, wanted_ranks(sizes, "n_cal", places), keys), keys, list(places))
+    return moments.join(picked, keys).join(scale_bases(ladder, keys, largest), keys)
+
+
+#: Shares trimmed from both ends by the defence, by name.
+TRIMS = {"primary": TRIM_PRIMARY, "appendix": TRIM_APPENDIX}
+
+
+def percentile_place(n: str, q: float, trim: float = 0.0) -> Column:
+    """Where the percentile lies among n ordered values, from 0, after a share of them is dropped at both ends."""
+    cut = F.floor(F.col(n) * F.lit(trim))
+    return cut + F.lit(q) * (F.col(n) - 2 * cut - 1)
+
+
+def perturbed_figures(replaced: DataFrame, ladder: DataFrame, clients: DataFrame) -> DataFrame:
+    """CELL, n_replaced and the victim's figures after replacement, from its clean figures and the replaced rows alone."""
+    keys = ["seed", "victim"]
+    steps = ladder.withColumnRenamed("client_id", "victim")
+    moved = changes(replaced)
+    # power sums about the clean mean
+    clean = clients.select("seed", F.col("client_id").alias("victim"), "mean", "spread", "skew", "n_distinct")
+    power = lambda c, k: F.pow(F.col(c) - F.col("mean"), F.lit(k))
+    cells = replaced.join(clean, keys).groupBy(*CELL, "n", *clean.columns[2:]).agg(
+        F.count("*").alias("n_replaced"), (F.count_distinct("donor_id") / F.nullif(F.count("donor_id"), F.lit(0))).alias("donor_feature_unique_fraction"),
+        *(F.sum(power("score", k) - power("clean_score", k)).alias(f"d{k}") for k in (1, 2, 3)),
+    )
+    places = {"tau": percentile_place("n", QUANTILE)} | {f"tau_{name}": percentile_place("n", QUANTILE, t) for name, t in TRIMS.items()}
+    wanted = wanted_ranks(cells.select(*CELL, "n"), "n", places)
+    picked = interpolated(merged(steps, moved, wanted, keys, CELL), CELL, list(places))
+    # values that appear or vanish, from how often the touched ones were there before
+    both = replaced.select(*CELL, F.explode(F.array(F.struct(F.col("score").alias("value"), F.lit(1).alias("net")), F.struct(F.col("clean_score").alias("value"), F.lit(-1).alias("net")))).alias("x")).select(*CELL, "x.*")
+    had = steps.groupBy(*keys, F.col("score").alias("value")).agg(F.count("*").alias("had"))
+    nets = both.groupBy(*CELL, "value").agg(F.sum("net").alias("net")).join(had, [*keys, "value"], "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    kinds = nets.groupBy(*CELL).agg(F.sum((F.col("had") + F.col("net") > 0).cast("int") - (F.col("had") > 0).cast("int")).alias("more_values"))
+    out = cells.join(picked, CELL).join(kinds, CELL)
+    n = F.col("n")
+    s2, s3, shift = n * F.pow("spread", F.lit(2)) + F.col("d2"), n * F.col("skew") * F.pow("spread", F.lit(3)) + F.col("d3"), F.col("d1") / n
+    m2, m3 = F.greatest(F.lit(0.0), s2 - n * shift * shift), s3 - 3 * shift * s2 + 2 * n * F.pow(shift, F.lit(3))
+    flat = m2 <= F.lit(EPS) * s2
+    return out.select(
+        *CELL,
+        "n_replaced",
+        "donor_feature_unique_fraction",
+        *(F.col(name).alias(f"{name}_poisoned") for name in places),
+        (1 - (F.col("n_distinct") + F.col("more_values")) / n).alias("duplicate_rate_poisoned"),
+        F.array(F.col("mean") + shift, F.when(flat | (n < 2), 0.0).otherwise(F.sqrt(m2 / (n - 1))), F.when(flat, 0.0).otherwise(m3 / n / F.pow(m2 / n, F.lit(1.5))), F.col("tau")).alias("fingerprint_poisoned"),
+    )
 
 
 def prepare(scores: DataFrame, n_min: int = N_MIN) -> Sweep:
     store = Store(scores.sparkSession, "sweep")
     scores = store.save(scores, "scores")
-    sizes = eligibility(scores, n_min)
-    fleet = sizes.groupBy("seed").agg(F.count("*").alias("n_total"))
-    cal = scores.where("stage = 'cal'").join(F.broadcast(sizes.where("status = 'eligible'").select("seed", "client_id")), ["seed", "client_id"])
-    facts = cal.groupBy("seed", "client_id").agg(F.min("score").alias("cal_min"), F.max("score").alias("cal_max"), duplicate_rate("score").alias("duplicate_rate"), F.count("*").alias("n_cal"))
-    facts = facts.join(percentile(cal, ["seed", "client_id"], "score", QUANTILE, "tau"), ["seed", "client_id"])
-    tests = scores.groupBy("seed", "client_id").agg(F.count_if(F.col("stage") == "test_benign").alias("n_benign"), F.count_if(F.col("stage") == "test_attack").alias("n_attack"))
+    stage = lambda x: F.count_if(F.col("stage") == x)
+    sizes = scores.groupBy("seed", "client_id").agg(stage("cal").alias("n"), stage("train").alias("n_train"), stage("test_benign").alias("n_benign"), stage("test_attack").alias("n_attack"))
+    sizes = store.save(sizes, "sizes")
+    seeds = sizes.groupBy("seed").agg(F.count("*").alias("n_total"), F.max("n").alias("most"), F.sum("n_train").alias("donors"))
+    largest, largest_seed = seeds.agg(F.coalesce(F.max("most"), F.lit(0)), F.coalesce(F.max("donors"), F.lit(0))).first()
+    eligible = sizes.where(F.col("n") >= n_min)
+    cal = scores.where("stage = 'cal'").join(eligible.select("seed", "client_id"), ["seed", "client_id"])
+    ladder = client_ladder(cal, eligible, store, largest)
     by_seed = Window.partitionBy("seed")
     clients = (
-        facts.join(scale_bases(cal, ["seed", "client_id"]), ["seed", "client_id"])
-        .join(tests, ["seed", "client_id"])
-        .join(fleet, "seed")
+        clean_figures(ladder, largest)
+        .join(eligible.select("seed", "client_id", "n_benign", "n_attack"), ["seed", "client_id"])
+        .join(seeds.select("seed", "n_total"), "seed")
         .withColumns({"n_eligible": F.count("*").over(by_seed), "tau_global": F.avg("tau").over(by_seed), "iqr_median": F.percentile("iqr", F.lit(0.5)).over(by_seed)})
         .withColumn("client_idx", F.row_number().over(by_seed.orderBy("client_id")) - 1)
     )
     clients = store.save(clients, "clients")
     cells = store.save(grid(clients), "cells")
     train = scores.where("stage = 'train'").select("seed", "client_id", F.col("event_id").alias("row_id"), "pos", "score")
-    poisoned = injected(cells, cal.select("seed", "client_id", "pos", "score"), train)
-    poisoned = store.save(poisoned, "poisoned")
-    new = poisoned.groupBy(*CELL).agg(duplicate_rate("score").alias("duplicate_rate_poisoned"), (F.count_distinct("donor_id") / F.nullif(F.count("donor_id"), F.lit(0))).alias("donor_feature_unique_fraction"))
-    new = new.join(percentile(poisoned, CELL, "score", QUANTILE, "tau_poisoned"), CELL)
-    victims = clients.select("seed", F.col("client_id").alias("victim"), "tau", "n_cal", "duplicate_rate", "cal_min", "cal_max", "client_idx")
-    shifts = cells.join(F.broadcast(victims), ["seed", "victim"]).join(new, CELL, "left").select(
+    replaced = replacements(cells, ladder, train, store, largest, largest_seed)
+    new = perturbed_figures(replaced, ladder, clients)
+    victims = clients.select("seed", F.col("client_id").alias("victim"), "tau", "n_cal", "duplicate_rate", "cal_min", "cal_max", "client_idx", *(f"tau_{name}" for name in TRIMS))
+    shifts = cells.join(victims, ["seed", "victim"]).join(new.drop("n_replaced"), CELL, "left").select(
         *CELL,
         F.col("tau").alias("victim_tau_clean"),
         F.coalesce("tau_poisoned", "tau").alias("victim_tau_poisoned"),
@@ -73,18 +138,26 @@ def prepare(scores: DataFrame, n_min: int = N_MIN) -> Sweep:
         "cal_min",
         "cal_max",
         "client_idx",
+        *(F.col(f"tau_{name}").alias(f"trimmed_{name}_clean") for name in TRIMS),
+        *(F.coalesce(f"tau_{name}_poisoned", f"tau_{name}").alias(f"trimmed_{name}_poisoned") for name in TRIMS),
+        "fingerprint_poisoned",
     )
-    return Sweep(scores, clients, cells, poisoned, store.save(shifts, "shifts"), n_min, store, scores)
+    return Sweep(scores, clients, cells, ladder, replaced, store.save(shifts, "shifts"), n_min, store, perturbed_tests(scores, replaced), largest)
+
+
+def perturbed_tests(scores: DataFrame, replaced: DataFrame) -> DataFrame:
+    """The test rows of the perturbed state: those of the scores, with the replacements that any cell makes among them."""
+    new = replaced.groupBy("seed", F.col("victim").alias("client_id"), "stage", "pos").agg(F.max("score").alias("new"))
+    tests = scores.where("stage IN ('test_benign', 'test_attack')")
+    return tests.join(new, ["seed", "client_id", "stage", "pos"], "left").withColumn("score", F.coalesce("new", "score")).drop("new")
 
 
 def cluster_labels(s: Sweep, params=None, only_perturbed: bool = False) -> DataFrame:
     """Labels of all eligible clients for each cell (see ``label_states``)."""
-    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
-    pack = F.array(*FINGERPRINT)
-    clean = fingerprints(cal, ["seed", "client_id"]).select("seed", "client_id", pack.alias("clean"))
-    new = fingerprints(s.poisoned, CELL).select(*CELL, pack.alias("changed"))
-    cells = s.cells.where("fraction > 0") if only_perturbed else s.cells
-    rows = cells.select(*CELL).join(new, CELL, "left").join(F.broadcast(clean), "seed")
+    std = F.when(F.col("n_cal") < 2, 0.0).otherwise(F.col("spread") * F.sqrt(F.col("n_cal") / (F.col("n_cal") - 1)))
+    clean = s.clients.select("seed", "client_id", F.array("mean", std, "skew", "tau").alias("clean"))
+    cells = s.shifts.where("fraction > 0") if only_perturbed else s.shifts
+    rows = cells.select(*CELL, F.col("fingerprint_poisoned").alias("changed")).join(clean, "seed")
     rows = rows.withColumn("poisoned", F.when((F.col("client_id") == F.col("victim")) & F.col("changed").isNotNull(), F.col("changed")).otherwise(F.col("clean")))
     return s.store.save(label_states(rows, CELL, params) if params else label_states(rows, CELL), "labels")
 
@@ -92,7 +165,7 @@ def cluster_labels(s: Sweep, params=None, only_perturbed: bool = False) -> DataF
 def cell_taus(s: Sweep, labels: DataFrame | None = None) -> DataFrame:
     """One row per (CELL, policy, client_id): clean and perturbed thresholds; with labels also the cluster policy and its decomposition."""
     clean = s.clients.select("seed", "client_id", "tau", "tau_global", "n_eligible")
-    every = s.shifts.select(*CELL, "victim_tau_clean", "victim_tau_poisoned").join(F.broadcast(clean), "seed")
+    every = s.shifts.select(*CELL, "victim_tau_clean", "victim_tau_poisoned").join(clean, "seed")
     own = F.when(F.col("client_id") == F.col("victim"), F.col("victim_tau_poisoned")).otherwise(F.col("tau"))
     cell = Window.partitionBy(*CELL)
     every = every.withColumn("own_poisoned", own).withColumn("global_poisoned", F.when(F.col("fraction") == 0, F.col("tau_global")).otherwise(F.avg("own_poisoned").over(cell)))
@@ -122,7 +195,7 @@ def client_effects(s: Sweep, taus: DataFrame) -> DataFrame:
         wanted = count_above(s.scores.where(F.col("stage") == stage).select("seed", "client_id", "score"), wanted, ["seed", "client_id"], "score", "tau", name)
     sizes = s.clients.select("seed", "client_id", "n_benign", "n_attack")
     wanted = s.store.save(wanted, "counted")
-    counted = wanted.join(F.broadcast(sizes), ["seed", "client_id"]).withColumns({"tn": F.col("n_benign") - F.col("fp"), "fn": F.col("n_attack") - F.col("tp")})
+    counted = wanted.join(sizes, ["seed", "client_id"]).withColumns({"tn": F.col("n_benign") - F.col("fp"), "fn": F.col("n_attack") - F.col("tp")})
     r = rates("tp", "fp", "tn", "fn")
     counted = counted.select("seed", "client_id", "tau", F.struct("tp", "fp", "fn", *(r[k].alias(k) for k in ("fpr", "tpr", "balanced_accuracy", "macro_f1"))).alias("m"))
     out = taus
@@ -130,12 +203,12 @@ def client_effects(s: Sweep, taus: DataFrame) -> DataFrame:
         side = counted.withColumnsRenamed({"tau": f"tau_{state}", "m": f"m_{state}"})
         out = out.join(side, ["seed", "client_id", f"tau_{state}"], "left")
     base = s.clients.select("seed", "client_id", "scale_base", "iqr_median", "n_benign", "n_attack", "n_eligible", "n_total")
-    return s.store.save(out.join(F.broadcast(base), ["seed", "client_id"]), "effects")
+    return s.store.save(out.join(base, ["seed", "client_id"]), "effects")
 
 
 def auroc_invariance(s: Sweep) -> DataFrame:
     """(seed, auroc_invariant): whether every eligible client's AUROC is the same in the clean and the perturbed state."""
-    states = [auroc(x.join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"]), ["seed", "client_id"]) for x in (s.scores, s.perturbed_tests)]
+    states = [auroc(x.join(s.clients.select("seed", "client_id"), ["seed", "client_id"]), ["seed", "client_id"]) for x in (s.scores, s.perturbed_tests)]
     both = states[0].join(states[1].withColumnRenamed("auroc", "again"), ["seed", "client_id"], "full")
     return both.groupBy("seed").agg(F.bool_and(F.col("auroc").eqNullSafe(F.col("again"))).alias("auroc_invariant"))
 
@@ -194,7 +267,7 @@ def facts(s: Sweep, labels: DataFrame | None = None) -> DataFrame:
     deltas |= {f"victim_delta_{c}": F.col(f"victim_{c}_poisoned") - F.col(f"victim_{c}_clean") for c in ("tpr", "fpr", "ba", "macro_f1")}
     out = out.withColumns(deltas).withColumns({f"nonvictim_delta_{c}_total": F.col(f"nonvictim_{c}_poisoned") - F.col(f"nonvictim_{c}_clean") for c in ("fp", "fn")})
     floor = out.groupBy("seed").agg(F.coalesce(F.min(F.when(F.col("mean_fpr_clean") > 0, F.col("mean_fpr_clean"))) / MU_FLAG_DIVISOR, F.lit(0.0)).alias("mu_floor"))
-    out = out.join(F.broadcast(floor), "seed").join(s.shifts, CELL).join(F.broadcast(auroc_invariance(s)), "seed", "left")
+    out = out.join(floor, "seed").join(s.shifts, CELL).join(auroc_invariance(s), "seed", "left")
     reach = F.when(F.col("objective") == RAISE, F.col("cal_max") - F.col("tau_clean")).otherwise(F.col("tau_clean") - F.col("cal_min"))
     moved = F.when(F.col("objective") == RAISE, F.col("delta_tau")).otherwise(-F.col("delta_tau"))
     feature = F.col("source").isin(*TRAIN_FEATURE_SOURCES)

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taulab.constants import CLUSTER, DISJOINT, INTERPOLATED, LOWER, PAIRS, RAISE, WITH_REPLACEMENT, WITHOUT_REPLACEMENT
-from taulab.functions.columns import cv, duplicate_rate, iqr
 from taulab.functions.inference import binomial_upper_tail, holm, sign_flip_column, with_resampling
 from taulab.operators import evaluate, inject, sensitivity, sweep
 from taulab.operators.positions import dense_ids
 from taulab.operators.scaling import row_errors, scale_splits
+from taulab.operators.quantiles import percentiles
 from taulab.operators.thresholds import eligibility, global_taus, local_taus, thresholds, trimmed
 from taulab.sources import events
-from taulab.sources.events import labelled, scores, staged, table
+from taulab.sources.events import labelled, table
 from taulab.sources.store import Store
 from taulab.streaming.alerts import alert_counts
 
@@ -53,12 +53,14 @@ def r(*names: str) -> str:
     return ", ".join(f"round({a}, 9) + 0 AS {b or a}" for a, _, b in (n.partition("=") for n in names))
 
 
+_LARGEST: dict[tuple, int] = {}
 _SWEEPS: dict[tuple, sweep.Sweep] = {}
 _FACTS: dict[tuple, DataFrame] = {}
 
 
 def forget() -> None:
     """The next query makes the sweep's stages anew."""
+    _LARGEST.clear()
     _SWEEPS.clear()
     _FACTS.clear()
 
@@ -70,6 +72,22 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple[str, str, int, int]:
     return spark.sparkContext.applicationId, sf_dir, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
 
 
+def largest(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the largest client, counted once per application and directory."""
+    key = _state(spark, sf_dir)
+    if key not in _LARGEST:
+        _LARGEST[key] = events.largest_client(labelled(spark, sf_dir))
+    return _LARGEST[key]
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.staged(labelled(spark, sf_dir), largest(spark, sf_dir))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.scored(staged(spark, sf_dir))
+
+
 def the_sweep(spark: SparkSession, sf_dir: str, n_min: int = sql.N_MIN) -> sweep.Sweep:
     """The stages of the sweep, stored once per application and directory."""
     key = (*_state(spark, sf_dir), n_min)
@@ -89,7 +107,7 @@ def the_facts(spark: SparkSession, sf_dir: str, clusters: bool = False) -> DataF
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fleet dispersion of the false-positive rate under local and global thresholds."""
     s = scores(spark, sf_dir)
-    return rounded(evaluate.dispersion(evaluate.client_eval(s, thresholds(s, n_min=10))))
+    return rounded(evaluate.dispersion(evaluate.client_eval(s, thresholds(s, n_min=10, largest=largest(spark, sf_dir)))))
 
 
 # ---- scans, splits, scaling
@@ -103,13 +121,13 @@ def split_bounds(spark, sf_dir):
 
 @query(sql.base(f"SELECT client_id, stage, pos, event_id, {r('raw')} FROM staged"))
 def split_rows(spark, sf_dir):
-    return rounded(staged(labelled(spark, sf_dir)))
+    return rounded(staged(spark, sf_dir))
 
 
 @query(sql.base("SELECT client_id, count(*) FILTER (stage = 'train') AS n_train, count(*) FILTER (stage = 'cal') AS n_cal, count(*) FILTER (stage = 'test_benign') AS n_benign, count(*) FILTER (stage = 'test_attack') AS n_attack, count(*) FILTER (stage = 'cal') >= 175 AS eligible FROM staged GROUP BY client_id"))
 def split_counts_audit(spark, sf_dir):
     n = lambda s: F.count_if(F.col("stage") == s)
-    return staged(labelled(spark, sf_dir)).groupBy("client_id").agg(n("train").alias("n_train"), n("cal").alias("n_cal"), n("test_benign").alias("n_benign"), n("test_attack").alias("n_attack"), (n("cal") >= 175).alias("eligible"))
+    return staged(spark, sf_dir).groupBy("client_id").agg(n("train").alias("n_train"), n("cal").alias("n_cal"), n("test_benign").alias("n_benign"), n("test_attack").alias("n_attack"), (n("cal") >= 175).alias("eligible"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding, vec_id % 5 < 3 AS train FROM embeddings), x AS (SELECT vec_id, label, train, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM e),
@@ -132,10 +150,10 @@ def reconstruction_error(spark, sf_dir):
 @query(sql.base("""SELECT client_id, event_id FROM (SELECT client_id, event_id, row_number() OVER (PARTITION BY client_id ORDER BY (event_id * 48271 + 7) % 1000003, event_id) AS k, n_attack FROM staged JOIN (SELECT client_id, count(*) FILTER (stage = 'test_attack') AS n_attack, count(*) FILTER (stage = 'test_benign') AS n_benign FROM staged GROUP BY client_id) USING (client_id) WHERE stage = 'test_benign')
 WHERE n_attack = 0 OR k <= n_attack"""))
 def balance_test(spark, sf_dir):
-    rows = staged(labelled(spark, sf_dir))
+    rows = staged(spark, sf_dir)
     n = rows.groupBy("client_id").agg(F.count_if(F.col("stage") == "test_attack").alias("n_attack"))
     k = F.row_number().over(Window.partitionBy("client_id").orderBy(F.pmod(F.col("event_id") * 48271 + 7, F.lit(1_000_003)), "event_id"))
-    return rows.where("stage = 'test_benign'").join(F.broadcast(n), "client_id").withColumn("k", k).where("n_attack = 0 OR k <= n_attack").select("client_id", "event_id")
+    return rows.where("stage = 'test_benign'").join(n, "client_id").withColumn("k", k).where("n_attack = 0 OR k <= n_attack").select("client_id", "event_id")
 
 
 @query("SELECT vec_id, dense_rank() OVER (ORDER BY embedding) AS row_id FROM embeddings")
@@ -156,22 +174,22 @@ def client_eligibility(spark, sf_dir):
 
 @query(sql.base(f"SELECT seed, client_id, {r('tau')} FROM taus"))
 def tau_local(spark, sf_dir):
-    return rounded(local_taus(scores(spark, sf_dir), sql.N_MIN))
+    return rounded(local_taus(scores(spark, sf_dir), sql.N_MIN, largest=largest(spark, sf_dir)))
 
 
 @query(sql.base(f"SELECT seed, {r('tau_global')}, n_eligible FROM tau_global"))
 def tau_global(spark, sf_dir):
-    return rounded(global_taus(local_taus(scores(spark, sf_dir), sql.N_MIN)))
+    return rounded(global_taus(local_taus(scores(spark, sf_dir), sql.N_MIN, largest=largest(spark, sf_dir))))
 
 
 @query(sql.base(f"SELECT seed, policy, client_id, status, {r('tau')} FROM thr"))
 def thresholds_all_policies(spark, sf_dir):
-    return rounded(thresholds(scores(spark, sf_dir), sql.N_MIN))
+    return rounded(thresholds(scores(spark, sf_dir), sql.N_MIN, largest=largest(spark, sf_dir)))
 
 
 def _evals(spark, sf_dir):
     s = scores(spark, sf_dir)
-    return evaluate.client_eval(s, thresholds(s, sql.N_MIN))
+    return evaluate.client_eval(s, thresholds(s, sql.N_MIN, largest=largest(spark, sf_dir)))
 
 
 @query(sql.base("SELECT seed, policy, client_id, tp, fp, tn, fn FROM rates"))
@@ -230,8 +248,8 @@ def score_stats(spark, sf_dir):
 @query(sql.base("SELECT seed, client_id, round(stddev_pop(score) / avg(score), 9) AS cv, round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 9) AS iqr, round(1 - count(DISTINCT score) / count(*), 9) AS duplicate_rate FROM cal GROUP BY seed, client_id"))
 def cv_iqr(spark, sf_dir):
     s = the_sweep(spark, sf_dir)
-    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
-    return rounded(cal.groupBy("seed", "client_id").agg(cv("score").alias("cv"), iqr("score").alias("iqr"), duplicate_rate("score").alias("duplicate_rate")))
+    spread = F.when((F.col("n_cal") >= 2) & (F.col("mean") != 0), F.col("spread") / F.col("mean"))
+    return rounded(s.clients.select("seed", "client_id", spread.alias("cv"), "iqr", "duplicate_rate"))
 
 
 @query(sql.base("""SELECT c.seed, c.client_id, round(any_value(iqr), 9) AS iqr, round(median(abs(score - med)), 9) AS mad, round(any_value(gap), 9) AS gap, round(CASE WHEN any_value(iqr) > 0 THEN any_value(iqr) WHEN median(abs(score - med)) > 0 THEN median(abs(score - med)) ELSE any_value(gap) END, 9) AS scale_base
@@ -239,8 +257,7 @@ FROM cal c JOIN (SELECT seed, client_id, quantile_cont(score, 0.75) - quantile_c
 JOIN (SELECT seed, client_id, min(d) AS gap FROM (SELECT seed, client_id, score - lag(score) OVER (PARTITION BY seed, client_id ORDER BY score) AS d FROM (SELECT DISTINCT seed, client_id, score FROM cal)) WHERE d > 0 GROUP BY ALL) USING (seed, client_id) GROUP BY c.seed, c.client_id"""))
 def scale_base(spark, sf_dir):
     s = the_sweep(spark, sf_dir)
-    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
-    b = evaluate.scale_bases(cal, ["seed", "client_id"])
+    b = evaluate.scale_bases(s.cal, ["seed", "client_id"], s.largest)
     return b.select("seed", "client_id", *(F.round(c, 9).alias(c) for c in ("iqr", "mad", "gap", "scale_base")))
 
 
@@ -250,8 +267,7 @@ def scale_base(spark, sf_dir):
 def _reservoir(source: str):
     def f(spark, sf_dir):
         s = the_sweep(spark, sf_dir)
-        cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
-        return rounded(inject.reservoirs(cal).where(F.col("source") == source).select("seed", "client_id", "pos", "score", F.col("pool_index").cast("long").alias("pool_index")))
+        return rounded(inject.reservoirs(s.ladder).where(F.col("source") == source).select("seed", "client_id", "pos", "score", F.col("pool_index").cast("long").alias("pool_index")))
 
     f.__name__ = "reservoir_" + source.split("_")[0]
     return query(sql.cells(f"SELECT seed, client_id, pos, {r('score')}, CAST(pool_index AS BIGINT) AS pool_index FROM pools WHERE source = '{source}'"))(f)
@@ -268,7 +284,9 @@ def sweep_grid(spark, sf_dir):
 
 @query(sql.cells(f"SELECT seed, victim, source, objective, fraction, pos, {r('score', 'clean_score')}, replaced FROM poisoned"))
 def inject_rows(spark, sf_dir):
-    return rounded(the_sweep(spark, sf_dir).poisoned.drop("donor_id"))
+    """All rows of all cells, replaced or not."""
+    s = the_sweep(spark, sf_dir)
+    return rounded(inject.injected(s.cells, s.cal, s.replaced).drop("donor_id"))
 
 
 @query(sql.cells(f"SELECT seed, victim, source, objective, fraction, {r('tau_c=tau_clean', 'tau_p=tau_poisoned', 'dup_c=duplicate_rate_clean', 'dup_p=duplicate_rate_poisoned')}, CAST(n_replaced AS BIGINT) AS n_replaced FROM shifts"))
@@ -306,8 +324,7 @@ def donor_dedupe(spark, sf_dir):
 @query(sql.cells(f"""SELECT seed, client_id, trim, {r('tau')} FROM (SELECT seed, client_id, trim, quantile_cont(score, 0.95) AS tau FROM (SELECT *, floor(n * trim) AS cut FROM ranked CROSS JOIN (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) AS t(trim)) WHERE r >= cut AND r < n - cut GROUP BY ALL)"""))
 def trimmed_cal(spark, sf_dir):
     s = the_sweep(spark, sf_dir)
-    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
-    one = lambda t: trimmed(cal, ["seed", "client_id"], t).groupBy("seed", "client_id").agg(F.lit(t).alias("trim"), F.percentile("score", F.lit(0.95)).alias("tau"))
+    one = lambda t: percentiles(trimmed(s.ladder, t), ["seed", "client_id"], "score", {"tau": 0.95}, s.largest).select("seed", "client_id", F.lit(t).alias("trim"), "tau")
     return rounded(one(0.05).unionByName(one(0.1)))
 
 
@@ -556,7 +573,8 @@ def results_table(spark, sf_dir):
 
 @query(sql.base("SELECT client_id, event_id, round(score, 9) + 0 AS score, round(k / n, 9) AS ecdf FROM (SELECT client_id, event_id, score, row_number() OVER (PARTITION BY client_id ORDER BY score, event_id) AS k, count(*) OVER (PARTITION BY client_id) AS n, (SELECT quantile_cont(score, 0.99) FROM scores WHERE seed = 0 AND stage = 'cal') AS top FROM scores WHERE seed = 0 AND stage = 'cal') WHERE score <= top"))
 def ecdf(spark, sf_dir):
-    return rounded(sensitivity.ecdf(scores(spark, sf_dir).where("seed = 0 AND stage = 'cal'")))
+    cal = scores(spark, sf_dir).where("seed = 0 AND stage = 'cal'")
+    return rounded(sensitivity.ecdf(cal, Store(spark, "ecdf"), events.CLIENTS * largest(spark, sf_dir)))
 
 
 @query(sql.cells("""SELECT s.seed, s.victim, source, objective, fraction, round(avg(CASE WHEN l.client_id = s.victim THEN tau_p ELSE l.tau END) - avg(l.tau), 9) + 0 AS raw_delta,
@@ -589,8 +607,7 @@ def trust_boundary(spark, sf_dir):
 def draw_variants(spark, sf_dir):
     """Draws with replacement against the other draw modes (numpy's generators from the recorded seeds)."""
     s = the_sweep(spark, sf_dir)
-    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
-    return rounded(inject.injected_rng(s.cells.where("fraction > 0"), cal.select("seed", "client_id", "pos", "score"), (WITH_REPLACEMENT, WITHOUT_REPLACEMENT, DISJOINT, INTERPOLATED)))
+    return rounded(inject.injected_rng(s.cells.where("fraction > 0"), s.cal.select("seed", "client_id", "pos", "score"), (WITH_REPLACEMENT, WITHOUT_REPLACEMENT, DISJOINT, INTERPOLATED)))
 
 
 @query()
@@ -601,11 +618,9 @@ def cluster_stability(spark, sf_dir):
 
 @query(sql.base("SELECT seed, client_id, round(avg(score), 8) + 0 AS mean, round(coalesce(stddev_samp(score), 0), 5) AS std, round((avg(score ** 3) - 3 * avg(score) * avg(score ** 2) + 2 * avg(score) ** 3) / stddev_pop(score) ** 3, 4) + 0 AS skew, round(quantile_cont(score, 0.95), 9) + 0 AS tail FROM cal GROUP BY seed, client_id"))
 def fingerprints(spark, sf_dir):
-    from taulab.operators.cluster import fingerprints as of
-
     s = the_sweep(spark, sf_dir)
-    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
-    f = of(cal, ["seed", "client_id"])
+    std = F.when(F.col("n_cal") < 2, 0.0).otherwise(F.col("spread") * F.sqrt(F.col("n_cal") / (F.col("n_cal") - 1)))
+    f = s.clients.select("seed", "client_id", "mean", std.alias("std"), "skew", F.col("tau").alias("tail"))
     return f.select("seed", "client_id", F.round("mean", 8).alias("mean"), F.round("std", 5).alias("std"), F.round("skew", 4).alias("skew"), F.round("tail", 9).alias("tail"))
 
 
@@ -631,7 +646,7 @@ def convergence_rule(spark, sf_dir):
 
 @query(sql.base("SELECT c.client_id, s.stage FROM (SELECT DISTINCT client_id FROM staged) c CROSS JOIN (VALUES ('cal'), ('test_benign'), ('test_attack'), ('validation')) AS s(stage) WHERE NOT EXISTS (SELECT 1 FROM staged x WHERE x.client_id = c.client_id AND x.stage = s.stage)"))
 def coverage_missing(spark, sf_dir):
-    rows = staged(labelled(spark, sf_dir)).select("client_id", "stage").distinct()
+    rows = staged(spark, sf_dir).select("client_id", "stage").distinct()
     wanted = rows.select("client_id").distinct().withColumn("stage", F.explode(F.array(*map(F.lit, ("cal", "test_benign", "test_attack", "validation")))))
     return wanted.join(rows, ["client_id", "stage"], "left_anti")
 

@@ -130,7 +130,7 @@ def paired_bootstrap(spark, sf_dir):
 def cluster_k_candidates(spark, sf_dir):
     """Silhouettes of the candidate numbers of clusters, and whether the fixed one is valid."""
     s = the_sweep(spark, sf_dir)
-    cal = s.scores.where("stage = 'cal'").join(F.broadcast(s.clients.select("seed", "client_id")), ["seed", "client_id"])
+    cal = s.cal
     found = cluster.silhouettes_by_k(cluster.fingerprints(cal, ["seed", "client_id"]), (2, 3, 4))
     fixed = cluster.fixed_k(found).select("seed", F.col("k").alias("fixed"), F.col("valid").alias("fixed_valid"))
     return rounded(found.join(fixed, "seed").withColumn("is_fixed", F.col("k") == F.col("fixed")).drop("fixed"))

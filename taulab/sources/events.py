@@ -39,11 +39,19 @@ def split_bounds(n: str) -> list[tuple[str, F.Column]]:
     return out
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """labelled rows -> (client_id, stage, pos, event_id, raw); pos counts from 0 within a stage."""
+def largest_client(rows: DataFrame) -> int:
+    """How many labelled rows the client with most of them has."""
+    return rows.groupBy("client_id").count().agg(F.max("count")).first()[0] or 0
+
+
+def staged(rows: DataFrame, largest: int | None = None) -> DataFrame:
+    """labelled rows -> (client_id, stage, pos, event_id, raw); pos counts from 0 within a stage.
+
+    largest: rows of the largest client, counted if not known.
+    """
     benign = rows.where("NOT attack")
     buckets = 1
-    largest = benign.groupBy("client_id").count().agg(F.max("count")).first()[0] or 0
+    largest = largest_client(benign) if largest is None else largest
     if largest > BUCKET_ROWS:
         buckets = -(-largest // BUCKET_ROWS)
     placed = with_positions(benign, ["client_id"], "event_id", buckets, "row_idx", "n")
