@@ -35,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is text up to their end tag, and elements that are never part of an article if they have an end tag.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 DROPPED = frozenset("noscript template select button svg audio video canvas".split())
+#: Elements that can't do without an end tag and hold what an article may not.
+NEED_END = DROPPED | frozenset("form fieldset dialog figure label option optgroup datalist object".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -120,12 +122,13 @@ class Pages:
     label: list[int] = field(default_factory=list)
     in_link: list[bool] = field(default_factory=list)
     runs: list[tuple[int, int, int, str]] = field(default_factory=list)  # page, block, element, text
+    unclosed: set[int] = field(default_factory=set)  # of the page that is being read
     count: int = 0
 
     def add(self, html: str) -> None:
         """Every character is looked at a bounded number of times, whatever the markup."""
         number, self.count = self.count, self.count + 1
-        root = len(self.tag)
+        root, first_run = len(self.tag), len(self.runs)
         self._open(number, "", "", -1)
         self.decides[root], self.depth[root] = True, 0
         stack = OpenElements(root)
@@ -170,7 +173,7 @@ class Pages:
                 k = stack.matching(name)
                 if k >= 0:
                     mark = stack.marks.get(stack.nodes[k])
-                    self._pop(stack, k)
+                    self._pop(stack, k, True)
                     if mark:  # as if it had never been opened
                         block = self._forget(*mark)
                 continue
@@ -191,11 +194,31 @@ class Pages:
                     stack.marks[x] = (x, len(self.runs), block)
         text(len(html))
         self._pop(stack, 0)
+        self._dissolve(root, first_run)
+
+    def _dissolve(self, root: int, first_run: int) -> None:
+        """Elements that need an end tag and have none hold nothing: what is in them belongs to what they are in."""
+        if not self.unclosed:
+            return
+        for x in self.unclosed:
+            self.bits[x], self.tokens[x], self.decides[x] = 0, 0, False
+        for x in range(root + 1, len(self.tag)):
+            up = self.parent[x]
+            if up in self.unclosed:  # parents come first, so that of up is settled
+                up = self.parent[x] = self.parent[up]
+            self.depth[x] = self.depth[up] + 1
+            self.above[x] = self.above[up] | self.bits[up]
+        for k in range(first_run, len(self.runs)):
+            page, block, x, words = self.runs[k]
+            if x in self.unclosed:
+                self.runs[k] = page, block, self.parent[x], words
+        self.unclosed.clear()
 
     def _forget(self, first: int, runs: int, block: int) -> int:
         """Remove the elements and text runs from these numbers on."""
         for column in (self.page, self.tag, self.parent, self.end, self.depth, self.bits, self.above, self.tokens, self.decides, self.label, self.in_link):
             del column[first:]
+        self.unclosed = {x for x in self.unclosed if x < first}
         del self.runs[runs:]
         return block
 
@@ -221,9 +244,12 @@ class Pages:
                 lowest -= 1
             self._pop(stack, lowest)
 
-    def _pop(self, stack: OpenElements, k: int) -> None:
-        for x in stack.cut(k):
+    def _pop(self, stack: OpenElements, k: int, ended: bool = False) -> None:
+        """Close the open elements from k on; ended: the first of them by its own end tag."""
+        for i, x in enumerate(stack.cut(k)):
             self.end[x] = len(self.tag)
+            if self.tag[x] in NEED_END and not (ended and i == 0):
+                self.unclosed.add(x)
 
 
 #: What a p element is not looked for beyond.

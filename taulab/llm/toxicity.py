@@ -17,7 +17,7 @@ The models are fitted in one task on a bounded sample of labelled rows (``most_t
 over its whole text.  Labels, language, source and id are no inputs of a score.
 
 Defined cases: a text that is null or has no words has evidence 0; rows with a null id are held in
-and scored, and repeated rows get equal scores; labels that are null, or of ids with two different labels,
+and scored, and repeated rows get equal scores; of several texts of a labelled id the one with the smallest SHA-256 is learned from; labels that are null, or of ids with two different labels,
 are not learned from; without rows of both classes to learn from every score is 0; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -261,7 +261,8 @@ def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> KneserNeyPai
     sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.max("bytes").alias("bytes"))
     so_far = F.sum("bytes").over(Window.partitionBy("toxic").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     used = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= p.most_bytes).select("doc_id", "toxic")
-    rows = texts.join(F.broadcast(used), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    # of several texts of one id the one of the smallest hash, whatever the layout
+    rows = texts.join(F.broadcast(used), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.sha2("text", 256), "text")).alias("text")).select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)

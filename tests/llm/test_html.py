@@ -51,8 +51,19 @@ def test_elements_that_an_article_may_hold():
     assert text_of(ARTICLE.format("&#0000000065;&#99999999999;&#" + "9" * 9000 + ";&#" + "0" * 9000 + "66;")) == plain.replace("read.", "read.A\uFFFD\uFFFDB")
 
 
+def test_elements_without_their_end_tag_lose_nothing():
+    after = "</p><p>A further paragraph stands here, in more plain words.</p><p>It goes on"
+    plain = text_of(ARTICLE.format("word " + after))
+    assert "A further paragraph stands here" in plain
+    for tag in ("button", "select", "label", "option", "canvas", "video", "audio", "form", "fieldset", "dialog", "figure", "noscript", "template"):
+        for start in (f"<{tag}>", f'<{tag} class="promo">'):
+            got = text_of(ARTICLE.format(f"{start}word {after}"))
+            assert "".join(got.split()) == "".join(plain.split()), tag
+    assert text_of(ARTICLE.format("<button><select><option>No</button>")) == text_of(ARTICLE.format(""))
+
+
 def test_time_is_linear_in_the_length_of_a_page():
-    parts = ("<a ", "<b>x</i>", '<a ">" ', "<p>x ", "<!-- ", "<button>x", "a<b>", "&#9", "<a b='", "</", "<li>x", "<td>x<div>", "<svg>x</svg>", "<i><div><b></i>")
+    parts = ("<a ", "<b>x</i>", '<a ">" ', "<p>x ", "<!-- ", "<button>x", "a<b>", "&#9", "<a b='", "</", "<li>x", "<td>x<div>", "<svg>x</svg>", "<form>x<label>", "<select><option>x", "<i><div><b></i>")
     trained()
     for part in parts:
         page = part * (1_000_000 // len(part))

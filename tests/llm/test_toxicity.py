@@ -104,3 +104,11 @@ def test_odd_rows(spark):
     assert len(out) == len(rows) and all(r.predicted == 1 for r in out if r.doc_id in (None, 103, 1))
     assert score_documents(docs.limit(0), labels).collect() == []
     assert {r.score for r in score_documents(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_the_layout_changes_no_score(spark):
+    rows = [(i, f"{'vile muck' if i % 2 else 'kind words'} {k} {i % 7}", "x", "y") for i in range(80) for k in ("first", "other", "third")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    runs = [sorted((r.doc_id, r.score) for r in score_documents(docs.orderBy(*order).repartition(n), labels.repartition(n)).collect()) for n, order in ((1, ["doc_id", "text"]), (5, ["text"]))]
+    assert runs[0] == runs[1]
