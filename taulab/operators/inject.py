@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taulab.constants import FEATURE_TAIL_MASS, FRACTIONS, INTERPOLATED, OBJECTIVES, PAIRS, SOURCES, TAIL_MASS, TRAIN_FEATURE_SOURCES, WITH_REPLACEMENT, WITHOUT_REPLACEMENT
+from taulab.constants import DISJOINT, FEATURE_TAIL_MASS, FRACTIONS, INTERPOLATED, OBJECTIVES, PAIRS, SOURCES, TAIL_MASS, TRAIN_FEATURE_SOURCES, WITH_REPLACEMENT, WITHOUT_REPLACEMENT
 from taulab.sources.store import Store
 
 from .ladder import merged, ranked
@@ -223,10 +223,10 @@ def replacements(cells: DataFrame, ladder: DataFrame, train: DataFrame, store: S
     return store.save(benign.unionByName(feature.select(*kept, "score", "at", "donor_id")), "replaced")
 
 
-def changes(replaced: DataFrame) -> DataFrame:
-    """CELL, n, at, added: what the replacements take out of a victim's ladder and put into it (see ``merged``)."""
-    out = replaced.select(*CELL, "n", F.col("rank").alias("at"), F.lit(None).cast("double").alias("added"))
-    return out.unionByName(replaced.select(*CELL, "n", "at", F.col("score").alias("added")))
+def changes(replaced: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """cell, n, at, added: what the replacements take out of a victim's ladder and put into it (see ``merged``)."""
+    out = replaced.select(*cell, "n", F.col("rank").alias("at"), F.lit(None).cast("double").alias("added"))
+    return out.unionByName(replaced.select(*cell, "n", "at", F.col("score").alias("added")))
 
 
 def injected(cells: DataFrame, cal: DataFrame, replaced: DataFrame) -> DataFrame:
@@ -241,10 +241,61 @@ def injected(cells: DataFrame, cal: DataFrame, replaced: DataFrame) -> DataFrame
 
 
 def disjoint_budget(n: Column, requested: Column, source: Column) -> Column:
-    """The largest m <= requested for which the pool of the other n - m rows has m rows; 0 if none."""
-    pool = lambda m: F.when(source == "random_benign", n - m).otherwise(F.greatest(F.lit(1), F.floor(F.lit(TAIL_MASS) * (n - m))))
-    fits = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), requested)), lambda m: (pool(m) >= m) & (m <= requested))
-    return F.coalesce(F.array_max(fits), F.lit(0).cast("long"))
+    """The largest m <= requested for which the pool of the other n - m rows has m rows; 0 if none.
+
+    The pool shrinks and m grows, so it is half of all rows, or about what solves m = mass * (n - m): one of a few numbers.
+    """
+    tail = lambda m: F.greatest(F.lit(1), F.floor(F.lit(TAIL_MASS) * (n - m)))
+    near = F.floor(F.lit(TAIL_MASS) * n / (1 + TAIL_MASS))
+    tries = F.array(F.lit(1).cast("long"), *(F.least(requested, near + d).cast("long") for d in range(-2, 3)))
+    fits = F.filter(tries, lambda m: (m >= 1) & (m <= requested) & (tail(m) >= m))
+    return F.when(source == "random_benign", F.least(requested, F.floor(n / 2)).cast("long")).otherwise(F.coalesce(F.array_max(fits), F.lit(0).cast("long")))
+
+
+#: Steps from place to place of draws without replacement: a prime, unless the pool is a multiple of it.
+STRIDE = 48_271
+
+
+def _place(k: Column, pool: Column) -> Column:
+    """A place from 0 to pool - 1, another one for each k from 1 to pool."""
+    stride = F.when(pool % STRIDE == 0, 1).otherwise(STRIDE)
+    return F.pmod(F.col("child") * 13 + F.col("seed") * 7 + (k - 1) * stride, pool)
+
+
+def variant_replacements(cells: DataFrame, ladder: DataFrame, store: Store, largest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The benign-source cells drawn in three other ways: (CELL, draw, requested, effective, pool_n), and the replaced rows like ``replacements`` with draw.
+
+    Without replacement a pool is used up; a disjoint reservoir is made of the rows that are not replaced; an interpolated tail has values between
+    two neighbours of the pool.  Of every cell the rows are those that drawing with replacement takes, as many as the draw allows.
+    """
+    keys, cell = ["seed", "victim"], [*CELL, "draw"]
+    steps = ladder.withColumnRenamed("client_id", "victim")
+    n, m, rest = F.col("n"), F.col("requested"), F.col("n") - F.col("effective")
+    size = lambda of: F.when(F.col("source") == "random_benign", of).otherwise(tail_size(of, TAIL_MASS)).cast("long")
+    asked = cells.where((F.col("fraction") > 0) & ~F.col("source").isin(*TRAIN_FEATURE_SOURCES)).join(steps.select(*keys, "n").distinct(), keys)
+    asked = asked.withColumn("requested", budget("fraction", "n")).withColumn("whole", size(n)).withColumn("draw", F.explode(F.array(*map(F.lit, (WITHOUT_REPLACEMENT, DISJOINT, INTERPOLATED)))))
+    allowed = F.when(F.col("draw") == WITHOUT_REPLACEMENT, F.least(m, F.col("whole"))).when(F.col("draw") == DISJOINT, disjoint_budget(n, m, F.col("source"))).otherwise(F.when(F.col("whole") >= 2, m).otherwise(0))
+    asked = asked.withColumn("effective", allowed.cast("long")).withColumn("pool_n", F.when(F.col("draw") == DISJOINT, size(rest)).otherwise(F.col("whole")))
+    asked = store.save(starts(asked, ladder, store, largest), "variants")
+    hits = exploded(asked.where("effective > 0"), "effective", "k").withColumn("turn", F.pmod(F.col("turn0") + F.col("k") - 1, n))
+    hits = store.save(hits.join(steps.select(*keys, "turn", "stage", "pos", "rank", F.col("score").alias("clean_score")), [*keys, "turn"]), "hits")
+    of = F.when(F.col("draw") == DISJOINT, rest).otherwise(n)
+    first = F.when(F.col("source") == "high_score_benign", of - F.col("pool_n")).otherwise(0)
+    between = F.col("draw") == INTERPOLATED
+    hits = hits.withColumn("drawn", (first + _place(F.col("k"), F.col("pool_n") - between.cast("int"))).cast("long"))
+    kept = [*cell, "n", "stage", "pos", "rank", "clean_score"]
+    # among the rows left, the j-th is as many ranks further as replaced rows have fewer than j + 1 rows left below them
+    lost = ranked(hits.where(F.col("draw") == DISJOINT), cell, ["rank"], store, "i", largest)
+    left = places_in(lost.select(*cell, (F.col("rank") - F.col("i")).alias("drawn")), hits.where(F.col("draw") == DISJOINT), cell, "drawn", store, "skipped", largest)
+    hits = hits.where(F.col("draw") != DISJOINT).unionByName(left.withColumn("drawn", F.col("drawn") + F.col("skipped")).drop("skipped"))
+    values = steps.select(*keys, F.col("rank").alias("drawn"), "score")
+    toward = F.pmod(F.col("k") * 7919 + F.col("child"), F.lit(1000)) / 1000.0
+    above = steps.select(*keys, (F.col("rank") - 1).alias("drawn"), F.col("score").alias("next"))
+    low = hits.join(values, [*keys, "drawn"])
+    plain = low.where(~between)
+    mixed = low.where(between).join(above, [*keys, "drawn"]).withColumn("score", F.col("score") + toward * (F.col("next") - F.col("score"))).drop("next")
+    out = plain.unionByName(mixed).select(*kept, "score", (F.col("drawn") + 1).alias("at"), F.lit(None).cast("long").alias("donor_id"))
+    return asked.select(*cell, "requested", "effective", "pool_n"), store.save(out, "replaced")
 
 
 #: Of each draw mode: places drawn for m values out of n, and how far each value lies towards the next place.

@@ -10,10 +10,10 @@ from taulab.functions.columns import cv
 from taulab.sources.store import Store
 
 from .cluster import grid_params
-from .inject import CELL
+from .inject import CELL, variant_replacements
 from .ladder import ranked
 from .quantiles import percentiles
-from .sweep import TRIMS, Sweep, cluster_labels, cluster_shape
+from .sweep import TRIMS, Sweep, cluster_labels, cluster_shape, perturbed_figures
 
 
 def scale_normalization(s: Sweep) -> DataFrame:
@@ -49,6 +49,23 @@ def trust_boundary(s: Sweep) -> DataFrame:
     return out.select(*CELL, F.explode(each).alias("x")).select(*CELL, "x.*")
 
 
+def draw_variants(s: Sweep) -> DataFrame:
+    """CELL, draw, policy with the requested and effective budgets, the pool, and the victim's shift and duplicates beside those of drawing with replacement.
+
+    The global threshold is the mean of the local ones and moves by its share of the victim's.
+    """
+    cell = [*CELL, "draw"]
+    asked, replaced = variant_replacements(s.cells, s.ladder, s.store, s.largest)
+    new = perturbed_figures(replaced, s.ladder, s.clients, cell).select(*cell, "tau_poisoned", "duplicate_rate_poisoned")
+    fleet = s.clients.select("seed", F.col("client_id").alias("victim"), "n_eligible")
+    base = s.shifts.select(*CELL, "victim_tau_clean", "victim_tau_poisoned", "cal_duplicate_rate_clean", "cal_duplicate_rate_poisoned")
+    rows = asked.join(new, cell, "left").join(base, CELL).join(fleet, ["seed", "victim"])
+    with_, variant = F.col("victim_tau_poisoned") - F.col("victim_tau_clean"), F.coalesce("tau_poisoned", "victim_tau_clean") - F.col("victim_tau_clean")
+    each = F.array(*(F.struct(F.lit(p).alias("policy"), (with_ / by).alias("delta_tau_with_replacement"), (variant / by).alias("delta_tau_variant")) for p, by in ((LOCAL, F.lit(1)), (GLOBAL, F.col("n_eligible")))))
+    dup = {"duplicate_rate_with_replacement": F.col("cal_duplicate_rate_poisoned"), "duplicate_rate_variant": F.coalesce("duplicate_rate_poisoned", "cal_duplicate_rate_clean")}
+    return rows.withColumn("x", F.explode(each)).select(*cell, "requested", "effective", "pool_n", "x.*", *(c.alias(k) for k, c in dup.items()))
+
+
 def cluster_stability(s: Sweep, ks=(2, 3, 4), inits=(1, 10), states=(0, 1, 7, 42, 123)) -> DataFrame:
     """Cluster shapes and the victim's threshold shift, with clusters recomputed and fixed, of every perturbed cell for each
     (k, n_init, random_state) that the fleet allows."""

@@ -67,33 +67,33 @@ def percentile_place(n: str, q: float, trim: float = 0.0) -> Column:
     return cut + F.lit(q) * (F.col(n) - 2 * cut - 1)
 
 
-def perturbed_figures(replaced: DataFrame, ladder: DataFrame, clients: DataFrame) -> DataFrame:
-    """CELL, n_replaced and the victim's figures after replacement, from its clean figures and the replaced rows alone."""
+def perturbed_figures(replaced: DataFrame, ladder: DataFrame, clients: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """cell, n_replaced and the victim's figures after replacement, from its clean figures and the replaced rows alone."""
     keys = ["seed", "victim"]
     steps = ladder.withColumnRenamed("client_id", "victim")
-    moved = changes(replaced)
+    moved = changes(replaced, cell)
     # power sums about the clean mean
     clean = clients.select("seed", F.col("client_id").alias("victim"), "mean", "spread", "skew", "n_distinct")
     power = lambda c, k: F.pow(F.col(c) - F.col("mean"), F.lit(k))
-    cells = replaced.join(clean, keys).groupBy(*CELL, "n", *clean.columns[2:]).agg(
+    cells = replaced.join(clean, keys).groupBy(*cell, "n", *clean.columns[2:]).agg(
         F.count("*").alias("n_replaced"), (F.count_distinct("donor_id") / F.nullif(F.count("donor_id"), F.lit(0))).alias("donor_feature_unique_fraction"),
         *(F.sum(power("score", k) - power("clean_score", k)).alias(f"d{k}") for k in (1, 2, 3)),
     )
     places = {"tau": percentile_place("n", QUANTILE)} | {f"tau_{name}": percentile_place("n", QUANTILE, t) for name, t in TRIMS.items()}
-    wanted = wanted_ranks(cells.select(*CELL, "n"), "n", places)
-    picked = interpolated(merged(steps, moved, wanted, keys, CELL), CELL, list(places))
+    wanted = wanted_ranks(cells.select(*cell, "n"), "n", places)
+    picked = interpolated(merged(steps, moved, wanted, keys, cell), cell, list(places))
     # values that appear or vanish, from how often the touched ones were there before
-    both = replaced.select(*CELL, F.explode(F.array(F.struct(F.col("score").alias("value"), F.lit(1).alias("net")), F.struct(F.col("clean_score").alias("value"), F.lit(-1).alias("net")))).alias("x")).select(*CELL, "x.*")
+    both = replaced.select(*cell, F.explode(F.array(F.struct(F.col("score").alias("value"), F.lit(1).alias("net")), F.struct(F.col("clean_score").alias("value"), F.lit(-1).alias("net")))).alias("x")).select(*cell, "x.*")
     had = steps.groupBy(*keys, F.col("score").alias("value")).agg(F.count("*").alias("had"))
-    nets = both.groupBy(*CELL, "value").agg(F.sum("net").alias("net")).join(had, [*keys, "value"], "left").withColumn("had", F.coalesce("had", F.lit(0)))
-    kinds = nets.groupBy(*CELL).agg(F.sum((F.col("had") + F.col("net") > 0).cast("int") - (F.col("had") > 0).cast("int")).alias("more_values"))
-    out = cells.join(picked, CELL).join(kinds, CELL)
+    nets = both.groupBy(*cell, "value").agg(F.sum("net").alias("net")).join(had, [*keys, "value"], "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    kinds = nets.groupBy(*cell).agg(F.sum((F.col("had") + F.col("net") > 0).cast("int") - (F.col("had") > 0).cast("int")).alias("more_values"))
+    out = cells.join(picked, cell).join(kinds, cell)
     n = F.col("n")
     s2, s3, shift = n * F.pow("spread", F.lit(2)) + F.col("d2"), n * F.col("skew") * F.pow("spread", F.lit(3)) + F.col("d3"), F.col("d1") / n
     m2, m3 = F.greatest(F.lit(0.0), s2 - n * shift * shift), s3 - 3 * shift * s2 + 2 * n * F.pow(shift, F.lit(3))
     flat = m2 <= F.lit(EPS) * s2
     return out.select(
-        *CELL,
+        *cell,
         "n_replaced",
         "donor_feature_unique_fraction",
         *(F.col(name).alias(f"{name}_poisoned") for name in places),

@@ -294,6 +294,36 @@ def paired_bootstrap(fleet: DataFrame, policies: tuple[str, ...], resamples: int
     return out.withColumns({"n_seeds": F.size("deltas").cast("long"), "excludes_zero": F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False))}).drop("deltas")
 
 
+def shared_resamples(deltas: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """deltas (left, right, seed, delta) -> (left, right, n_seeds, mean, ci_low, ci_high, excludes_zero): percentile intervals of resampled means.
+
+    The places drawn in a resample depend on how many seeds a pair has and on nothing else, so pairs with as many seeds share their resamples
+    and their intervals can be compared; each draw is a row that is joined to the seeds, not an array in a task.
+    """
+    pair = ["left", "right"]
+    own = Window.partitionBy(*pair)
+    placed = deltas.where("delta IS NOT NULL").withColumns({"n": F.count("*").over(own), "place": (F.row_number().over(own.orderBy("seed")) - 1).cast("long")})
+    slots = placed.select("n").distinct().withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    mixed = slots.withColumn("h", (F.col("resample") * 1000003 + F.col("slot") * 7919 + seed * 104729) % (1 << 31))
+    for _ in range(3):
+        mixed = mixed.withColumn("h", F.col("h").bitwiseXOR(F.shiftright("h", 15)) * 73244475 % (1 << 31))
+    drawn = mixed.select("n", "resample", (F.shiftright("h", 8) % F.col("n")).alias("place"))
+    means = drawn.join(placed, ["n", "place"]).groupBy(*pair, "resample").agg(F.avg("delta").alias("m"))
+    tail = (1 - level) / 2
+    bounds = means.groupBy(*pair).agg(F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high"))
+    out = placed.groupBy(*pair).agg(F.count("*").alias("n_seeds"), F.avg("delta").alias("mean")).join(bounds, pair)
+    enough = F.col("n_seeds") >= 2  # no interval from one seed
+    out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("ci_low", "ci_high")})
+    return out.withColumn("excludes_zero", F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False)))
+
+
+def pair_deltas(fleet: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(left, right, seed, delta): CV of the false-positive rate under one policy minus under the other, for each pair."""
+    each = fleet.sparkSession.createDataFrame(list(pairs), "left string, right string")
+    side = lambda name: fleet.select("seed", F.col("policy").alias(name), F.col("cv_fpr").alias(f"cv_{name}"))
+    return side("left").join(F.broadcast(each), "left").join(side("right"), ["seed", "right"]).select("left", "right", "seed", (F.col("cv_left") - F.col("cv_right")).alias("delta"))
+
+
 def cluster_stability_summary(facts: DataFrame) -> DataFrame:
     """Per KEY with fraction > 0, over victims and seeds: how often clients change clusters, sizes (the most frequent vectors) and the effects
     with clusters recomputed beside those with clusters fixed."""

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from taulab.constants import POLICIES, WITH_REPLACEMENT
 from taulab.functions.columns import ratio
 from taulab.operators import cluster, evaluate, guards, inject, sensitivity, sweep
-from taulab.operators.thresholds import eligibility
-from taulab.sources.events import scores, table
+from taulab.operators.thresholds import eligibility, thresholds
+from taulab.sources import documents, runs
+from taulab.sources.events import table
+from taulab.sources.store import Store
 
 from . import registry, reports, sql
-from .registry import GRID, query, r, rounded, the_facts, the_sweep
+from .registry import GRID, query, r, rounded, scores, the_facts, the_sweep
 from .sql import K
 
 _BY = "source, objective, fraction"
@@ -126,6 +128,125 @@ def paired_bootstrap(spark, sf_dir):
     return rounded(reports.paired_bootstrap(evaluate.dispersion(registry._evals(spark, sf_dir)), ("global_threshold", "local_threshold")))
 
 
+_MIX = "xor(h, h >> 15) * 73244475 % 2147483648 AS h"
+
+
+@query(sql.base(f"""SELECT 'global_threshold' AS "left", 'local_threshold' AS "right", max(n) AS n_seeds, round(max(mean), 9) + 0 AS mean, round(quantile_cont(m, 0.025), 9) + 0 AS ci_low, round(quantile_cont(m, 0.975), 9) + 0 AS ci_high, quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS excludes_zero
+FROM (SELECT resample, max(n) AS n, max(mean) AS mean, avg(delta) AS m FROM (
+  SELECT resample, n, (h >> 8) % n AS place FROM (SELECT n, resample, {_MIX} FROM (SELECT n, resample, {_MIX} FROM (SELECT n, resample, {_MIX} FROM (
+    SELECT n, resample, (resample * 1000003 + slot * 7919 + 4398618) % 2147483648 AS h FROM (SELECT DISTINCT n FROM pd) CROSS JOIN (SELECT unnest(range(10000)) AS resample) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS slot)))))
+  ) JOIN pd USING (n, place) GROUP BY resample)""").replace("\nSELECT 'global", """, pd AS (
+  SELECT a.cv_fpr - b.cv_fpr AS delta, row_number() OVER (ORDER BY a.seed) - 1 AS place, count(*) OVER () AS n, avg(a.cv_fpr - b.cv_fpr) OVER () AS mean FROM fleet a JOIN fleet b ON a.seed = b.seed AND a.policy = 'global_threshold' AND b.policy = 'local_threshold')
+SELECT 'global""", 1))
+def paired_resampling(spark, sf_dir):
+    """Resampled interval of the paired dispersion difference, with draws that any SQL engine makes alike."""
+    fleet = evaluate.dispersion(registry._evals(spark, sf_dir))
+    return rounded(reports.shared_resamples(reports.pair_deltas(fleet, (("global_threshold", "local_threshold"),))))
+
+
+@query()
+def paired_resampling_all(spark, sf_dir):
+    """The same for all three pairs of policies on shared resamples; the cluster policy's dispersion comes from fitted clusters."""
+    clean = the_facts(spark, sf_dir, True).where("fraction = 0").select("seed", "policy", F.col("cv_fpr_clean").alias("cv_fpr")).groupBy("seed", "policy").agg(F.min("cv_fpr").alias("cv_fpr"))
+    a, b, c = "global_threshold", "local_threshold", "cluster_threshold"
+    return rounded(reports.shared_resamples(reports.pair_deltas(clean, ((a, b), (a, c), (c, b)))))
+
+
+@query(sql.base("SELECT seed, policy, client_id, tp, fp, tn, fn FROM rates"))
+def resumed_evaluation(spark, sf_dir):
+    """Confusion counts through a grid run that is stopped after two seeds and taken up again."""
+    s = scores(spark, sf_dir)
+    store = Store(spark, "grid")
+    s = store.save(s, "scores")
+    largest = registry.largest(spark, sf_dir)
+    cells = s.select("seed").distinct().withColumn("policy", F.explode(F.array(F.lit("global_threshold"), F.lit("local_threshold"))))
+
+    def compute(todo):
+        own = s.join(todo.select("seed").distinct(), "seed", "left_semi")
+        taus = thresholds(own, sql.N_MIN, largest=largest).join(todo, ["seed", "policy"], "left_semi")
+        return evaluate.client_eval(own, taus).select("seed", "policy", "client_id", "tp", "fp", "tn", "fn")
+
+    run = runs.GridRun(spark, f"{store.root}/runs", ["seed", "policy"], runs.state_of({"scores": s}, {"n_min": sql.N_MIN}))
+    run.run(cells.where("seed < 2"), compute)
+    run.run(cells, compute, waves=2)
+    return run.results(cells).select("seed", "policy", "client_id", "tp", "fp", "tn", "fn")
+
+
+_PROPS = documents.DocumentSchema("k int", ("k",), (("k_below_90", "k < 90"),))
+
+
+@query("""WITH e AS (SELECT event_id, regexp_extract(props, '[0-9]+')::INT AS k, props, event_id % 97 = 1 AS cut, event_id % 89 = 1 AS renamed, event_id % 83 = 1 AS texts, event_id % 79 = 1 AS more FROM events WHERE props IS NOT NULL)
+SELECT event_id, 'malformed' AS rule, NULL::VARCHAR AS field FROM e WHERE cut
+UNION ALL SELECT event_id, 'missing', 'k' FROM e WHERE NOT cut AND renamed UNION ALL SELECT event_id, 'unknown', 'j' FROM e WHERE NOT cut AND renamed
+UNION ALL SELECT event_id, 'type', 'k' FROM e WHERE NOT cut AND NOT renamed AND texts
+UNION ALL SELECT event_id, 'unknown', 'z' FROM e WHERE NOT cut AND NOT renamed AND NOT texts AND more
+UNION ALL SELECT event_id, 'k_below_90', NULL FROM e WHERE NOT cut AND NOT renamed AND NOT texts AND k >= 90""")
+def document_violations(spark, sf_dir):
+    """The events' JSON documents, some of which are cut off, renamed, of another type or too long, against a schema."""
+    e, n = table(spark, sf_dir, "events").where("props IS NOT NULL"), F.col("event_id")
+    bad = F.when(n % 97 == 1, F.substring("props", 1, 4)).when(n % 89 == 1, F.replace("props", F.lit('"k"'), F.lit('"j"'))).when(n % 83 == 1, F.lit('{"k": "text"}')).when(n % 79 == 1, F.replace("props", F.lit("}"), F.lit(', "z": 1}')))
+    found = documents.checked(e.select("event_id", F.coalesce(bad, "props").alias("text")), "text", _PROPS)
+    return documents.violations(found, ["event_id"]).drop("value")
+
+
+@query(sql.base("""SELECT seed, policy, client_id, 'differs' AS problem, 'tp' AS figure, CAST(tp + 1 AS DOUBLE) AS stored, CAST(tp AS DOUBLE) AS computed FROM rates WHERE seed = 1 AND client_id = 'c3'
+UNION ALL SELECT seed, policy, client_id, 'missing', NULL, NULL, NULL FROM rates WHERE seed = 2 AND client_id = 'c4' UNION ALL SELECT seed, policy, 'c99', 'surplus', NULL, NULL, NULL FROM rates WHERE seed = 3 AND client_id = 'c5'"""))
+def stored_recheck(spark, sf_dir):
+    """Stored metric documents, of which some were altered, lost or added, against what the scores give now."""
+    store = Store(spark, "documents")
+    now = store.save(registry._evals(spark, sf_dir).select("seed", "policy", "client_id", "tp", "fp", "fpr", "tpr"), "evals")
+    wrong = F.when((F.col("seed") == 1) & (F.col("client_id") == "c3"), F.col("tp") + 1).otherwise(F.col("tp"))
+    kept = now.where("NOT (seed = 2 AND client_id = 'c4')").withColumn("tp", wrong)
+    kept = kept.unionByName(now.where("seed = 3 AND client_id = 'c5'").withColumn("client_id", F.lit("c99")))
+    docs = kept.groupBy("seed", "policy").agg(F.collect_list(F.struct("client_id", "tp", "fp", "fpr", "tpr")).alias("per_client"))
+    docs.write.json(f"{store.root}/metrics")
+    schema = "seed long, policy string, per_client array<struct<client_id: string, tp: long, fp: long, fpr: double, tpr: double>>"
+    stored = spark.read.schema(schema).json(f"{store.root}/metrics").select("seed", "policy", F.explode("per_client").alias("c")).select("seed", "policy", "c.*")
+    return documents.differences(stored, now, ["seed", "policy", "client_id"], ["tp", "fp", "fpr", "tpr"])
+
+
+_VARIANTS = """hv AS (
+  SELECT h.*, CAST(CASE source WHEN 'random_benign' THEN n ELSE greatest(1, floor(0.1::DOUBLE * n)) END AS BIGINT) AS pool FROM hits h WHERE source IN ('random_benign', 'high_score_benign', 'low_score_benign')
+), asked AS (
+  SELECT seed, victim, source, objective, fraction, child, n, m, pool, draw, CASE draw WHEN 'without_replacement' THEN least(m, pool) WHEN 'interpolated_tail' THEN CASE WHEN pool >= 2 THEN m ELSE 0 END
+    ELSE coalesce((SELECT max(q) FROM (SELECT unnest(range(1, m + 1)) AS q) WHERE CASE source WHEN 'random_benign' THEN n - q ELSE greatest(1, floor(0.1::DOUBLE * (n - q))) END >= q), 0) END AS eff
+  FROM (SELECT DISTINCT seed, victim, source, objective, fraction, child, n, m, pool FROM hv) CROSS JOIN (VALUES ('without_replacement'), ('disjoint_reservoir'), ('interpolated_tail')) AS d(draw)
+), av AS (
+  SELECT *, CASE WHEN draw = 'disjoint_reservoir' THEN CAST(CASE source WHEN 'random_benign' THEN n - eff ELSE greatest(1, floor(0.1::DOUBLE * (n - eff))) END AS BIGINT) ELSE pool END AS pool_n,
+    CASE WHEN draw = 'disjoint_reservoir' THEN n - eff ELSE n END AS of FROM asked
+), every AS (
+  SELECT a.seed, a.victim, a.source, a.objective, a.fraction, a.draw, h.pos, h.clean_score, h.k, h.k <= eff AS gone, a.n,
+    CASE WHEN h.k <= eff THEN CASE a.source WHEN 'high_score_benign' THEN of - pool_n ELSE 0 END + (a.child * 13 + a.seed * 7 + (h.k - 1) * CASE WHEN (pool_n - (draw = 'interpolated_tail')::INT) % 48271 = 0 THEN 1 ELSE 48271 END) % (pool_n - (draw = 'interpolated_tail')::INT) END AS drawn,
+    (h.k * 7919 + a.child) % 1000 / 1000.0::DOUBLE AS toward
+  FROM av a JOIN hv h USING (seed, victim, source, objective, fraction)
+), steps AS (
+  SELECT seed, victim, source, objective, fraction, draw, clean_score AS v, lead(clean_score) OVER w AS up, row_number() OVER w - 1 AS place FROM every WHERE draw <> 'disjoint_reservoir' OR NOT gone
+  WINDOW w AS (PARTITION BY seed, victim, source, objective, fraction, draw ORDER BY clean_score, pos)
+), vp AS (
+  SELECT e.seed, e.victim, e.source, e.objective, e.fraction, e.draw, CASE WHEN NOT gone THEN clean_score WHEN e.draw = 'interpolated_tail' THEN v + toward * (up - v) ELSE v END AS score
+  FROM every e LEFT JOIN steps s ON s.seed = e.seed AND s.victim = e.victim AND s.source = e.source AND s.objective = e.objective AND s.fraction = e.fraction AND s.draw = e.draw AND s.place = e.drawn
+), vm AS (SELECT seed, victim, source, objective, fraction, draw, quantile_cont(score, 0.95) AS tau_v, 1 - count(DISTINCT score) / count(*) AS dup_v FROM vp GROUP BY ALL)"""
+
+
+@query(sql.cells(f"""SELECT seed, victim, source, objective, fraction, draw, policy, CAST(m AS BIGINT) AS requested, CAST(eff AS BIGINT) AS effective, pool_n, round((tau_p - tau_c) / f, 9) + 0 AS delta_tau_with_replacement, round((tau_v - tau_c) / f, 9) + 0 AS delta_tau_variant,
+  round(dup_p, 9) + 0 AS duplicate_rate_with_replacement, round(dup_v, 9) + 0 AS duplicate_rate_variant
+FROM (SELECT *, CASE policy WHEN 'local_threshold' THEN 1 ELSE (SELECT max(n_eligible) FROM cl WHERE cl.seed = av.seed) END AS f FROM av CROSS JOIN (VALUES ('local_threshold'), ('global_threshold')) AS p(policy))
+JOIN vm USING (seed, victim, source, objective, fraction, draw) JOIN shifts USING (seed, victim, source, objective, fraction)""").replace("\nSELECT seed, victim, source, objective, fraction, draw, policy", ", " + _VARIANTS + "\nSELECT seed, victim, source, objective, fraction, draw, policy", 1))
+def draw_variant_shifts(spark, sf_dir):
+    """Budgets, threshold shifts by policy and duplicates of three other ways to draw, beside drawing with replacement."""
+    return rounded(sensitivity.draw_variants(the_sweep(spark, sf_dir)))
+
+
+_VARIANT_ROWS = registry._SQL["draw_variant_shifts"]
+
+
+@query(f"SELECT policy, {_BY}, draw, {r('avg(delta_tau_variant)=delta_tau', 'avg(delta_tau_with_replacement)=delta_tau_with')}, round(avg(effective), 9) AS effective, round(avg(CASE WHEN effective = requested THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS feasible_rate, count(*) AS n_rows FROM ({_VARIANT_ROWS}) GROUP BY policy, {_BY}, draw")
+def draw_variant_shift_summary(spark, sf_dir):
+    rows = rounded(sensitivity.draw_variants(the_sweep(spark, sf_dir)))
+    whole = F.avg(F.when(F.col("effective") == F.col("requested"), 1.0).otherwise(0.0))
+    return rounded(rows.groupBy("policy", "source", "objective", "fraction", "draw").agg(F.avg("delta_tau_variant").alias("delta_tau"), F.avg("delta_tau_with_replacement").alias("delta_tau_with"), F.avg("effective").alias("effective"), whole.alias("feasible_rate"), F.count("*").alias("n_rows")))
+
+
 @query()
 def cluster_k_candidates(spark, sf_dir):
     """Silhouettes of the candidate numbers of clusters, and whether the fixed one is valid."""

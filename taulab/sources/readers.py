@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +68,30 @@ def score_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCORES).parquet(path)
 
 
+def split_manifest(spark: SparkSession, path: str) -> dict:
+    """What ``write_split_manifest`` wrote; splits without it are not finished."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.manifest.json")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        raise FileNotFoundError(f"{path} holds no finished splits")
+    return json.loads(spark.read.text(f"{path}.manifest.json", wholetext=True).first()[0])
+
+
+def splits(spark: SparkSession, path: str, width: int, clients: list[str] | DataFrame | None = None, splits: list[str] | None = None) -> DataFrame:
+    """(features, client_id, split) of a finished set of splits, from the folders of the wanted clients and splits only.
+
+    clients: ids, or a table with client_id, by which folders are pruned while the query runs.
+    """
+    found = split_manifest(spark, path)["width"]
+    if found != width:
+        raise ValueError(f"{path} has {found} features, not {width}")
+    rows = spark.read.schema("features array<double>, client_id string, split string").parquet(path)
+    if splits is not None:
+        rows = rows.where(F.col("split").isin(*splits))
+    if isinstance(clients, DataFrame):
+        return rows.join(F.broadcast(clients.select("client_id").distinct()), "client_id")  # as many rows as folders at most
+    return rows if clients is None else rows.where(F.col("client_id").isin(*clients))
+
+
 def documents_json(spark: SparkSession, path: str, schema: str | T.StructType, results: str | None = None) -> DataFrame:
     """JSON documents (malformed ones fail); with ``results`` the rows of that array, with NaN as null."""
     docs = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

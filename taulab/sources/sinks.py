@@ -8,6 +8,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runs import fingerprint
+
 
 def write_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per seed, stage and client, so that readers prune by them."""
@@ -20,6 +22,18 @@ def write_splits(rows: DataFrame, path: str, width: int, mode: str = "overwrite"
     checked.write.mode(mode).partitionBy("client_id", "split").parquet(path)
 
 
+def write_split_manifest(spark, path: str) -> dict:
+    """Rows by client and split (beside the folder, in .counts), the width and a digest of all rows, in .manifest.json, which is written last: without it
+    the folder is no finished set of splits."""
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy("client_id", "split").agg(F.count("*").alias("n")).groupBy("client_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "n")))).alias("splits"))
+    sizes = rows.agg(F.count("*").alias("rows"), F.max(F.size("features")).alias("width"), F.count_distinct("client_id").alias("clients")).first()
+    counts.orderBy("client_id").write.mode("overwrite").json(f"{path}.counts")
+    manifest = {"rows": sizes["rows"], "width": sizes["width"], "clients": sizes["clients"], "digest": fingerprint(rows)}
+    write_json(manifest, spark, f"{path}.manifest.json")
+    return manifest
+
+
 def sorted_records(records: DataFrame) -> DataFrame:
     """Columns by name; NaN as null; arrays, maps and structs as JSON text."""
     out = []

@@ -5,9 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import traceback
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .runs import fingerprint
 
 IN_PROGRESS, DONE, ABORTED, CORRUPT, MISSING = "in_progress", "done", "aborted", "corrupt", "missing"
 
@@ -81,3 +85,45 @@ def load_weights(spark: SparkSession, path: str) -> list[np.ndarray]:
     if {r.sha256 for r in rows} != {weights_hash(weights)}:
         raise ValueError(f"weights in {path} don't match their hash")
     return weights
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    fs, p = _fs(spark, source)
+    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"{source} can't become {target}")
+
+
+def save_scaler(spark: SparkSession, stats: DataFrame, path: str) -> str:
+    """Store (key, mean, std) of ``feature_stats`` as a new version and return its digest.
+
+    The table is written aside and named by its digest; CURRENT, a small file that is renamed into place last, names the version
+    in use.  What a stopped writer leaves is never read.
+    """
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    stats.select("key", "mean", "std").write.parquet(aside)
+    digest = fingerprint(spark.read.parquet(aside))
+    fs, version = _fs(spark, f"{path}/{digest}")
+    if fs.exists(version):  # the same figures are there already
+        fs.delete(_fs(spark, aside)[1], True)
+    else:
+        _rename(spark, aside, f"{path}/{digest}")
+    _put(spark, f"{path}/_pointer-{digest}", digest)
+    fs.delete(_fs(spark, f"{path}/CURRENT")[1], False)
+    _rename(spark, f"{path}/_pointer-{digest}", f"{path}/CURRENT")
+    return digest
+
+
+def load_scaler(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """The version in use; rows of another width or with figures that are not finite, or another digest than its name, are errors."""
+    fs, current = _fs(spark, f"{path}/CURRENT")
+    if not fs.exists(current):
+        raise FileNotFoundError(f"{path} holds no finished scaler")
+    digest = spark.read.text(f"{path}/CURRENT").first()[0]
+    stats = spark.read.parquet(f"{path}/{digest}")
+    if fingerprint(stats) != digest:
+        raise ValueError(f"the scaler in {path} doesn't match its digest")
+    fine = lambda c: (F.size(c) == width) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    wrong = stats.where(~F.coalesce(fine("mean") & fine("std"), F.lit(False))).select("key").take(5)
+    if wrong:
+        raise ValueError(f"scalers that have not {width} finite figures: {[r.key for r in wrong]}")
+    return stats
