@@ -111,7 +111,7 @@ def test_one_clients_splits_are_read_from_its_folders(spark, tmp_path):
     assert [(r.client_id, r.features) for r in one.collect()] == [("01", [1.0, 1.0])]
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "client_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    wanted = spark.createDataFrame([("02", True), ("03", False)], "client_id string, used boolean").where("used")
+    wanted = spark.createDataFrame([("02", 1), ("03", 9)], "client_id string, rank int").where("rank < 5")
     joined = readers.splits(spark, path, 2, clients=wanted)
     assert {r.client_id for r in joined.collect()} == {"02"} and "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(FileNotFoundError):
