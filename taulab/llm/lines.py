@@ -8,8 +8,9 @@ SimHash adds up random signs of a line's features.  Of the sums, the signs of 25
 of, and of each 16 further ones the place and sign of the strongest make a symbol: a small change of the line changes it
 far more seldom than it changes five sign bits.  Symbols are cut into blocks, and lines that differ in fewer symbols than
 there are blocks share one (pigeonhole); lines that differ in more mostly do too.  Features are words of over three bytes
-(the commonest would make all lines of a language alike), or for lines of at most ``short`` characters pairs of adjacent bytes; lines from ``short`` * 0.8 to ``short`` have blocks of both kinds, so that no
-pair within the similarity lacks a common kind.  ``LineParams.scaled`` makes blocks longer, and more of them, as the table grows.
+(the commonest would make all lines of a language alike), or pairs of adjacent bytes for lines of at most ``short`` characters and for those with few
+words for their length (Chinese, Japanese, Thai, addresses); lines near either border have blocks of both kinds, so that pairs within the similarity hardly ever lack a common
+kind.  The blocks are the same at every size of the table: what is linked does not depend on what else is in it.
 
 Plan
   1. One pass over the texts makes two 64-bit keys, SimHashes and blocks of each line; equal lines collapse.
@@ -28,9 +29,8 @@ whatever their names.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -45,30 +45,28 @@ from .workspace import Workspace, fresh
 
 @dataclass(frozen=True)
 class LineParams:
-    """blocks of so many symbols for each kind of feature; apart: most differing bits, of 256, of a linked pair."""
+    """blocks of so many symbols for each kind of feature, at every size of the table; apart: most differing bits, of 256, of a linked pair.
+
+    few_words: from so many characters a word on, a line counts as text without spaces and has byte pairs for features.
+    """
 
     similarity_percent: int = 80
     short: int = 40
-    word_blocks: tuple[int, int] = (28, 6)
-    byte_blocks: tuple[int, int] = (20, 7)
+    few_words: int = 16
+    word_blocks: tuple[int, int] = (28, 5)
+    byte_blocks: tuple[int, int] = (40, 5)
     word_apart: int = 66
     byte_apart: int = 80
     bitmap_words: int = 1 << 20
 
-    def scaled(self, text_bytes: int) -> LineParams:
-        """The blocks named are for 128 MiB to 4 GiB of text: one symbol (32-fold) more for each 32-fold growth beyond and 1 / 0.7 as many
-        blocks, as a symbol survives a typical change with 0.7; one or two symbols fewer in smaller tables."""
-        more = max(-2, math.ceil((math.log2(max(1, text_bytes)) - 32) / 5))
-        grown = lambda b: (round(b[0] / 0.7 ** max(0, more)), b[1] + more)
-        return replace(self, word_blocks=grown(self.word_blocks), byte_blocks=grown(self.byte_blocks))
-
 
 GROUP = 16
 SIGNS = 256
 #: Bytes of text that are cut into lines at a time.
 PIECE = 1 << 20
 #: Features fall into so many rows of random signs.
-ROWS = 1 << 10
+ROW_BITS = 12
+ROWS = 1 << ROW_BITS
 VALUES = byte_values(True)
 VALUES[ord("0") : ord("9") + 1] = VALUES[ord("0")]
 FOLD = np.arange(256, dtype=np.uint8)
@@ -169,7 +167,7 @@ def _words(cut: Lines, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     long = cut.ends[words] - cut.starts[words] > 3
     most = np.add.reduceat(long, np.cumsum(n) - n) if len(n) else n
     used = long | np.repeat(most < 4, n)
-    return (cut.hashes[words[used]] >> np.uint64(54)).astype(np.int64), np.r_[0, np.cumsum(np.where(most < 4, n, most))]
+    return (cut.hashes[words[used]] >> np.uint64(64 - ROW_BITS)).astype(np.int64), np.r_[0, np.cumsum(np.where(most < 4, n, most))]
 
 
 def _byte_pairs(buf: np.ndarray, cut: Lines, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +180,7 @@ def _byte_pairs(buf: np.ndarray, cut: Lines, lines: np.ndarray) -> tuple[np.ndar
     before[at[:-1]] = 32
     first = at[np.r_[0, np.cumsum(cut.first[lines + 1] - cut.first[lines])]]
     before[first[:-1]] = 10
-    return (mix((before * 256 + byte).astype(np.uint64)) >> np.uint64(54)).astype(np.int64), first
+    return (mix((before * 256 + byte).astype(np.uint64)) >> np.uint64(64 - ROW_BITS)).astype(np.int64), first
 
 
 def _ranges(a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -204,7 +202,10 @@ def sketches(docs: DataFrame, p: LineParams) -> DataFrame:
                 cut = cut_lines(buf, offs)
                 n = len(cut.row)
                 kinds = []
-                for which, blocks, seed in ((cut.size * 100 >= p.similarity_percent * p.short, p.word_blocks, 1), (cut.size <= p.short, p.byte_blocks, 2)):
+                # a change of the similarity moves characters per word by less than a fourth, so near pairs have a kind in common
+                density, edge = cut.size / np.diff(cut.first), 100 / p.similarity_percent
+                words = (cut.size >= p.short / edge) & (density <= p.few_words * edge)
+                for which, blocks, seed in ((words, p.word_blocks, 1), ((cut.size <= p.short) | (density > p.few_words / edge), p.byte_blocks, 2)):
                     at = np.flatnonzero(which)
                     rows, first = _words(cut, at) if seed == 1 else _byte_pairs(buf, cut, at)
                     kinds.append((at, which, *signatures(rows, first, blocks, seed)))
@@ -368,7 +369,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, p: LineParams, w
 def line_groups(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """doc_id, line_no (from 0), group_lines, kept, first_doc_id, first_line_no (the group's first line): one row per line with a word."""
     work, percent = Workspace(docs.sparkSession, "lines"), params.similarity_percent
-    p = params.scaled(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    p = params
     grouped = sketches(docs, p).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in (*_ATTRIBUTES, "blocks")))
     whole = work.save(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     nodes = whole.drop("blocks")

@@ -97,6 +97,10 @@ def test_recall_against_edit_similarity(spark):
     together = sum(group[texts[a]] == group[texts[b]] for a, b in near)
     print("recall", together / len(near), len(near))
     assert together >= 0.9 * len(near)
+    long = [(a, b) for a, b in near if max(len(texts[a]), len(texts[b])) >= 200]
+    middle = [(a, b) for a, b in near if 50 <= max(len(texts[a]), len(texts[b])) < 200]
+    for some, share in ((long, 0.95), (middle, 0.85)):
+        assert sum(group[texts[a]] == group[texts[b]] for a, b in some) >= share * len(some) > 0
     # every group is a chain of pairs within the edit similarity
     members = defaultdict(set)
     for t, g in group.items():
@@ -163,10 +167,27 @@ def test_lines_of_a_buffer():
     assert first.tolist() == [0, 6, 12] and rows[:6].tolist() == rows[6:].tolist()
 
 
-def test_blocks_grow_with_the_table():
-    p = LineParams()
-    assert p.scaled(1 << 28) == p.scaled(1 << 32) == p
-    assert p.scaled(0).word_blocks == (28, 4) and p.scaled(100 << 40).word_blocks == (82, 9)
+def test_text_without_spaces(spark):
+    """Lines of one long word: near ones are found, and unlike ones are hardly compared."""
+    r = random.Random(5)
+    line = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    rows = []
+    for k in range(150):
+        x = line(80)
+        at = r.randrange(80)
+        rows += [(2 * k, x), (2 * k + 1, x[:at] + line(1) + x[at + 1 :])]
+    rows += [(1000 + k, line(60)) for k in range(2000)]
+    rows += [(5000 + k, "https://example.org/" + "".join(r.choice("abcdefghij") for _ in range(50)) + "x" * k) for k in range(3)]
+    first = {x.doc_id: x.first_doc_id for x in line_groups(frame(spark, rows)).collect()}
+    assert sum(first[2 * k] == first[2 * k + 1] for k in range(150)) >= 148
+    assert all(first[1000 + k] == 1000 + k for k in range(2000))
+
+
+def test_what_is_linked_does_not_depend_on_other_lines(spark):
+    near = lambda x: {k: v for k, v in x.items() if k[0] < 100}
+    more = [(1000 + k, " ".join(f"other{chr(97 + (k * j) % 26)}{j}" for j in range(3, 20))) for k in range(3000)]
+    runs = [{(x.doc_id, x.line_no): x.first_doc_id for x in line_groups(frame(spark, rows)).collect()} for rows in (ROWS, ROWS + more)]
+    assert near(runs[0]) == near(runs[1])
 
 
 def test_a_hot_group_and_a_chain_in_one_bucket(spark):
