@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from taulab.constants import CLUSTER_K, QUANTILE
 from taulab.functions.columns import moment_skewness
+from taulab.sources.store import Store
 
 FINGERPRINT = ("mean", "std", "skew", "tail")
 
@@ -94,41 +95,54 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     return float(value.mean())
 
 
-def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int, int]] = ((CLUSTER_K, 10, 42),)) -> DataFrame:
-    """rows (keys, client_id, clean fingerprint, poisoned fingerprint as arrays) -> labels of each client and silhouettes.
+def fleet_states(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, client_id, clean fingerprint, poisoned fingerprint as arrays) -> (keys, clients, clean, poisoned, a state key for each of the three fits of a fleet).
 
-    For every (k, n_init, random_state): labels of the clean and of the perturbed fleet, each scaled by itself, and of the perturbed
-    fleet scaled by the clean one.  One Arrow row per key; keys with no more than k clients have none.
+    A state is a fleet's points and the points whose scale they are brought to; equal states have equal keys whatever cells they come from.
     """
     packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("client_id", "clean", "poisoned"))).alias("fleet"))
     fleet = packed.select(*keys, F.col("fleet.client_id").alias("clients"), F.col("fleet.clean").alias("clean"), F.col("fleet.poisoned").alias("poisoned"))
-    types = {f.name: f.dataType.simpleString() for f in fleet.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", k long, n_init long, random_state long, client_id string, label_clean int, label_poisoned int, label_frozen int, silhouette_clean double, silhouette_poisoned double"
+    key = lambda points, like: F.sha2(F.to_json(F.struct(F.col(points).alias("points"), F.col(like).alias("like"))), 256)
+    return fleet.withColumns({"state_clean": key("clean", "clean"), "state_poisoned": key("poisoned", "poisoned"), "state_frozen": key("poisoned", "clean")})
 
-    def run(batches):
-        known: dict[tuple, np.ndarray] = {}  # the clean fleet of a seed comes again in every cell
 
-        def clean_labels(x, *how):
-            key = (x.tobytes(), *how)
-            if key not in known:
-                known[key] = group_points(x, *how)
-            return known[key]
+def fitted_states(fleets: DataFrame, params: list[tuple[int, int, int]]) -> DataFrame:
+    """(state, k, n_init, random_state, labels, silhouette): one row for each distinct state of ``fleet_states`` and each parameter that the fleet allows, fitted once."""
+    kinds = (("state_clean", "clean", "clean"), ("state_poisoned", "poisoned", "poisoned"), ("state_frozen", "poisoned", "clean"))
+    each = F.explode(F.array(*(F.struct(F.col(s).alias("state"), F.col(x).alias("points"), F.col(y).alias("like")) for s, x, y in kinds)))
+    states = fleets.select(each.alias("s")).select("s.*").dropDuplicates(["state"])
+    wanted = F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(name) for x, name in zip(p, ("k", "n_init", "random_state"), strict=True))) for p in params)))
+    tasks = states.withColumn("p", wanted).select("state", "points", "like", "p.*").repartition("state", "k", "n_init", "random_state")
 
+    def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                head = tuple(getattr(r, k) for k in keys)
-                clean, poisoned = (np.array([np.asarray(x, float) for x in v]) for v in (r.clean, r.poisoned))
-                for k, n_init, state in params:
-                    if len(clean) <= k:
-                        continue
-                    a, b, c = scale(clean, clean), scale(poisoned, poisoned), scale(poisoned, clean)
-                    la, lb, lc = (how(x, k, n_init, 300, state) for how, x in ((clean_labels, a), (group_points, b), (group_points, c)))
-                    sa, sb = silhouette(a, la), silhouette(b, lb)
-                    out += [(*head, k, n_init, state, client, x, y, z, sa, sb) for client, x, y, z in zip(r.clients, la, lb, lc, strict=True)]
-            yield pd.DataFrame(out, columns=[*keys, "k", "n_init", "random_state", "client_id", "label_clean", "label_poisoned", "label_frozen", "silhouette_clean", "silhouette_poisoned"])
+                points, like = (np.array([np.asarray(x, float) for x in v]) for v in (r.points, r.like))
+                if len(points) > r.k:
+                    scaled = scale(points, like)
+                    labels = group_points(scaled, r.k, r.n_init, 300, r.random_state)
+                    out.append((r.state, r.k, r.n_init, r.random_state, labels.tolist(), silhouette(scaled, labels)))
+            yield pd.DataFrame(out, columns=["state", "k", "n_init", "random_state", "labels", "silhouette"])
+
+    return tasks.mapInPandas(run, "state string, k long, n_init long, random_state long, labels array<int>, silhouette double")
 
-    return fleet.mapInPandas(run, schema)
+
+def label_states(rows: DataFrame, keys: list[str], params: list[tuple[int, int, int]] = ((CLUSTER_K, 10, 42),)) -> DataFrame:
+    """rows (keys, client_id, clean fingerprint, poisoned fingerprint as arrays) -> labels of each client and silhouettes.
+
+    For every (k, n_init, random_state): labels of the clean and of the perturbed fleet, each scaled by itself, and of the perturbed
+    fleet scaled by the clean one.  Equal fleets of several keys are fitted once; keys with no more than k clients have none.
+    """
+    store, how = Store(rows.sparkSession, "fits"), ["k", "n_init", "random_state"]
+    fleets = store.save(fleet_states(rows, keys), "fleets")
+    fits = store.save(fitted_states(fleets, params), "fits")
+    out = fleets.drop("clean", "poisoned").withColumnRenamed("clients", "client_id")
+    for name in ("clean", "poisoned", "frozen"):
+        side = fits.select(F.col("state").alias(f"state_{name}"), *how, F.col("labels").alias(f"label_{name}"), F.col("silhouette").alias(f"silhouette_{name}"))
+        out = out.join(side, [f"state_{name}"] if name == "clean" else [f"state_{name}", *how])
+    zipped = F.explode(F.arrays_zip("client_id", "label_clean", "label_poisoned", "label_frozen"))
+    return out.select(*keys, *how, zipped.alias("c"), "silhouette_clean", "silhouette_poisoned").select(*keys, *how, "c.client_id", "c.label_clean", "c.label_poisoned", "c.label_frozen", "silhouette_clean", "silhouette_poisoned")
 
 
 def grid_params(ks: tuple[int, ...], inits: tuple[int, ...], states: tuple[int, ...]) -> list[tuple[int, int, int]]:

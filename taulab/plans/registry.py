@@ -612,7 +612,7 @@ def draw_variants(spark, sf_dir):
 
 @query()
 def cluster_stability(spark, sf_dir):
-    """Cluster shapes over group counts, restarts and random states, for the largest fraction."""
+    """Cluster shapes over group counts, restarts and random states, for all fractions."""
     return rounded(sensitivity.cluster_stability(the_sweep(spark, sf_dir)))
 
 

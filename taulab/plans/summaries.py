@@ -140,7 +140,7 @@ FROM (SELECT resample, max(n) AS n, max(mean) AS mean, avg(delta) AS m FROM (
 SELECT 'global""", 1))
 def paired_resampling(spark, sf_dir):
     """Resampled interval of the paired dispersion difference, with draws that any SQL engine makes alike."""
-    fleet = evaluate.dispersion(registry._evals(spark, sf_dir))
+    fleet = Store(spark, "fleet").save(evaluate.dispersion(registry._evals(spark, sf_dir)).select("seed", "policy", "cv_fpr"), "fleet")
     return rounded(reports.shared_resamples(reports.pair_deltas(fleet, (("global_threshold", "local_threshold"),))))
 
 
@@ -148,6 +148,7 @@ def paired_resampling(spark, sf_dir):
 def paired_resampling_all(spark, sf_dir):
     """The same for all three pairs of policies on shared resamples; the cluster policy's dispersion comes from fitted clusters."""
     clean = the_facts(spark, sf_dir, True).where("fraction = 0").select("seed", "policy", F.col("cv_fpr_clean").alias("cv_fpr")).groupBy("seed", "policy").agg(F.min("cv_fpr").alias("cv_fpr"))
+    clean = Store(spark, "fleet").save(clean, "fleet")
     a, b, c = "global_threshold", "local_threshold", "cluster_threshold"
     return rounded(reports.shared_resamples(reports.pair_deltas(clean, ((a, b), (a, c), (c, b)))))
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taulab.operators import inject, quantiles
+from taulab.operators import inject, quantiles, sweep
 from taulab.operators.ladder import at_ranks, merged, ranked
 from taulab.operators.quantiles import order_statistics, percentiles
 from taulab.sources.store import Store
@@ -124,3 +124,13 @@ def test_first_donors_are_those_of_the_whole_pools(spark, shape):
     want = whole.join(budgets, ["seed", "victim"]).where("draw <= most").select("seed", "victim", "source", "draw", "row_id", "score")
     got = inject.first_donors(train, budgets, Store(spark, "test"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_replaced_test_row_reaches_the_perturbed_state(spark):
+    kind = "seed long, client_id string, stage string, pos long, event_id long, score double"
+    scores = spark.createDataFrame([(0, "a", stage, i, i, float(i)) for stage in ("cal", "test_benign", "test_attack") for i in range(3)], kind)
+    replaced = lambda stage: spark.createDataFrame([(0, "a", stage, 1, 9.0)], "seed long, victim string, stage string, pos long, score double")
+    values = lambda stage: sorted((r.stage, r.pos, r.score) for r in sweep.perturbed_tests(scores, replaced(stage)).collect())
+    clean = sorted((r.stage, r.pos, r.score) for r in scores.where("stage <> 'cal'").collect())
+    assert values("cal") == clean
+    assert [x for x, y in zip(values("test_attack"), clean, strict=True) if x != y] == [("test_attack", 1, 9.0)]
