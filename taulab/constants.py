@@ -34,6 +34,8 @@ DISJOINT, INTERPOLATED = "disjoint_reservoir", "interpolated_tail"
 
 #: Split ratios in order; the rest is the benign test part.
 SPLIT = (("train", 0.60), ("gap1", 0.01), ("cal", 0.20), ("gap2", 0.01))
+#: Splits of a prepared client.
+PREPARED_SPLITS = ("train", "cal", "test_benign", "test_attack")
 N_MIN = 100
 QUANTILE = 0.95
 TAIL_MASS = 0.1

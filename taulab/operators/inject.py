@@ -74,6 +74,33 @@ def donors(train: DataFrame, victims: DataFrame) -> DataFrame:
     return used.withColumn("draw", F.row_number().over(v.orderBy(_order("row_id", "stream"), "row_id"))).select("seed", "victim", "source", "draw", "row_id", "score", F.count("*").over(v).alias("donor_n"))
 
 
+def donor_problems(pool: DataFrame, cal: DataFrame, budgets: DataFrame, stages: tuple[str, ...] = ("train",)) -> DataFrame:
+    """(seed, victim, rule, n): what keeps a victim from drawing donors without replacement from other clients; no row is a sound setting.
+
+    pool (seed, client_id, stage, row_id, score), cal (seed, client_id, score), budgets (seed, victim, most).  n counts rows of other clients from a
+    stage that is no reservoir (``stage``) or without a finite score (``not finite``), and the victim's own calibration rows without one
+    (``calibration``, also with n = 0 if it has none); ``too few`` has the number of different row ids of others whose highest part is smaller than the budget.
+    Others' figures are those of all clients less the victim's own, so no row meets a victim.
+    """
+    bad = ~F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))
+    keys = ["seed", "client_id"]
+    figures = {"stage": F.count_if(~F.coalesce(F.col("stage").isin(*stages), F.lit(False))), "not finite": F.count_if(bad)}
+    own = pool.groupBy(*keys).agg(*(c.alias(name) for name, c in figures.items()))
+    ids = pool.groupBy("seed", "row_id").agg(F.min("client_id").alias("client_id"), F.max("client_id").alias("last"))
+    alone = ids.where("client_id = last").groupBy(*keys).agg(F.count("*").alias("ids"))
+    own = own.join(alone, keys, "left").na.fill(0, ["ids"])
+    total = own.groupBy("seed").agg(*(F.sum(c).alias(f"all {c}") for c in figures)).join(ids.groupBy("seed").agg(F.count("*").alias("all ids")), "seed")
+    calibration = cal.groupBy(*keys).agg(F.count("*").alias("n_cal"), F.count_if(bad).alias("bad_cal"))
+    rows = budgets.withColumnRenamed("victim", "client_id").join(total, "seed", "left").join(own, keys, "left").join(calibration, keys, "left").na.fill(0)
+    less = lambda c: F.col(f"all {c}") - F.col(c)
+    row = lambda when, rule, n: F.when(when, F.struct(F.lit(rule).alias("rule"), n.cast("long").alias("n")))
+    found = [row(less(c) > 0, c, less(c)) for c in figures]
+    found.append(row((F.col("n_cal") == 0) | (F.col("bad_cal") > 0), "calibration", F.col("bad_cal")))
+    rest = less("ids")
+    found.append(row((rest == 0) | (tail_size(rest, FEATURE_TAIL_MASS) < F.col("most")), "too few", rest))
+    return rows.select("seed", F.col("client_id").alias("victim"), F.explode(F.array_compact(F.array(*found))).alias("p")).select("seed", "victim", "p.*")
+
+
 def _shift(child: str) -> Column:
     return F.pmod((F.col(child) + 1) * 104729 + (F.col("seed") + 1) * 15485863, F.lit(PRIME))
 

@@ -16,7 +16,11 @@ def feature_stats(rows: DataFrame, key: str, features: str) -> DataFrame:
 
 def scale_splits(rows: DataFrame, key: str, features: str, train: Column) -> DataFrame:
     """rows plus ``scaled``: every row by the statistics of its key's training rows."""
-    stats = feature_stats(rows.where(train), key, features)
+    return scale_by(rows, key, features, feature_stats(rows.where(train), key, features))
+
+
+def scale_by(rows: DataFrame, key: str, features: str, stats: DataFrame) -> DataFrame:
+    """rows plus ``scaled``, by the statistics (key, mean, std) of their key; rows of a key without any go."""
     joined = rows.join(stats, key)
     centered = F.zip_with(F.col(features).cast("array<double>"), "mean", lambda x, m: x - m)
     return joined.withColumn("scaled", F.zip_with(centered, "std", lambda x, s: x / s)).drop("mean", "std")

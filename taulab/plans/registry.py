@@ -11,6 +11,7 @@ from taulab.constants import CLUSTER, DISJOINT, INTERPOLATED, LOWER, PAIRS, RAIS
 from taulab.functions.inference import binomial_upper_tail, holm, sign_flip_column, with_resampling
 from taulab.operators import evaluate, inject, sensitivity, sweep
 from taulab.operators.positions import dense_ids
+from taulab.operators.prepare import balanced
 from taulab.operators.scaling import row_errors, scale_splits
 from taulab.operators.quantiles import percentiles
 from taulab.operators.thresholds import eligibility, global_taus, local_taus, thresholds, trimmed
@@ -150,10 +151,8 @@ def reconstruction_error(spark, sf_dir):
 @query(sql.base("""SELECT client_id, event_id FROM (SELECT client_id, event_id, row_number() OVER (PARTITION BY client_id ORDER BY (event_id * 48271 + 7) % 1000003, event_id) AS k, n_attack FROM staged JOIN (SELECT client_id, count(*) FILTER (stage = 'test_attack') AS n_attack, count(*) FILTER (stage = 'test_benign') AS n_benign FROM staged GROUP BY client_id) USING (client_id) WHERE stage = 'test_benign')
 WHERE n_attack = 0 OR k <= n_attack"""))
 def balance_test(spark, sf_dir):
-    rows = staged(spark, sf_dir)
-    n = rows.groupBy("client_id").agg(F.count_if(F.col("stage") == "test_attack").alias("n_attack"))
-    k = F.row_number().over(Window.partitionBy("client_id").orderBy(F.pmod(F.col("event_id") * 48271 + 7, F.lit(1_000_003)), "event_id"))
-    return rows.where("stage = 'test_benign'").join(n, "client_id").withColumn("k", k).where("n_attack = 0 OR k <= n_attack").select("client_id", "event_id")
+    rows = balanced(staged(spark, sf_dir), Store(spark, "balance"), largest(spark, sf_dir))
+    return rows.where("stage = 'test_benign'").select("client_id", "event_id")
 
 
 @query("SELECT vec_id, dense_rank() OVER (ORDER BY embedding) AS row_id FROM embeddings")

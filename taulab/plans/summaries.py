@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from taulab.constants import POLICIES, WITH_REPLACEMENT
 from taulab.functions.columns import ratio
-from taulab.operators import cluster, evaluate, guards, inject, sensitivity, sweep
+from taulab.operators import cluster, evaluate, guards, inject, prepare, sensitivity, sweep
 from taulab.operators.thresholds import eligibility, thresholds
-from taulab.sources import documents, runs
+from taulab.sources import documents, readers, runs
 from taulab.sources.events import table
 from taulab.sources.store import Store
 
@@ -291,3 +291,67 @@ def guard_violations(spark, sf_dir):
     """A grid with shifted fractions: how many cells the guards find."""
     cells = the_sweep(spark, sf_dir).cells.withColumn("fraction", F.col("fraction") + 0.05 * (F.col("seed") % 2))
     return guards.invalid_cells(cells).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+_VECTORS = """v AS (SELECT vec_id, CAST(label AS VARCHAR) AS client_id, vec_id % 7 = 0 AS attack, embedding FROM embeddings WHERE label IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY client_id, attack ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY client_id, attack) AS n FROM v),
+cut AS (SELECT *, floor(n * 0.6::DOUBLE) AS b, floor(n * 0.01::DOUBLE) AS g, floor(n * 0.2::DOUBLE) AS c FROM placed),
+parts AS (SELECT vec_id, client_id, embedding, CASE WHEN attack THEN 'test_attack' WHEN r < b THEN 'train' WHEN r < b + g THEN 'gap' WHEN r < b + g + c THEN 'cal' WHEN r < b + g + c + g THEN 'gap' ELSE 'test_benign' END AS split FROM cut),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY client_id, split ORDER BY (vec_id * 48271 + 7) % 1000003, vec_id) AS k, count(*) FILTER (split = 'test_attack') OVER (PARTITION BY client_id) AS n_attack FROM parts),
+kept AS (SELECT * FROM drawn WHERE split <> 'gap' AND (split <> 'test_benign' OR n_attack = 0 OR k <= n_attack)),
+long AS (SELECT vec_id, client_id, split, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM kept),
+fit AS (SELECT client_id, i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM long WHERE split = 'train' GROUP BY client_id, i)"""
+WIDTH = 64
+
+
+def _fleet(spark, sf_dir) -> str:
+    """The embeddings as a fleet's feature rows, prepared and stored; returns the folder."""
+    e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    rows = e.select(F.col("label").cast("string").alias("client_id"), (F.col("vec_id") % 7 == 0).alias("attack"), F.col("vec_id").alias("row_idx"), F.col("embedding").alias("features"))
+    store = Store(spark, "fleet")
+    prepare.prepare(rows, f"{store.root}/splits", WIDTH, store)
+    return f"{store.root}/splits"
+
+
+@query(f"WITH {_VECTORS} SELECT client_id, split, count(DISTINCT vec_id) AS n_rows, round(avg(abs((x - m) / s)), 6) AS mean_abs_z, round(max((x - m) / s), 6) + 0 AS max_z FROM long JOIN fit USING (client_id, i) GROUP BY client_id, split")
+def prepared_fleet(spark, sf_dir):
+    """Scaled, balanced splits by client, as they are read back from a stored fleet."""
+    path = _fleet(spark, sf_dir)
+    z = readers.splits(spark, path, WIDTH).withColumns({"total": F.aggregate("features", F.lit(0.0), lambda a, x: a + F.abs(x)), "top": F.array_max("features")})
+    each = z.groupBy("client_id", "split").agg(F.count("*").alias("n_rows"), (F.avg("total") / WIDTH).alias("mean_abs_z"), F.max("top").alias("max_z"))
+    return rounded(each, 6)
+
+
+@query(f"""WITH {_VECTORS}, n AS (SELECT client_id, split, count(*) AS n FROM kept GROUP BY ALL)
+SELECT client_id, split, unnest(CASE WHEN split = 'cal' AND client_id = '1' THEN ['missing', 'count'] WHEN split = 'train' AND client_id = '2' THEN ['width'] WHEN split = 'train' AND client_id = '3' THEN ['not finite', 'count'] ELSE [] END) AS problem FROM n
+UNION ALL SELECT 'new', s, 'missing' FROM (SELECT DISTINCT split AS s FROM n) UNION ALL SELECT 'new', NULL, 'no scaler'
+UNION ALL SELECT client_id, split, 'unexpected' FROM n WHERE client_id = '4' UNION ALL SELECT DISTINCT client_id, NULL, 'unexpected scaler' FROM n WHERE client_id = '4'""")
+def prepared_audit(spark, sf_dir):
+    """A stored fleet that was damaged: a split lost, rows cut, rows added that are not finite, a client that nobody wants and one that is not there."""
+    path = _fleet(spark, sf_dir)
+    rows = spark.read.schema("features array<double>, client_id string, split string").parquet(path)
+    on = lambda split, client: (F.col("split") == split) & (F.col("client_id") == client)
+    cut = rows.where(~on("cal", "1")).withColumn("features", F.when(on("train", "2"), F.slice("features", 1, WIDTH - 1)).otherwise(F.col("features")))
+    more = rows.where(on("train", "3")).withColumn("features", F.transform("features", lambda x: F.lit(float("nan"))))
+    damaged = f"{path}-damaged"
+    cut.unionByName(more).write.partitionBy("client_id", "split").parquet(damaged)
+    ids = rows.select("client_id").distinct().where("client_id <> '4'").unionByName(spark.createDataFrame([("new",)], "client_id string"))
+    return prepare.prepared_audit(spark, damaged, ids, WIDTH, recorded=path)
+
+
+_MARKED = """p AS (SELECT seed, client_id, event_id % 101 = 0 AS other_stage, event_id % 97 = 0 AND seed = 1 AS endless, CASE WHEN seed = 2 THEN event_id % 500 ELSE event_id END AS row_id FROM scores WHERE stage = 'train'),
+own AS (SELECT seed, client_id, count(*) FILTER (other_stage) AS o, count(*) FILTER (endless) AS e FROM p GROUP BY ALL),
+ids AS (SELECT e.seed, e.client_id, (SELECT count(DISTINCT row_id) FROM p WHERE p.seed = e.seed AND p.client_id <> e.client_id) AS n FROM elig e WHERE status = 'eligible')"""
+
+
+@query(sql.base("""SELECT a.seed, a.client_id AS victim, 'stage' AS rule, CAST(sum(b.o) AS BIGINT) AS n FROM ids a JOIN own b ON a.seed = b.seed AND a.client_id <> b.client_id GROUP BY ALL HAVING sum(b.o) > 0
+UNION ALL SELECT a.seed, a.client_id, 'not finite', CAST(sum(b.e) AS BIGINT) FROM ids a JOIN own b ON a.seed = b.seed AND a.client_id <> b.client_id GROUP BY ALL HAVING sum(b.e) > 0
+UNION ALL SELECT seed, client_id, 'too few', n FROM ids WHERE greatest(1, floor(0.2::DOUBLE * n)) < 150
+UNION ALL SELECT seed, client_id, 'calibration', count(*) FROM cal WHERE seed = 3 AND pos % 10 = 0 GROUP BY ALL""").replace("\nSELECT a.seed, a.client_id AS victim, 'stage'", ", " + _MARKED + "\nSELECT a.seed, a.client_id AS victim, 'stage'", 1))
+def donor_guards(spark, sf_dir):
+    """What the guards find in a reservoir with rows of another stage, endless scores, repeated ids and undefined calibration scores."""
+    s, n = the_sweep(spark, sf_dir), F.col("event_id")
+    train = s.scores.where("stage = 'train'")
+    pool = train.select("seed", "client_id", F.when(n % 101 == 0, "test_benign").otherwise(F.col("stage")).alias("stage"), F.when(F.col("seed") == 2, n % 500).otherwise(n).alias("row_id"), F.when((F.col("seed") == 1) & (n % 97 == 0), float("inf")).otherwise(F.col("score")).alias("score"))
+    cal = s.cal.select("seed", "client_id", F.when(~((F.col("seed") == 3) & (F.col("pos") % 10 == 0)), F.col("score")).alias("score"))
+    return inject.donor_problems(pool, cal, s.clients.select("seed", F.col("client_id").alias("victim"), F.lit(150).alias("most")))

@@ -16,6 +16,12 @@ def write_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
     scores.repartition("seed", "stage", "client_id").write.mode(mode).partitionBy("seed", "stage", "client_id").parquet(path)
 
 
+def delete(spark, path: str) -> None:
+    """A file or folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_splits(rows: DataFrame, path: str, width: int, mode: str = "overwrite") -> None:
     """Feature rows (client_id, split, features, ...); a row of another width fails."""
     checked = rows.where(F.when(F.size("features") != width, F.raise_error(F.lit(f"a row has not {width} features")).cast("boolean")).otherwise(True))
