@@ -19,7 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +61,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class LicenseParams:
-    """stretch_percent: the longest run of words that may hold a template, to its length; stride: at least the longest of these."""
+    """stretch_percent: the longest run of words that may hold a template, to its length; stride: words between block starts, more where a
+    template's run is longer, so that whole license texts can be templates."""
 
     percent: int = 90
     stretch_percent: int = 150
@@ -69,6 +70,11 @@ class LicenseParams:
     templates: tuple[tuple[str, str], ...] = TEMPLATES
 
 
+def _fitted(p: LicenseParams) -> LicenseParams:
+    """With a stride for which every run that may hold a template lies in one block."""
+    return replace(p, stride=max(p.stride, max(_stretch(t, p) for _, t in p.templates) - 1))
+
+
 def _needed(size: int, p: LicenseParams) -> int:
     return -(-size * p.percent // 100)
 
@@ -88,8 +94,6 @@ def _places(parts: list[str], label: str) -> F.Column:
 
 def _facts(docs: DataFrame, p: LicenseParams) -> DataFrame:
     """One pass over the texts: counts, phrase places, and for each block its words that templates use, with their places."""
-    if max(_stretch(t, p) for _, t in p.templates) > p.stride + 1:
-        raise ValueError("stride is shorter than the run of a template")
     vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, t in p.templates for w in t.split()})))
     low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(low, SIGNS, " ").alias("plain"))
@@ -152,6 +156,7 @@ def _matches(blocks: DataFrame, p: LicenseParams) -> DataFrame:
 
 def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per document."""
+    params = _fitted(params)
     facts = Workspace(docs.sparkSession, "licenses").save(_facts(docs, params), "facts")
     blocks = facts.select("row", F.explode("blocks").alias("block")).select("row", "block.*")
     found = _matches(blocks, params).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))

@@ -48,6 +48,20 @@ def test_matches_brute_force(spark):
         assert sorted(map(tuple, scan(docs, p).collect()), key=str) == sorted((brute(i, t, p) for i, t in DOCS), key=str)
 
 
+def test_whole_license_texts_as_templates(spark):
+    whole = " ".join(f"clause{k % 60} of the text{k % 7}" for k in range(50))
+    p = LicenseParams(templates=(*TEMPLATES, ("house", whole)))
+    parts = whole.split()
+    texts = ["x " * n + whole for n in (0, 39, 151, 298, 299, 300)]
+    texts += [" ".join(w for k, w in enumerate(parts) if k % 4 or k > n) for n in (8, 60, 140)]
+    texts += [" ".join(w + " y" * (k % n == 0) for k, w in enumerate(parts)) for n in (1, 2, 3)]
+    texts += [whole + "\n" + whole, " ".join(parts[:100]), t := "Released under the MIT License. " + whole.upper(), t]
+    rows = [(i, t, "x", 0) for i, t in [*enumerate(texts), *((100 + k, t) for k, (_, t) in enumerate(DOCS))]]
+    got = scan(spark.createDataFrame(rows, SCHEMA), p).collect()
+    assert sorted(map(tuple, got), key=str) == sorted((brute(i, t, p) for i, t, _, _ in rows), key=str)
+    assert sum("house" in r.labels for r in got) in range(8, len(texts))
+
+
 def test_notices_over_several_lines(spark):
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in DOCS], SCHEMA)
     got = {r.doc_id: r.labels for r in scan(docs).collect()}
