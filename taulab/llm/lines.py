@@ -4,9 +4,9 @@ Lines are normalised: A-Z in lower case, digits to 0, other ASCII signs and spac
 node.  Two nodes are linked if they share a block, their SimHashes are within a distance and their edit similarity,
 1 - distance / longer length, is 0.8 or more, the last by exact edit distance.
 
-SimHash adds up random signs of a line's features.  Of the sums, the signs of 256 make the SimHash that distances are taken
-of, and of each 16 further ones the place and sign of the strongest make a symbol: a small change of the line changes it
-far more seldom than it changes five sign bits.  Symbols are cut into blocks, and lines that differ in fewer symbols than
+SimHash adds up random signs of a line's features.  Of 1,024 sums (byte pairs: 2,048), the signs of 256 make the SimHash that distances are taken
+of, and of each 64 (byte pairs: 16) the place and sign of the strongest make a symbol; a sum serves several symbols, by permutations.  A small change of the line changes it
+far more seldom than it changes as many sign bits.  Symbols are cut into blocks, and lines that differ in fewer symbols than
 there are blocks share one (pigeonhole); lines that differ in more mostly do too.  Features are words of over three bytes
 (the commonest would make all lines of a language alike), or pairs of adjacent bytes for lines of at most ``short`` characters and for those with few
 words for their length (Chinese, Japanese, Thai, addresses); lines near either border have blocks of both kinds, so that pairs within the similarity hardly ever lack a common
@@ -47,14 +47,20 @@ from .workspace import Workspace, fresh
 class LineParams:
     """blocks of so many symbols for each kind of feature, at every size of the table; apart: most differing bits, of 256, of a linked pair.
 
+    word_group, byte_group: of so many sums a symbol names the strongest; a power of two, 64 at most.
+    word_sums, byte_sums: sums that are made, ``SUMS`` at most.
     few_words: from so many characters a word on, a line counts as text without spaces and has byte pairs for features.
     """
 
     similarity_percent: int = 80
     short: int = 40
     few_words: int = 16
-    word_blocks: tuple[int, int] = (28, 5)
-    byte_blocks: tuple[int, int] = (40, 5)
+    word_blocks: tuple[int, int] = (40, 4)
+    byte_blocks: tuple[int, int] = (64, 6)
+    word_group: int = 64
+    byte_group: int = 16
+    word_sums: int = 1024
+    byte_sums: int = 2048
     word_apart: int = 66
     byte_apart: int = 80
     bitmap_words: int = 1 << 20
@@ -62,6 +68,10 @@ class LineParams:
 
 GROUP = 16
 SIGNS = 256
+#: Most sums that are made of a line; what needs more takes them again, in other orders.
+SUMS = 2048
+#: Buckets are made in so many rounds, each with its share of the blocks, so that the shuffle of one is gone before the next.
+ROUNDS = 2
 #: Bytes of text that are cut into lines at a time.
 PIECE = 1 << 20
 #: Features fall into so many rows of random signs.
@@ -74,10 +84,21 @@ FOLD[ord("A") : ord("Z") + 1] += 32
 FOLD[ord("0") : ord("9") + 1] = ord("0")
 
 
+@lru_cache(maxsize=4)
+def _columns(sums: int, group: int, made: int = SUMS) -> np.ndarray:
+    """Which of the sums made stands for each one: itself, or where there are fewer one of permutations of all, so that a symbol has different ones."""
+    if sums <= made:
+        return np.arange(sums)
+    r, more = np.random.default_rng(0), sums - SIGNS
+    again = np.concatenate([r.permutation(made) for _ in range(-(-more // made))])[:more]
+    return np.r_[np.arange(SIGNS), again.reshape(-1, group).T.ravel()]
+
+
 @lru_cache(maxsize=4)
 def _signs(sums: int, seed: int) -> np.ndarray:
     """Random bits of each row, with a byte for each and eight to a word."""
-    return np.random.default_rng(seed).integers(0, 2, (ROWS, sums), dtype=np.uint8).view(np.uint64)
+    made = np.random.default_rng(seed).integers(0, 2, (ROWS, SUMS), dtype=np.uint8)
+    return np.ascontiguousarray(made[:, _columns(sums, GROUP)]).view(np.uint64)
 
 
 def _sums(rows: np.ndarray, first: np.ndarray, sums: int, seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -105,23 +126,25 @@ def _sums(rows: np.ndarray, first: np.ndarray, sums: int, seed: int) -> Iterator
         i = j
 
 
-def signatures(rows: np.ndarray, first: np.ndarray, blocks: tuple[int, int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(rows: np.ndarray, first: np.ndarray, blocks: tuple[int, int], seed: int, group: int = GROUP, made: int = SUMS) -> tuple[np.ndarray, np.ndarray]:
     """(four longs of sign bits, block keys) of each line of at least one feature.
 
     Sum x of the later ones is of symbol x mod places; of equally strong sums the last counts.
     """
     count, width = blocks
-    lines, places = len(first) - 1, count * width
+    lines, places, bits = len(first) - 1, count * width, group.bit_length()
     sims, keys = np.empty((lines, SIGNS // 64), np.int64), np.empty((lines, count), np.int64)
-    numbers = (np.arange(count, dtype=np.uint64) + np.uint64(64 * seed)) << np.uint64(5 * width)
-    weights = np.left_shift(np.uint64(1), np.uint64(5) * np.arange(width, dtype=np.uint64))
-    for i, j, s in _sums(rows, first, SIGNS + GROUP * places, seed):
+    numbers = (np.arange(count, dtype=np.uint64) + np.uint64(64 * seed)) << np.uint64(bits * width)
+    weights = np.left_shift(np.uint64(1), np.uint64(bits) * np.arange(width, dtype=np.uint64))
+    columns = _columns(SIGNS + group * places, group, made)[SIGNS:]
+    for i, j, s in _sums(rows, first, min(made, SIGNS + group * places), seed):
         sims[i:j] = np.packbits(s[:, :SIGNS] > 0, axis=1).view(np.int64)
-        s = s[:, SIGNS:].reshape(j - i, GROUP, places)
-        strongest = (np.abs(s) << 5) | (s > 0) | (np.arange(GROUP, dtype=s.dtype) << 1)[None, :, None]
-        symbol = (strongest.max(axis=1) & 31).astype(np.uint64).reshape(j - i, count, width)
+        # lines are the last axis, so that sums are taken and compared in runs
+        strength = np.ascontiguousarray(((np.abs(s) << bits) | (s > 0)).T)[columns].reshape(group, places, j - i)
+        strength |= (np.arange(group, dtype=s.dtype) << 1)[:, None, None]
+        symbol = (strength.max(axis=0).T & (2 * group - 1)).astype(np.uint64).reshape(j - i, count, width)
         packed = (symbol * weights).sum(axis=2, dtype=np.uint64) + numbers
-        keys[i:j] = (packed if 5 * width < 56 else mix(packed)).view(np.int64)
+        keys[i:j] = (packed if bits * width < 56 else mix(packed)).view(np.int64)
     return sims, keys
 
 
@@ -189,12 +212,21 @@ def _ranges(a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - a, n)
 
 
+def _narrow(p: LineParams) -> bool:
+    """Whether the symbols of a block fit 31 bits."""
+    return max(p.word_blocks[1] * p.word_group.bit_length(), p.byte_blocks[1] * p.byte_group.bit_length()) <= 31
+
+
 _ATTRIBUTES = ("size", *(f"{x}{k}" for x in "wb" for k in range(1, 5)))
-_SKETCH = "doc_id long, line_no int, k1 long, k2 long, size int, " + ", ".join(f"{x}{k} long" for x in "wb" for k in range(1, 5)) + ", blocks array<long>"
+_SKETCH = "doc_id long, line_no int, k1 long, k2 long, size int, " + ", ".join(f"{x}{k} long" for x in "wb" for k in range(1, 5))
 
 
 def sketches(docs: DataFrame, p: LineParams) -> DataFrame:
-    """docs (doc_id, text) -> keys, characters, SimHashes of words and of byte pairs (null where a line has none) and blocks of each line with a word."""
+    """docs (doc_id, text) -> keys, characters, SimHashes of words and of byte pairs (null where a line has none) and blocks of each line with a word.
+
+    Blocks are their symbols alone where these fit an int: those of words, if any, come before those of byte pairs.
+    """
+    narrow = _narrow(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,13 +237,15 @@ def sketches(docs: DataFrame, p: LineParams) -> DataFrame:
                 # a change of the similarity moves characters per word by less than a fourth, so near pairs have a kind in common
                 density, edge = cut.size / np.diff(cut.first), 100 / p.similarity_percent
                 words = (cut.size >= p.short / edge) & (density <= p.few_words * edge)
-                for which, blocks, seed in ((words, p.word_blocks, 1), ((cut.size <= p.short) | (density > p.few_words / edge), p.byte_blocks, 2)):
+                pairs = (cut.size <= p.short) | (density > p.few_words / edge)
+                for which, blocks, group, made, seed in ((words, p.word_blocks, p.word_group, p.word_sums, 1), (pairs, p.byte_blocks, p.byte_group, p.byte_sums, 2)):
                     at = np.flatnonzero(which)
                     rows, first = _words(cut, at) if seed == 1 else _byte_pairs(buf, cut, at)
-                    kinds.append((at, which, *signatures(rows, first, blocks, seed)))
+                    sim, keys = signatures(rows, first, blocks, seed, group, made)
+                    kinds.append((at, which, sim, keys & ((1 << group.bit_length() * blocks[1]) - 1) if narrow else keys))
                 counts = sum(np.where(which, keys.shape[1], 0) for _, which, _, keys in kinds)
                 offsets = np.r_[0, np.cumsum(counts)]
-                flat, sims, filled = np.empty(offsets[-1], np.int64), [], offsets[:-1].copy()
+                flat, sims, filled = np.empty(offsets[-1], np.int32 if narrow else np.int64), [], offsets[:-1].copy()
                 for at, which, sim, keys in kinds:
                     flat[(filled[at][:, None] + np.arange(keys.shape[1])).ravel()] = keys.ravel()
                     filled[at] += keys.shape[1]
@@ -224,7 +258,15 @@ def sketches(docs: DataFrame, p: LineParams) -> DataFrame:
                 for a in range(0, n, 4096):
                     yield pa.RecordBatch.from_arrays([c.slice(a, 4096) for c in columns], ["doc_id", "line_no", "k1", "k2", *_ATTRIBUTES, "blocks"])
 
-    return _plain(docs).mapInArrow(run, _SKETCH)
+    return _plain(docs).mapInArrow(run, f"{_SKETCH}, blocks array<{'int' if narrow else 'long'}>")
+
+
+def _members(lines: DataFrame, p: LineParams, turn: int) -> DataFrame:
+    """(node, bucket) for each block of the round of lines (node, w1, blocks)."""
+    if not _narrow(p):
+        return lines.select("node", F.explode("blocks").alias("bucket")).where(F.pmod("bucket", F.lit(ROUNDS)) == turn)
+    each = lines.select("node", F.when(F.col("w1").isNull(), p.word_blocks[0]).otherwise(0).alias("before"), F.posexplode("blocks").alias("number", "symbols")).where(F.pmod("number", F.lit(ROUNDS)) == turn)
+    return each.select("node", F.shiftleft((F.col("before") + F.col("number")).cast("long"), 32).bitwiseOR(F.col("symbols").cast("long")).alias("bucket"))
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -354,49 +396,61 @@ def _named(df: DataFrame, end: str, *more: str) -> DataFrame:
     return df.select(*more, F.col("node").alias(end), *(F.col(x).alias(f"{end}_{x}") for x in _ATTRIBUTES))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, p: LineParams, work: Workspace) -> DataFrame:
-    """(node, norm) of the ends of the pairs.
+def _texts(docs: DataFrame, wanted: DataFrame, p: LineParams, work: Workspace) -> DataFrame:
+    """(node, norm) of the nodes (node, k1, k2), a stored table.
 
-    A bitmap of at most ``bitmap_words`` longs, broadcast as a table, keeps most other lines out of the shuffle while there are few pairs.
+    A bitmap of at most ``bitmap_words`` longs, broadcast as a table, keeps most other lines out of the shuffle while few are wanted.
     """
-    wanted = work.save(nodes.select("node", "k1", "k2").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "wanted")
     words = min(p.bitmap_words, 1 << max(10, (wanted.count() // 4).bit_length()))
     some = _normalised(docs).withColumn("slot", F.pmod(F.col("k1"), F.lit(words))).join(F.broadcast(_bitmap(wanted, F.col("k1"), words)), "slot")
     some = some.where(F.col("bits").bitwiseAND(_bit(F.col("k1"))) != 0).drop("slot", "bits")
     return work.save(some.join(wanted, ["k1", "k2"]).groupBy("node").agg(F.first("norm").alias("norm")), "texts")
 
 
+def _crowded(lines: DataFrame, p: LineParams, turn: int, work: Workspace) -> DataFrame:
+    """(bucket, node, hub, m) for each member of the round's buckets of two members and more: the smallest one, how many."""
+    member = _members(lines, p, turn).repartition("bucket")
+    star = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    # few buckets have two members, so they are looked up and the members need no sort
+    return work.save(member.join(star.hint("shuffle_hash"), "bucket"), "buckets")
+
+
 def line_groups(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """doc_id, line_no (from 0), group_lines, kept, first_doc_id, first_line_no (the group's first line): one row per line with a word."""
-    work, percent = Workspace(docs.sparkSession, "lines"), params.similarity_percent
+    work, percent = Workspace(docs.sparkSession, "lines", tidy=True), params.similarity_percent
     p = params
     grouped = sketches(docs, p).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in (*_ATTRIBUTES, "blocks")))
     whole = work.save(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     nodes = whole.drop("blocks")
 
-    member = whole.select("node", F.explode("blocks").alias("bucket")).repartition("bucket")
-    star = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    crowded = work.save(member.join(star, "bucket"), "buckets")
+    crowded = _crowded(whole, p, 0, work)
+    for turn in range(1, ROUNDS):
+        crowded = crowded.unionAll(_crowded(whole, p, turn, work))
+    # all that follows is about lines with company
+    busy = work.save(nodes.drop("first", "n").join(crowded.select("node").distinct(), "node", "left_semi"), "busy")
 
     near = _alike(p)
     spokes = crowded.where("node <> hub").select("node", "hub", "m").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("m").alias("m"))
-    sides = spokes.join(_named(nodes, "b"), "b").join(_named(nodes, "a"), "a")
+    sides = spokes.join(_named(busy, "b"), "b").join(_named(busy, "a"), "a")
     pairs = work.save(sides.where(near).select("a", "b"), "pairs")
+    # of two in a bucket that are not near, no text is needed
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(crowded.where("m > 2").select("node")).distinct()
+    texts = _texts(docs, work.save(busy.select("node", "k1", "k2").join(ends, "node", "left_semi"), "wanted"), p, work)
 
-    groups = connected_components(work.save(_links(pairs, _texts(docs, nodes, pairs, p, work), percent), "links"), work)
+    groups = connected_components(work.save(_links(pairs, texts, percent), "links"), work)
 
     # buckets that still hold several components: all pairs between two of them but those with the hub
     placed = crowded.where("m > 2 AND node <> hub").join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = placed.groupBy("bucket", "component").count()
     main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("c"), F.count("*").alias("several")).where("several > 1").select("bucket", F.col("c.component").alias("main"))
-    mixed = work.save(placed.join(main, "bucket").join(nodes.select("node", *_ATTRIBUTES), "node"), "mixed")
+    mixed = work.save(placed.join(main, "bucket").join(busy.select("node", *_ATTRIBUTES), "node"), "mixed")
     left = _named(mixed.where("component <> main").withColumnRenamed("component", "of_a"), "a", "bucket", "of_a", "main")
     right = _named(mixed.withColumnRenamed("component", "of_b"), "b", "bucket", "of_b")
     # two that are both outside of the main component meet once
     met = left.join(right, "bucket").where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b"))) & near)
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = work.save(met, "pairs")
-    groups = extended(groups, work.save(_links(more, _texts(docs, nodes, more, p, work), percent), "links"), work)
+    groups = extended(groups, work.save(_links(more, texts, percent), "links"), work)
 
     named = nodes.join(groups, "node", "left").select("k1", "k2", "n", "first", F.coalesce("component", "node").alias("group"))
     totals = named.groupBy("group").agg(F.sum("n").alias("group_lines"), F.min("first").alias("first"))

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 FALLBACK = "file:///tmp/checkpoints"
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -24,10 +25,13 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 class Workspace:
-    """A private folder; ``save`` cuts lineage by writing and rereading a table."""
+    """A private folder; ``save`` cuts lineage by writing and rereading a table.
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
+    tidy: a table's shuffle files go when it has been written, not when the driver happens to collect its garbage.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False) -> None:
+        self.spark, self.tidy = spark, tidy
         base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -35,7 +39,14 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{self.count:03d}-{name}"
         self.count += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(TIDY, None)
+        if self.tidy:
+            self.spark.conf.set(TIDY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(TIDY) if before is None else self.spark.conf.set(TIDY, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path  # type: ignore[attr-defined]
         return out

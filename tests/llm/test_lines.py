@@ -190,6 +190,14 @@ def test_what_is_linked_does_not_depend_on_other_lines(spark):
     assert near(runs[0]) == near(runs[1])
 
 
+def test_unlike_lines_hardly_meet():
+    """28 blocks of five symbols of five bits brought members of these lines together 379 times, 40 of four symbols of seven bits do 97 times."""
+    rng, p, n = np.random.default_rng(1), LineParams(), 20000
+    rows, first = rng.integers(0, 4096, 12 * n), np.arange(0, 12 * n + 1, 12)
+    _, keys = signatures(rows, first, p.word_blocks, 1, p.word_group, p.word_sums)
+    assert sum(n - len(np.unique(k)) for k in keys.T) <= 190
+
+
 def test_a_hot_group_and_a_chain_in_one_bucket(spark):
     """Many near copies, whose ends are far apart, and lines that only share words with them."""
     words = [f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
