@@ -17,11 +17,15 @@ from pyspark.sql import types as T
 
 
 def fingerprint(df: DataFrame) -> str:
-    """A digest of a table's columns and rows, whatever their order: count, sum and XOR of two row hashes, from one scan."""
+    """A digest of a table's columns and rows, whatever their order: count, sum and XOR of two row hashes, from one scan.
+
+    Sums are decimals: those of 40 bits pass a long from about 16 million rows on.
+    """
     columns = sorted(df.columns)
     row = F.struct(*(F.col(c) for c in columns))
     first, second = F.xxhash64(row), F.xxhash64(F.lit("second"), row)
-    parts = df.agg(F.count("*"), F.bit_xor(first), F.bit_xor(second), F.sum(F.pmod(first, F.lit(1 << 40))), F.sum(F.pmod(second, F.lit(1 << 40)))).first()
+    total = lambda h: F.sum(F.pmod(h, F.lit(1 << 40)).cast("decimal(18,0)"))
+    parts = df.agg(F.count("*"), F.bit_xor(first), F.bit_xor(second), total(first), total(second)).first()
     return hashlib.sha256(json.dumps([columns, [str(df.schema[c].dataType.simpleString()) for c in columns], *(str(p) for p in parts)]).encode()).hexdigest()
 
 

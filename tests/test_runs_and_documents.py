@@ -48,6 +48,16 @@ def test_fingerprints_see_rows_and_not_their_order(spark):
     assert len({runs.fingerprint(x) for x in [a, *others]}) == 6
 
 
+def test_fingerprints_of_more_rows_than_a_sum_of_longs_holds(spark):
+    many = spark.range(1 << 25)
+    assert runs.fingerprint(many) != runs.fingerprint(many.where("id <> 7"))
+
+
+def test_fingerprints_are_those_of_stored_states(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k long, v string")
+    assert runs.fingerprint(a) == "08f67ac60509518f630acb8d946688e2127146c1bee9e1a45b716ac9c671d8c9"
+
+
 SCHEMA = documents.DocumentSchema("id long, fpr double, names array<string>", ("id", "fpr"), (("rate", "fpr BETWEEN 0 AND 1"),))
 
 
