@@ -204,11 +204,23 @@ def places_in(values: DataFrame, asked: DataFrame, keys: list[str], value: str,
     return placed.where(F.col("_asked") == kind).drop("_asked", "_place")
 
 
-def exploded(df: DataFrame, m: str, name: str, block: int = 1 << 16) -> DataFrame:
-    """Each row m times, with name from 1 to m; no array is longer than a block or m over it."""
-    blocks = df.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(m) - 1) / block))))
-    numbers = F.sequence(F.col("_b") * block + 1, F.least(F.col(m), (F.col("_b") + 1) * block))
-    return blocks.withColumn(name, F.explode(numbers)).drop("_b")
+#: Ranges of turns that a cell meets rows by in ``taken_turns``.
+SPANS = 64
+
+
+def taken_turns(cells: DataFrame, m: str, steps: DataFrame, columns: list[str]) -> DataFrame:
+    """Each cell with the rows of its victim at the turns turn0, turn0 + 1, ... (modulo n), m of them: k, from 1, and these columns of steps.
+
+    A cell meets the ranges of turns that it reaches into, and in a range its own turns are kept.  The planner sees sizes before rows are
+    multiplied, so the join is hinted: no range is sent through the driver.
+    """
+    keys = ["seed", "victim"]
+    span = lambda turn: F.floor(turn * F.lit(SPANS) / F.col("n")).cast("long")
+    first, last = span(F.col("turn0")), span(F.col("turn0") + F.col(m) - 1)
+    reached = cells.withColumn("_span", F.explode(F.sequence(first, F.least(last, first + SPANS - 1)))).withColumn("_span", F.pmod("_span", F.lit(SPANS)))
+    rows = steps.withColumn("_span", span(F.col("turn"))).select(*keys, "_span", "turn", *columns)
+    met = reached.hint("merge").join(rows, [*keys, "_span"]).withColumn("k", F.pmod(F.col("turn") - F.col("turn0"), F.col("n")) + 1)
+    return met.where(F.col("k") <= F.col(m)).drop("_span")
 
 
 def starts(cells: DataFrame, ladder: DataFrame, store: Store, largest: int | None = None) -> DataFrame:
@@ -233,8 +245,7 @@ def replacements(cells: DataFrame, ladder: DataFrame, train: DataFrame, store: S
     steps = ladder.withColumnRenamed("client_id", "victim")
     sizes = steps.select(*keys, "n").distinct()
     asked = cells.where("fraction > 0").join(sizes, keys).withColumn("m", budget("fraction", "n"))
-    hits = exploded(starts(asked, ladder, store, largest), "m", "k").withColumn("turn", F.pmod(F.col("turn0") + F.col("k") - 1, F.col("n")))
-    hits = hits.join(steps.select(*keys, "turn", "stage", "pos", "rank", F.col("score").alias("clean_score")), [*keys, "turn"])
+    hits = taken_turns(starts(asked, ladder, store, largest), "m", steps.withColumn("clean_score", F.col("score")), ["stage", "pos", "rank", "clean_score"])
     kept = [*CELL, "n", "stage", "pos", "rank", "clean_score"]
     tail = tail_size("n", TAIL_MASS)
     pool = F.when(F.col("source") == "random_benign", F.col("n")).otherwise(tail)
@@ -304,8 +315,7 @@ def variant_replacements(cells: DataFrame, ladder: DataFrame, store: Store, larg
     allowed = F.when(F.col("draw") == WITHOUT_REPLACEMENT, F.least(m, F.col("whole"))).when(F.col("draw") == DISJOINT, disjoint_budget(n, m, F.col("source"))).otherwise(F.when(F.col("whole") >= 2, m).otherwise(0))
     asked = asked.withColumn("effective", allowed.cast("long")).withColumn("pool_n", F.when(F.col("draw") == DISJOINT, size(rest)).otherwise(F.col("whole")))
     asked = store.save(starts(asked, ladder, store, largest), "variants")
-    hits = exploded(asked.where("effective > 0"), "effective", "k").withColumn("turn", F.pmod(F.col("turn0") + F.col("k") - 1, n))
-    hits = store.save(hits.join(steps.select(*keys, "turn", "stage", "pos", "rank", F.col("score").alias("clean_score")), [*keys, "turn"]), "hits")
+    hits = store.save(taken_turns(asked.where("effective > 0"), "effective", steps.withColumn("clean_score", F.col("score")), ["stage", "pos", "rank", "clean_score"]), "hits")
     of = F.when(F.col("draw") == DISJOINT, rest).otherwise(n)
     first = F.when(F.col("source") == "high_score_benign", of - F.col("pool_n")).otherwise(0)
     between = F.col("draw") == INTERPOLATED

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,36 @@ def test_a_replaced_test_row_reaches_the_perturbed_state(spark):
     clean = sorted((r.stage, r.pos, r.score) for r in scores.where("stage <> 'cal'").collect())
     assert values("cal") == clean
     assert [x for x, y in zip(values("test_attack"), clean, strict=True) if x != y] == [("test_attack", 1, 9.0)]
+
+
+def test_rows_of_cells_do_not_pass_the_driver(spark, monkeypatch):
+    plans, save = [], Store.save
+
+    def kept(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return save(self, df, name)
+
+    store = Store(spark, "test")
+    rows = spark.range(20_000).selectExpr("0L AS seed", "'a' AS client_id", "'cal' AS stage", "id AS pos", "id AS event_id", "CAST(id * 7919 % 10007 AS double) / 3 AS score")
+    ladder = inject.client_ladder(rows, spark.createDataFrame([(0, "a", 20_000)], "seed long, client_id string, n long"), store)
+    cells = store.save(inject.grid(spark.createDataFrame([(0, "a")], "seed long, client_id string")), "cells")
+    monkeypatch.setattr(Store, "save", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 64 << 10)
+    try:
+        asked, replaced = inject.variant_replacements(cells, ladder, store, 20_000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert replaced.count() == asked.agg(F.sum("effective")).first()[0] > 40_000
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    sent = [x for plan in plans for k, line in enumerate(plan) if "BroadcastExchange" in line for x in itertools.takewhile(lambda x: depth(x) > depth(line), plan[k + 1 :])]
+    assert not any("Generate explode(sequence" in x for x in sent)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 63, 64, 65, 200])
+def test_taken_turns_are_consecutive(spark, n):
+    steps = spark.createDataFrame([(0, "a", n, t, 10 * t) for t in range(n)], "seed long, victim string, n long, turn long, x long")
+    cells = spark.createDataFrame([(0, "a", n, t, m) for t in sorted({0, n // 3, n - 1}) for m in sorted({1, n // 2, n} - {0})], "seed long, victim string, n long, turn0 long, m long")
+    got = inject.taken_turns(cells, "m", steps, ["x"]).collect()
+    want = [(c.turn0, c.m, k, 10 * ((c.turn0 + k - 1) % n)) for c in cells.collect() for k in range(1, c.m + 1)]
+    assert sorted((r.turn0, r.m, r.k, r.x) for r in got) == sorted(want)
