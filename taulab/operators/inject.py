@@ -58,22 +58,6 @@ def reservoirs(ladder: DataFrame) -> DataFrame:
     return inside.select("_p.source", "seed", "client_id", "pos", "score", "_p.pool_index", "_p.pool_n")
 
 
-def donors(train: DataFrame, victims: DataFrame) -> DataFrame:
-    """Feature-row donors of each victim from all other clients, in draw order.
-
-    train (seed, client_id, row_id, pos, score); a row id counts once among all of a victim's candidates.
-    (seed, victim, source, draw, row_id, score, donor_n)
-    """
-    every = train.join(victims.select("seed", F.col("client_id").alias("victim")), "seed").where("client_id <> victim")
-    other = every.groupBy("seed", "victim", "row_id").agg(F.min_by("score", F.struct("client_id", "pos")).alias("score"))
-    w = Window.partitionBy("seed", "victim")
-    ranked = other.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "row_id"))).withColumn("n", F.count("*").over(w))
-    pairs = pair_table(train.sparkSession).where(F.col("source").isin(*TRAIN_FEATURE_SOURCES))
-    used = ranked.crossJoin(F.broadcast(pairs)).where((F.col("source") == TRAIN_FEATURE_SOURCES[0]) | (F.col("r") <= tail_size("n", FEATURE_TAIL_MASS)))
-    v = Window.partitionBy("seed", "victim", "source")
-    return used.withColumn("draw", F.row_number().over(v.orderBy(_order("row_id", "stream"), "row_id"))).select("seed", "victim", "source", "draw", "row_id", "score", F.count("*").over(v).alias("donor_n"))
-
-
 def donor_problems(pool: DataFrame, cal: DataFrame, budgets: DataFrame, stages: tuple[str, ...] = ("train",)) -> DataFrame:
     """(seed, victim, rule, n): what keeps a victim from drawing donors without replacement from other clients; no row is a sound setting.
 
@@ -123,37 +107,80 @@ def donor_rows(train: DataFrame, store: Store, largest: int | None = None) -> Da
     other = own.join(first.where("owners > 1").select("seed", "row_id", F.col("x.client_id").alias("owner")), ["seed", "row_id"]).where("x.client_id <> owner")
     second = other.groupBy("seed", "row_id", "owner").agg(F.min("x").alias("x")).select("seed", "row_id", "owner", "x.score", F.lit(1).alias("stand_in"))
     both = first.select("seed", "row_id", F.col("x.client_id").alias("owner"), "x.score", F.lit(0).alias("stand_in")).unionByName(second)
-    placed = ranked(both, ["seed"], [-F.col("score"), "row_id", "stand_in"], store, "place", largest, rank=F.col("stand_in") == 0)
+    down = [F.col("score").isNull(), ~F.isnan("score"), -F.col("score")]  # like descending: NaN first, nulls last
+    placed = ranked(both, ["seed"], [*down, "row_id", "stand_in"], store, "place", largest, rank=F.col("stand_in") == 0)
     pick = lambda c, k: F.max(F.when(F.col("stand_in") == k, F.col(c)))
     each = placed.groupBy("seed", "row_id", "owner").agg(*(pick(c, 0).alias(c) for c in ("score", "place", "rank")), *(pick(c, 1).alias(name) for c, name in (("score", "score2"), ("place", "place2"), ("rank", "at2"))))
     return store.save(ranked(each, ["seed"], [_order_value("row_id"), "row_id"], store, "turn", largest), "donors")
 
 
-def first_donors(train: DataFrame, budgets: DataFrame, store: Store, largest: int | None = None) -> DataFrame:
-    """(seed, victim, source, draw, row_id, score): the first donors of each victim, as many as budgets (seed, victim, most) say.
+def donor_pools(rows: DataFrame, victims: DataFrame, store: Store) -> DataFrame:
+    """victims (seed, victim, ...) and sources, from ``donor_rows``: n ids of the seed, last of their places, to, the place the pool ends with, and turn0, the turn its draws begin with; stored.
 
-    Equal to the rows of ``donors`` with draw <= most, but no victim is joined with all rows: its pool is the global order without its
-    own rows.  The last place of its high tail is found from its own rows (see ``merged``), and how many turns of the
-    draw order hold enough of its pool from counts by ranges of turns and places; only the rows of these turns are looked at.
+    The last place of a victim's high tail is found from its own rows (see ``merged``).
     """
     seed, cell = ["seed"], ["seed", "victim"]
-    rows = donor_rows(train, store, largest)
     own = rows.select("seed", F.col("owner").alias("victim"), "rank", "place", "score2", "place2", "at2", "turn")
     sizes = rows.groupBy("seed").agg(F.count("*").alias("n"), F.max(F.greatest("place", F.coalesce("place2", "place"))).alias("last"))
     less = own.groupBy(*cell).agg((F.count("*") - F.count("place2")).alias("less"))
-    pools = budgets.join(sizes, "seed").join(less, cell, "left").withColumn("pool", F.col("n") - F.coalesce("less", F.lit(0))).where("pool > 0")
+    pools = victims.join(sizes, "seed").join(less, cell, "left").withColumn("pool", F.col("n") - F.coalesce("less", F.lit(0))).where("pool > 0")
     wanted = pools.select(*cell, "n", (tail_size("pool", FEATURE_TAIL_MASS) - 1).cast("long").alias("rank"))
-    gone = own.join(sizes.select("seed", "n"), "seed").join(budgets.select(*cell), cell, "left_semi")
+    gone = own.join(sizes.select("seed", "n"), "seed").join(victims.select(*cell), cell, "left_semi")
     moved = gone.select(*cell, "n", F.col("rank").alias("at"), F.lit(None).cast("double").alias("added"))
     moved = moved.unionByName(gone.where("place2 IS NOT NULL").select(*cell, "n", F.col("at2").alias("at"), F.col("place2").cast("double").alias("added")))
     tails = merged(rows.select("seed", "rank", F.col("place").cast("double").alias("score")), moved, wanted, seed, cell).select(*cell, F.col("value").cast("long").alias("tail_place"))
-    pairs = pair_table(train.sparkSession).where(F.col("source").isin(*TRAIN_FEATURE_SOURCES)).select("source", "stream")
+    pairs = pair_table(rows.sparkSession).where(F.col("source").isin(*TRAIN_FEATURE_SOURCES)).select("source", "stream")
     asked = pools.join(tails, cell).crossJoin(F.broadcast(pairs))
     asked = asked.withColumn("to", F.when(F.col("source") == TRAIN_FEATURE_SOURCES[0], F.col("last")).otherwise(F.col("tail_place")))
-    asked = asked.withColumn("turn_value", F.lit(PRIME) - _shift("stream"))
-    turns = places_in(rows.select("seed", _order_value("row_id").alias("turn_value")), asked.select("seed", "stream", "turn_value").distinct(), seed, "turn_value", store, "turn0", largest, after=False)
-    asked = asked.drop("turn_value").join(turns.select("seed", "stream", "turn0"), ["seed", "stream"])
-    asked = store.save(asked.withColumn("turn0", F.pmod(F.col("turn0"), F.col("n"))).drop("less"), "asked")
+    begins = sizes.select("seed").crossJoin(F.broadcast(pairs)).select("seed", "stream", (F.lit(PRIME) - _shift("stream")).alias("begin"))
+    turns = rows.select("seed", _order_value("row_id").alias("turn_value")).join(begins, "seed").groupBy("seed", "stream").agg(F.count_if(F.col("turn_value") < F.col("begin")).alias("turn0"))
+    asked = asked.join(turns, ["seed", "stream"])
+    return store.save(asked.withColumn("turn0", F.pmod(F.col("turn0"), F.col("n"))).drop("less"), "asked")
+
+
+#: Rows of the draw order in a block of ``donors``.
+DRAW_BLOCK = 1024
+
+
+def donors(train: DataFrame, victims: DataFrame, store: Store | None = None, digits: int | None = None) -> DataFrame:
+    """Feature-row donors of each victim from all other clients, in draw order.
+
+    train (seed, client_id, row_id, pos, score); a row id counts once among all of a victim's candidates.
+    (seed, victim, source, draw, row_id, score, donor_n); digits: scores are rounded to so many, after they are ordered.
+
+    All victims share one draw order for each source, cut into blocks that are sorted once.  A victim takes of each block what is in its pool; its draws
+    go on from the number of rows that it takes of earlier blocks.  So what is made for a victim is neither sorted nor shuffled.
+    """
+    store = Store(train.sparkSession, "donors") if store is None else store
+    block, cell = ["seed", "source", "block"], ["seed", "victim", "source"]
+    rows = donor_rows(train, store)
+    asked = donor_pools(rows, victims.select("seed", F.col("client_id").alias("victim")).distinct(), store)
+    orders = asked.groupBy("seed", "source").agg(F.max("n").alias("n"), F.max("turn0").alias("turn0"), F.max("to").alias("furthest"))
+    dealt = rows.join(orders, "seed").where(F.least("place", "place2") <= F.col("furthest")).withColumn("t", F.pmod(F.col("turn") - F.col("turn0"), F.col("n")))
+    value = lambda c: F.col(c) if digits is None else F.round(c, digits).alias(c)
+    items = F.sort_array(F.collect_list(F.struct("t", "row_id", "owner", value("score"), "place", value("score2"), "place2")))
+    blocks = store.save(dealt.withColumn("block", F.floor(F.col("t") / DRAW_BLOCK)).groupBy(*block).agg(items.alias("items")), "blocks")
+    taken = F.filter("items", lambda x: F.coalesce(F.when(x["owner"] == F.col("victim"), x["place2"]).otherwise(x["place"]) <= F.col("to"), F.lit(False)))
+    counts = store.save(blocks.join(asked.select(*cell, "to"), ["seed", "source"]).select(*block, "victim", "to", F.size(taken).cast("long").alias("c")), "counts")
+    w = Window.partitionBy(*cell)
+    begin = F.coalesce(F.sum("c").over(w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumns({"begin": begin, "donor_n": F.sum("c").over(w)}).where("c > 0")
+    each = blocks.join(offsets, block).select(*cell, "begin", "donor_n", F.posexplode(taken).alias("k", "x"))
+    score = F.when(F.col("x.owner") == F.col("victim"), F.col("x.score2")).otherwise(F.col("x.score"))
+    return each.select(*cell, (F.col("begin") + F.col("k") + 1).alias("draw"), "x.row_id", score.alias("score"), "donor_n")
+
+
+def first_donors(train: DataFrame, budgets: DataFrame, store: Store, largest: int | None = None) -> DataFrame:
+    """(seed, victim, source, draw, row_id, score): the first donors of each victim, as many as budgets (seed, victim, most) say.
+
+    Equal to the rows of ``donors`` with draw <= most, but no victim is joined with all rows: its pool is the global order without its
+    own rows (see ``donor_pools``), and how many turns of the
+    draw order hold enough of its pool follows from counts by ranges of turns and places; only the rows of these turns are looked at.
+    """
+    cell = ["seed", "victim"]
+    rows = donor_rows(train, store, largest)
+    sizes = rows.groupBy("seed").agg(F.count("*").alias("n"), F.max(F.greatest("place", F.coalesce("place2", "place"))).alias("last"))
+    asked = donor_pools(rows, budgets, store)
     # ranges of turns about as long as the smallest budget; as many ranges of places
     n, most = asked.agg(F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.min("most"), F.lit(1))).first()
     ranges = max(16, min(TURN_RANGES, n // max(1, most)))

@@ -295,21 +295,23 @@ def delta_tau(spark, sf_dir):
 
 
 def _donors(spark, sf_dir):
-    s = the_sweep(spark, sf_dir)
-    train = s.scores.where("stage = 'train'").select("seed", "client_id", F.col("event_id").alias("row_id"), "pos", "score")
-    return inject.donors(train, s.clients.select("seed", "client_id"))
+    """Donors of all eligible clients, without the other stages of the sweep."""
+    store = Store(spark, "donors")
+    s = store.save(scores(spark, sf_dir).where("stage IN ('train', 'cal')"), "scores")
+    train = s.where("stage = 'train'").select("seed", "client_id", F.col("event_id").alias("row_id"), "pos", "score")
+    return inject.donors(train, eligibility(s, sql.N_MIN).where("status = 'eligible'"), store, 9)
 
 
 @query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, {r('score')} FROM gifts"))
 def cross_device_donors(spark, sf_dir):
     """All donors in draw order."""
-    return rounded(_donors(spark, sf_dir).select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "score"))
+    return _donors(spark, sf_dir).select("seed", "victim", "source", "draw", "score")
 
 
 @query(sql.cells(f"SELECT seed, victim, source, CAST(draw AS BIGINT) AS draw, CAST(event_id AS BIGINT) AS row_id, {r('score')} FROM gifts"))
 def cross_device_donors_all(spark, sf_dir):
     """All donors in draw order, with their row ids."""
-    return rounded(_donors(spark, sf_dir).select("seed", "victim", "source", F.col("draw").cast("long").alias("draw"), "row_id", "score"))
+    return _donors(spark, sf_dir).select("seed", "victim", "source", "draw", "row_id", "score")
 
 
 @query(sql.base(f"""SELECT user_id % 9 AS device, event_id, {r('value')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 9, user_id ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL) WHERE k = 1"""))
